@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import langid, secretscan, tiff, tokenpack
+from arborlake.llm import decontam, langid, secretscan, simhash, tiff, tokenpack
 from arborlake.llm.common import Scratch
 
 
@@ -20,12 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = decontam.build_index(docs, Scratch(spark, "op1"))
+    return decontam.verdict(decontam.find(index, table(spark, sf_dir, "benchmark").select("item_id", "text")))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs)
     return langid.predict(docs.select("doc_id", "text").withColumn("held_out", langid.held_out()), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.digest(simhash.deduplicate(docs, Scratch(spark, "op3"), ["doc_id"]))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secretscan.digest(secretscan.scan_documents(docs, Scratch(spark, "op4")))
@@ -41,6 +52,6 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digest(tiff.store_text(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op4_secret_scan, op6_token_output, op10_tiff_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_simhash_dedup, op4_secret_scan, op6_token_output, op10_tiff_media)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontam.ORACLE}
