@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import decontam, langid, secretscan, simhash, tiff, tokenpack
+from arborlake.llm import decontam, langid, mixing, pii, secretscan, simhash, tiff, tokenpack, toolchat
 from arborlake.llm.common import Scratch
 
 
@@ -47,11 +47,25 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenpack.read_documents(tokenpack.write_blocks(docs, Scratch(spark, "op6"), tokenizer_path()))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find(docs, Scratch(spark, "op7")))
+
+
+def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolchat.from_conversations(table(spark, sf_dir, "conversations"))
+    return toolchat.link(calls, results, Scratch(spark, "op8"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(table(spark, sf_dir, "documents"))
+
+
 def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tiff.media_digest(tiff.store_text(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_simhash_dedup, op4_secret_scan, op6_token_output, op10_tiff_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_simhash_dedup, op4_secret_scan, op6_token_output, op7_pii, op8_tool_call_linking, op9_source_mixing, op10_tiff_media)}
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontam.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontam.ORACLE, "op8_tool_call_linking": toolchat.ORACLE, "op9_source_mixing": mixing.ORACLE}

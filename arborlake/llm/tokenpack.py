@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from arborlake.llm.common import Scratch, slices, text_bytes
 BLOCK_IDS = 1 << 17
 END_ID = 0
 #: Distinct words whose ids a worker remembers at most.
-WORDS = 200_000
+WORDS = 250_000
 
 BLOCK_SCHEMA = "shard int, block int, first bigint, doc_ids array<bigint>, offsets array<bigint>, n_ids bigint, bits int, payload binary"
 
@@ -67,14 +68,16 @@ def unpack(payload: bytes, bits: int, start: int = 0, count: int | None = None)
 class Encoder:
     """A public byte-level tokenizer with a bounded memory of words.
 
-    Its pre-tokenizer always cuts before a single space between two other
-    characters, so a text without other runs of blanks is the sequence of its
-    words, each encoded with the space before it. Unknown words are encoded
-    together, as one text, and cut apart by the byte length of each id.
+    Its pre-tokenizer always cuts before a single space or line break between
+    two other characters, around such a line break, and between a letter and the
+    stop or comma that ends a word. So a text without other runs of blanks is cut
+    into such units, and each distinct unit of a batch is encoded once. Unknown
+    units are encoded together, as one text, and cut apart by the byte length of
+    each id.
     """
 
-    #: Where the cuts above don't hold: other runs of blanks, or a space at either end.
-    ODD = re.compile(r" \s|\s |\A | \Z")
+    #: Where the cuts above don't hold: other runs of blanks around a space.
+    ODD = re.compile(r" \s|\s ")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -90,34 +93,86 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        ids = np.array(self.model.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
-        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-        raw, start = ids.tobytes(), 0
-        for word, cut in zip(words, cuts.tolist(), strict=True):
-            self.known[word] = raw[4 * start : 4 * cut]
-            start = cut
+    @staticmethod
+    def units(piece: str, space: str) -> list[str]:
+        """The units of what stands between two single spaces; ``space`` is the one before it, or empty."""
+        if piece.isalpha():
+            return [space + piece]
+        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+            return [space + piece[:-1], piece[-1]]
+        if "\n" not in piece:
+            return [space + piece]
+        out: list[str] = []
+        parts = piece.split("\n")
+        if "" in parts or not all(x[0].strip() and x[-1].strip() for x in parts):
+            return [space + piece]
+        for k, part in enumerate(parts):
+            if k:
+                out.append("\n")
+                space = ""
+            if part[-1] in ".," and part[:-1].isalpha():
+                out += (space + part[:-1], part[-1])
+            else:
+                out.append(space + part)
+        return out
+
+    def learn(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of new units. Those that start with a space are strung together, the others put on lines of their own."""
+        out = {"\n": self.whole(["\n"])[0]}
+        spaced = [u for u in units if u[0] == " "]
+        bare = [u for u in units if u[0] != " " and u != "\n"]
+        for group, between in ((spaced, ""), (bare, "\n")):
+            if not group:
+                continue
+            ids = np.array(self.model.encode_batch_fast([between.join(group)], add_special_tokens=False)[0].ids, np.uint32)
+            sizes = np.fromiter((len(u.encode()) for u in group), np.int64, len(group))
+            starts = np.cumsum(sizes + len(between)) - (sizes + len(between))
+            at = np.cumsum(self.lengths[ids])  # where each id ends
+            first = np.searchsorted(at, starts, "right").tolist()
+            last = (np.searchsorted(at, starts + sizes) + 1).tolist()
+            raw = ids.tobytes()
+            for unit, a, b in zip(group, first, last, strict=True):
+                out[unit] = raw[4 * a : 4 * b]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [b"" if t == "" else None for t in texts]
-        odd = [i for i, t in enumerate(texts) if t and self.ODD.search(t)]
+        odd = [i for i, t in enumerate(texts) if t and (t[0].isspace() or t[-1].isspace() or self.ODD.search(t))]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         plain = [i for i, x in enumerate(out) if x is None]
         parts = [texts[i].split(" ") for i in plain]
-        if len(self.known) > WORDS:
-            self.known.clear()
-        new = list({w for p in parts for w in p[1:] if w not in self.known})
-        if new:
-            self.learn(new)
+        inner: set[str] = set()
+        for p in parts:
+            inner.update(p[1:])
+        cut = {w: self.units(w, " ") for w in inner}
+        heads = [self.units(p[0], "") for p in parts]
         known = self.known
-        for i, p, head in zip(plain, parts, self.whole([p[0] for p in parts]), strict=True):
-            out[i] = head + b"".join([known[w] for w in p[1:]])
+        new = {u for us in cut.values() for u in us if u not in known} | {u for us in heads for u in us if u not in known}
+        if new:
+            learnt = self.learn(list(new))
+            if len(known) + len(learnt) <= WORDS:
+                known.update(learnt)
+            else:
+                # Full: the words that came first, which hold the common ones, stay.
+                for u in list(learnt)[: max(WORDS - len(known), 0)]:
+                    known[u] = learnt[u]
+                known = {**known, **learnt}
+        get = known.__getitem__
+        ids_of = {w: get(us[0]) if len(us) == 1 else b"".join(map(get, us)) for w, us in cut.items()}
+        piece = ids_of.__getitem__
+        for i, p, head in zip(plain, parts, heads, strict=True):
+            out[i] = b"".join(map(get, head)) + b"".join(map(piece, p[1:]))
         return out
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process, whose memory of words outlives a task."""
+    return Encoder(path)
+
+
 def write_blocks(docs: DataFrame, scratch: Scratch, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", partitions: int = 0) -> DataFrame:
     """Tokenises and writes all rows in ascending id order; the written blocks as a table.
 
@@ -129,7 +184,7 @@ def write_blocks(docs: DataFrame, scratch: Scratch, tokenizer_path: str, id_col:
     dealt = dealt.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "raw").select("doc_id", "raw")
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         bits, shard, block, first = id_bits(encoder.size), TaskContext.get().partitionId(), 0, 0
         end = np.array([END_ID], np.uint32).tobytes()
         doc_ids, parts, offsets, held = [], [], [], 0
@@ -141,7 +196,7 @@ def write_blocks(docs: DataFrame, scratch: Scratch, tokenizer_path: str, id_col:
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
-        for batch in slices(batches, 1, 1 << 20):
+        for batch in slices(batches, 1, 4 << 20):
             for doc, ids in zip(batch.column(0).to_pylist(), encoder([x.decode("utf-8", "replace") for x in batch.column(1).to_pylist()]), strict=True):
                 doc_ids.append(doc)
                 offsets.append(held)
