@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import decontam, langid, mixing, pii, secretscan, simhash, tiff, tokenpack, toolchat
+from arborlake.llm import decontam, langid, mixing, pii, secretscan, simhash, substring, tiff, tokenpack, toolchat
 from arborlake.llm.common import Scratch
 
 
@@ -42,6 +42,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(secretscan.scan_documents(docs, Scratch(spark, "op4")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op5"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokenpack.read_documents(tokenpack.write_blocks(docs, Scratch(spark, "op6"), tokenizer_path()))
@@ -66,6 +70,6 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digest(tiff.store_text(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_simhash_dedup, op4_secret_scan, op6_token_output, op7_pii, op8_tool_call_linking, op9_source_mixing, op10_tiff_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_simhash_dedup, op4_secret_scan, op5_substring_dedup, op6_token_output, op7_pii, op8_tool_call_linking, op9_source_mixing, op10_tiff_media)}
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontam.ORACLE, "op8_tool_call_linking": toolchat.ORACLE, "op9_source_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontam.ORACLE, "op5_substring_dedup": substring.ORACLE, "op8_tool_call_linking": toolchat.ORACLE, "op9_source_mixing": mixing.ORACLE}

@@ -220,7 +220,8 @@ def work_units(shards: DataFrame, shard_rows: int = SHARD) -> DataFrame:
 
 
 def near_duplicates(fps: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> DataFrame:
-    """Adds ``component_id`` to ``fps`` (columns incl. id_col and fp): the least id reachable over links."""
+    """Adds to ``fps`` (columns incl. id_col and fp) ``component_id``, the least id reachable over links, and
+    ``component``, a fingerprint that names the component even where all its ids are null."""
     distinct = scratch.table(fps.groupBy("fp").agg(F.min(id_col).alias("__least")), "distinct")
     shards = scratch.table(shards_of(distinct, distinct.count()), "shards")
     units = work_units(shards)
@@ -229,12 +230,12 @@ def near_duplicates(fps: DataFrame, scratch: Scratch, id_col: str = "doc_id") ->
     roots = components(edges, scratch)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
     least = rooted.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    of_fp = scratch.table(rooted.join(least, "__root").select(F.col("fp").alias("__fp"), "component_id"), "of_fp")
+    of_fp = scratch.table(rooted.join(least, "__root").select(F.col("fp").alias("__fp"), "component_id", F.col("__root").alias("component")), "of_fp")
     return fps.join(of_fp, fps["fp"] == of_fp["__fp"], "left").drop("__fp")
 
 
 def deduplicate(docs: DataFrame, scratch: Scratch, keys: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(keys, fp, component_id) for every row of ``docs``; ``keys`` holds ``id_col``."""
+    """(keys, fp, component_id, component) for every row of ``docs``; ``keys`` holds ``id_col``."""
     return near_duplicates(scratch.table(fingerprints(docs, keys, text_col), "fp"), scratch, id_col)
 
 
