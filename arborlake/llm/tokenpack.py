@@ -15,6 +15,7 @@ share an id follow each other, ordered by a hash of the text and the text.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -88,24 +89,25 @@ class Encoder:
         self.lengths = np.zeros(self.size, np.int64)
         for token, i in self.model.get_vocab().items():
             self.lengths[i] = len(token)  # one character for each byte
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of units
+        self.pieces: dict[str, bytes] = {}  # of what follows a single space
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
-    def units(piece: str, space: str) -> list[str]:
+    def units(piece: str, space: str) -> tuple[str, ...]:
         """The units of what stands between two single spaces; ``space`` is the one before it, or empty."""
         if piece.isalpha():
-            return [space + piece]
+            return (space + piece,)
         if piece[-1:] in (".", ",") and piece[:-1].isalpha():
-            return [space + piece[:-1], piece[-1]]
+            return space + piece[:-1], piece[-1]
         if "\n" not in piece:
-            return [space + piece]
+            return (space + piece,)
         out: list[str] = []
         parts = piece.split("\n")
         if "" in parts or not all(x[0].strip() and x[-1].strip() for x in parts):
-            return [space + piece]
+            return (space + piece,)
         for k, part in enumerate(parts):
             if k:
                 out.append("\n")
@@ -114,7 +116,7 @@ class Encoder:
                 out += (space + part[:-1], part[-1])
             else:
                 out.append(space + part)
-        return out
+        return tuple(out)
 
     def learn(self, units: list[str]) -> dict[str, bytes]:
         """The ids of new units. Those that start with a space are strung together, the others put on lines of their own."""
@@ -137,35 +139,43 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        gc.disable()  # millions of strings and no cycle: collections would only cost time
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [b"" if t == "" else None for t in texts]
         odd = [i for i, t in enumerate(texts) if t and (t[0].isspace() or t[-1].isspace() or self.ODD.search(t))]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         plain = [i for i, x in enumerate(out) if x is None]
         parts = [texts[i].split(" ") for i in plain]
-        inner: set[str] = set()
-        for p in parts:
-            inner.update(p[1:])
-        cut = {w: self.units(w, " ") for w in inner}
+        fresh = set().union(*parts).difference(self.pieces)
+        cut = {w: self.units(w, " ") for w in fresh}
         heads = [self.units(p[0], "") for p in parts]
         known = self.known
         new = {u for us in cut.values() for u in us if u not in known} | {u for us in heads for u in us if u not in known}
-        if new:
-            learnt = self.learn(list(new))
-            if len(known) + len(learnt) <= WORDS:
-                known.update(learnt)
-            else:
-                # Full: the words that came first, which hold the common ones, stay.
-                for u in list(learnt)[: max(WORDS - len(known), 0)]:
-                    known[u] = learnt[u]
-                known = {**known, **learnt}
+        known = self.grown(known, self.learn(list(new))) if new else known
         get = known.__getitem__
-        ids_of = {w: get(us[0]) if len(us) == 1 else b"".join(map(get, us)) for w, us in cut.items()}
-        piece = ids_of.__getitem__
+        pieces = self.grown(self.pieces, {w: get(us[0]) if len(us) == 1 else b"".join([get(u) for u in us]) for w, us in cut.items()})
+        piece = pieces.__getitem__
         for i, p, head in zip(plain, parts, heads, strict=True):
-            out[i] = b"".join(map(get, head)) + b"".join(map(piece, p[1:]))
+            del p[0]
+            out[i] = b"".join(map(get, head)) + b"".join(map(piece, p))
         return out
 
+    @staticmethod
+    def grown(held: dict[str, bytes], more: dict[str, bytes]) -> dict[str, bytes]:
+        """Both tables. What comes first, and so the common words, is remembered in ``held``; beyond WORDS it serves one batch."""
+        if len(held) + len(more) <= WORDS:
+            held.update(more)
+            return held
+        for w in list(more)[: max(WORDS - len(held), 0)]:
+            held[w] = more[w]
+        return {**held, **more}
+
 
 @cache
 def encoder_of(path: str) -> Encoder:
