@@ -1,4 +1,6 @@
 """The store queries of the driver contract and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from arborlake.plans import tree_queries  # noqa: F401  registers its queries
+from arborlake.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
