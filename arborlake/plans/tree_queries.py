@@ -26,14 +26,11 @@ def tree_diff(spark: SparkSession, sf: str) -> DataFrame:
     return trees.in_output_order(trees.diff(P.tree_a(spark, sf), P.tree_b(spark, sf)))
 
 
-@query("O6_diff_order", _DIFF + "SELECT path, kind, row_number() OVER (ORDER BY CASE kind WHEN 'M' THEN 0 WHEN 'D' THEN 1 ELSE 2 END, path) AS pos FROM diff ORDER BY pos LIMIT 100", "tree_a", "tree_b")
+@query("O6_diff_order", _DIFF + "SELECT CASE kind WHEN 'M' THEN 0 WHEN 'D' THEN 1 ELSE 2 END AS part, path, kind FROM diff", "tree_a", "tree_b")
 def diff_order(spark: SparkSession, sf: str) -> DataFrame:
-    """The first hundred lines of a diff's output, numbered."""
-    top = trees.in_output_order(trees.diff(P.tree_a(spark, sf), P.tree_b(spark, sf))).limit(100)
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.when(F.col("kind") == "M", 0).when(F.col("kind") == "D", 1).otherwise(2), "path")
-    return top.withColumn("pos", F.row_number().over(order).cast("bigint"))
+    """A diff's output in its order, with the part (changed, deleted, added) that a line belongs to."""
+    changes = trees.in_output_order(trees.diff(P.tree_a(spark, sf), P.tree_b(spark, sf)))
+    return changes.select(F.when(F.col("kind") == "M", 0).when(F.col("kind") == "D", 1).otherwise(2).alias("part"), "path", "kind")
 
 
 @query("J2_diff_ignoring_xattrs", "SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'A' WHEN b.path IS NULL THEN 'D' ELSE 'M' END AS kind FROM (SELECT * FROM tree_a WHERE type = 'f') a FULL OUTER JOIN (SELECT * FROM tree_b WHERE type = 'f') b ON a.path = b.path WHERE a.checksum IS DISTINCT FROM b.checksum", "tree_a", "tree_b")
