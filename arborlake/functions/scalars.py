@@ -102,10 +102,11 @@ def tar_path(path: Column, usr_etc: bool = True) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """SI units with one decimal, as a file manager shows them."""
+    """SI units with one decimal, half up, as a file manager shows them."""
     out = F.concat(n.cast("string"), F.lit(" bytes"))
     for power, unit in ((3, "kB"), (6, "MB"), (9, "GB"), (12, "TB"), (15, "PB")):
-        out = F.when(n >= 10**power, F.concat(F.format_string("%.1f", n / 10**power), F.lit(" " + unit))).otherwise(out)
+        tenths = F.floor((n * 10 + 10**power // 2) / 10**power)
+        out = F.when(n >= 10**power, F.concat(F.floor(tenths / 10), F.lit("."), tenths % 10, F.lit(" " + unit))).otherwise(out)
     return F.when(n == 1, "1 byte").otherwise(out)
 
 
