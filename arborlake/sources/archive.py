@@ -14,3 +14,59 @@ def tar_entries(tree: DataFrame, prefix: str = "") -> DataFrame:
     linked = (F.col("type") == "f") & (F.col("__n") > 1)
     entry = F.when(F.col("type") == "d", "dir").when(F.col("type") == "l", "symlink").when(linked, "hardlink").otherwise("file")
     return rows.select(F.concat(F.lit(prefix), "path").alias("path"), entry.alias("entry"), F.when(linked, F.concat(F.lit(prefix), "__first")).alias("target"))
+
+
+def read_tar(spark, path: str, usr_etc: bool = False) -> DataFrame:
+    """(archive, path, type, mode, uid, gid, size, content) of every member of the tar files under ``path``.
+
+    A hard link has the content of the member it names in its archive, which may
+    stand anywhere in it: links are resolved by a join after reading.
+    """
+    import io
+    import tarfile
+    from collections.abc import Iterable, Iterator
+
+    import pyarrow as pa
+
+    from arborlake.functions.scalars import tar_path
+
+    names = ["archive", "path", "type", "mode", "uid", "gid", "size", "content", "target"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+
+    def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = []
+                with tarfile.open(fileobj=io.BytesIO(data)) as tar:
+                    for m in tar:
+                        kind = "d" if m.isdir() else "l" if m.issym() else "h" if m.islnk() else "f" if m.isfile() else None
+                        if kind:
+                            body = tar.extractfile(m).read() if kind == "f" else None
+                            rows.append((archive, m.name, kind, m.mode, m.uid, m.gid, m.size, body, m.linkname or None))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInArrow(members, "archive string, path string, type string, mode int, uid bigint, gid bigint, size bigint, content binary, target string")
+    rows = rows.withColumns({"path": tar_path(F.col("path"), usr_etc), "target": F.when(F.col("type") == "h", tar_path(F.col("target"), usr_etc)).otherwise(F.col("target"))})
+    held = rows.filter("type = 'f'").select("archive", F.col("path").alias("target"), F.col("content").alias("__content"), F.col("size").alias("__size"))
+    links = rows.filter("type = 'h'").join(held, ["archive", "target"], "left").withColumns({"type": F.lit("f"), "content": F.col("__content"), "size": F.col("__size")})
+    columns = ["archive", "path", "type", "mode", "uid", "gid", "size", "content"]
+    return rows.filter("type <> 'h'").select(*columns).unionByName(links.select(*columns))
+
+
+def write_tar(entries: DataFrame, out: str, timestamp: int = 0) -> None:
+    """Writes ``entries`` (path, entry, target, content, mode) as one tar at ``out``, streamed through the driver in path order.
+
+    An archive is one sequential file, so its bytes pass one writer; rows come partition by partition.
+    """
+    import io
+    import tarfile
+
+    kind = {"dir": tarfile.DIRTYPE, "symlink": tarfile.SYMTYPE, "hardlink": tarfile.LNKTYPE, "file": tarfile.REGTYPE}
+    with tarfile.open(out, "w", format=tarfile.PAX_FORMAT) as tar:
+        for r in entries.orderBy("path").toLocalIterator(prefetchPartitions=True):
+            info = tarfile.TarInfo(r["path"])
+            info.type, info.mode, info.mtime, info.linkname = kind[r["entry"]], (r["mode"] or 0) & 0o7777, timestamp, r["target"] or ""
+            body = bytes(r["content"] or b"") if r["entry"] == "file" else b""
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
