@@ -33,7 +33,7 @@ def folder(spark: SparkSession, root: str) -> DataFrame:
 
 def key_file(spark: SparkSession, path: str) -> DataFrame:
     """(file, section, key, value) of INI files; comments and blank lines go."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
     from pyspark.sql import Window
 
     section = F.last(F.when(F.col("line").rlike(r"^\s*\[.*\]\s*$"), F.regexp_extract("line", r"\[(.*)\]", 1)), ignorenulls=True).over(Window.partitionBy("file").orderBy("n"))
