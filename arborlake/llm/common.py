@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of input for each task that writes a merged table.
+TASK_BYTES = 8 << 20
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -38,12 +40,20 @@ class Scratch:
     shared folder. ``drop`` removes a table that no later phase reads.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, like: DataFrame | None = None):
+        """``like`` is the input that the tables derive from; its size bounds the number of tasks that ``merge`` writes with."""
         self.spark = spark
+        small_batches(spark)
+        size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if like is not None else 0
+        self.tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)) if like is not None else 0
         self.root = f"{shared_dir(spark)}/arborlake/{name}-{uuid.uuid4().hex[:12]}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, merge: bool = False) -> DataFrame:
+        """Writes and rereads ``df``. With ``merge`` many small partitions are written by fewer tasks, a file each, as the
+        input's size asks for; no task gets more than it would at that size, and larger inputs keep their partitions."""
         path = f"{self.root}/{name}"
+        if merge:
+            df = self.merged(df)
         before = self.spark.conf.get(CLEAN_UP, None)
         # Once a phase's table is written, its shuffle files are of no more use.
         if before is not None:
@@ -55,6 +65,10 @@ class Scratch:
                 self.spark.conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def merged(self, df: DataFrame) -> DataFrame:
+        """``df`` in no more partitions than the input's size asks for."""
+        return df.coalesce(self.tasks) if self.tasks else df
+
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -71,8 +85,20 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: Bytes of an Arrow batch between the JVM and a Python worker. Buffers grow by doubling and both sides hold a copy.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python operator's task holds in Arrow buffers, whatever the length of the texts: the
+    session's batches are set to BATCH_BYTES unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)
+    if held is None:
+        return
+    number, unit = held.rstrip("bBkKmMgG"), held.rstrip("bB")[-1:].lower()
+    if int(number) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(unit, 1) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int) -> Iterator[pa.RecordBatch]:

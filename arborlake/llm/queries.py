@@ -43,7 +43,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op5"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.deduplicate(docs, Scratch(spark, "op5", docs))
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

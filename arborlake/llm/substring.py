@@ -159,26 +159,26 @@ def repeated_starts(docs: DataFrame, firsts: DataFrame, scratch: Scratch, window
     """
     spread = firsts.select(_order().alias("id"), "row", F.explode("anchors").alias("h"))
     twice = spread.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h")
-    twice = scratch.table(twice, "level1")
+    twice = scratch.table(twice, "level1", merge=True)
     if twice.isEmpty():
         return None
-    marked = scratch.table(spread.join(twice, "h").groupBy("row").agg(F.collect_set("h").alias("repeated")), "marked")
+    marked = scratch.table(spread.join(twice, "h").groupBy("row").agg(F.collect_set("h").alias("repeated")), "marked", merge=True)
     held = docs.join(marked, "row").select("doc_id", "row", "text", "repeated")
-    windows = scratch.table(extend(held, window), "windows")
+    windows = scratch.table(extend(held, window), "windows", merge=True)
     least = windows.select(_order().alias("id"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    least = scratch.table(least.filter("lo < hi").select("key", "lo"), "level2")
+    least = scratch.table(least.filter("lo < hi").select("key", "lo"), "level2", merge=True)
     if least.isEmpty():
         return None
     each = windows.select(_order().alias("id"), "row", F.explode(F.arrays_zip("starts", "keys")).alias("w")).select("id", "row", F.col("w.starts").alias("start"), F.col("w.keys").alias("key"))
-    return scratch.table(each.join(least, "key").filter("id > lo").groupBy("row").agg(F.collect_set("start").alias("starts")), "found")
+    return scratch.table(each.join(least, "key").filter("id > lo").groupBy("row").agg(F.collect_set("start").alias("starts")), "found", merge=True)
 
 
 def deduplicate(docs: DataFrame, scratch: Scratch, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row of ``docs`` (doc_id, text); with ``with_text`` also ``kept``."""
     docs = docs.select("doc_id", "text")
-    profiled = scratch.table(profile(docs, window), "profile")
+    profiled = scratch.table(profile(docs, window), "profile", merge=True)
     first = profiled.groupBy("seq").agg(F.min(_order()).alias("__first"))
-    joined = scratch.table(profiled.drop("anchors").join(first, "seq").withColumn("copy", _order() > F.col("__first")).drop("__first"), "joined")
+    joined = scratch.table(profiled.drop("anchors").join(first, "seq").withColumn("copy", _order() > F.col("__first")).drop("__first"), "joined", merge=True)
     firsts = profiled.join(joined.filter(~F.col("copy") & (F.col("n_words") >= window)).select("row").distinct(), "row", "left_semi")
     again = docs.select(F.col("doc_id").cast("bigint"), row_key().alias("row"), text_bytes().alias("text"))
     starts = repeated_starts(again, firsts, scratch, window)
@@ -195,7 +195,7 @@ def deduplicate(docs: DataFrame, scratch: Scratch, window: int = WINDOW, with_te
         texts = again.select("row", F.col("text").cast("string").alias("__text")).dropDuplicates(["row"])
         plain = F.trim(F.regexp_replace("__text", "[\\x20\\x09-\\x0D]+", " "))
         out = out.join(texts, "row").withColumn("kept", F.when(whole, "").otherwise(F.coalesce("kept", plain)))
-    return out.select("doc_id", "n_words", n_removed.alias("n_removed"), digest.alias("kept_sha256"), *(["kept"] if with_text else []))
+    return scratch.merged(out.select("doc_id", "n_words", n_removed.alias("n_removed"), digest.alias("kept_sha256"), *(["kept"] if with_text else [])))
 
 
 ORACLE = r"""
