@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of input for each task that writes a merged table.
-TASK_BYTES = 8 << 20
+TASK_BYTES = 4 << 20
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -16,10 +16,11 @@ share an id follow each other, ordered by a hash of the text and the text.
 from __future__ import annotations
 
 import gc
-import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from arborlake.llm.common import Scratch, slices, text_bytes
 #: A block is closed when it holds so many ids; a longer document has a block of its own.
 BLOCK_IDS = 1 << 17
 END_ID = 0
-#: Distinct words whose ids a worker remembers at most.
-WORDS = 250_000
+#: Pieces and units whose ids a worker remembers at most.
+WORDS = 500_000
 
 BLOCK_SCHEMA = "shard int, block int, first bigint, doc_ids array<bigint>, offsets array<bigint>, n_ids bigint, bits int, payload binary"
 
@@ -71,15 +72,14 @@ class Encoder:
 
     Its pre-tokenizer always cuts before a single space or line break between
     two other characters, around such a line break, and between a letter and the
-    stop or comma that ends a word. So a text without other runs of blanks is cut
-    into such units, and each distinct unit of a batch is encoded once. Unknown
-    units are encoded together, as one text, and cut apart by the byte length of
-    each id.
+    stop or comma that ends a word. So a text without other runs of blanks is the
+    sequence of its pieces (what stands between single spaces); a piece is
+    numbered when it is first seen, made of units that are each encoded once, and
+    its ids are kept in one flat array, from which the ids of all texts are
+    gathered at once. Unknown units are encoded together, as one text, and cut
+    apart by the byte length of each id. Other texts are encoded whole.
     """
 
-    #: Where the cuts above don't hold: other runs of blanks around a space.
-    ODD = re.compile(r" \s|\s ")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -89,18 +89,23 @@ class Encoder:
         self.lengths = np.zeros(self.size, np.int64)
         for token, i in self.model.get_vocab().items():
             self.lengths[i] = len(token)  # one character for each byte
-        self.known: dict[str, bytes] = {}  # of units
-        self.pieces: dict[str, bytes] = {}  # of what follows a single space
+        self.units_known: dict[str, bytes] = {}
+        #: The number of each piece. The first piece of a text has no space before it, and has one in its key instead.
+        self.number: defaultdict[str, int] = defaultdict()
+        self.flat = np.empty(0, np.uint32)
+        self.starts, self.counts, self.odd = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
-    def units(piece: str, space: str) -> tuple[str, ...]:
-        """The units of what stands between two single spaces; ``space`` is the one before it, or empty."""
+    def units(piece: str, space: str) -> tuple[str, ...] | None:
+        """The units of a piece with ``space`` (or nothing) before it; None where blanks at its ends mean that the cuts don't hold."""
         if piece.isalpha():
             return (space + piece,)
-        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        if piece[-1] in ".," and piece[:-1].isalpha():
             return space + piece[:-1], piece[-1]
         if "\n" not in piece:
             return (space + piece,)
@@ -137,45 +142,69 @@ class Encoder:
                 out[unit] = raw[4 * a : 4 * b]
         return out
 
+    def add(self, pieces: list[str]) -> None:
+        """Appends the ids of new pieces to the tables."""
+        cut = [self.units(p[1:], "") if p[0] == " " else self.units(p, " ") for p in (x or "\n" for x in pieces)]
+        known = self.units_known
+        new = {u for us in cut if us for u in us if u not in known}
+        if new:
+            learnt = self.learn(list(new))
+            room = max(WORDS - len(known), 0)
+            if room:
+                known.update(learnt if len(learnt) <= room else dict(islice(learnt.items(), room)))
+            if len(learnt) > room:
+                known = {**known, **learnt}
+        ids = [b"" if us is None else known[us[0]] if len(us) == 1 else b"".join([known[u] for u in us]) for us in cut]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.odd = np.concatenate([self.odd, np.fromiter((us is None for us in cut), bool, len(cut))])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
+
+    def forget(self) -> None:
+        """Back to WORDS pieces: the ones that came first, which hold the common ones, stay."""
+        for _ in range(len(self.number) - WORDS):
+            self.number.popitem()
+        if len(self.starts) > WORDS:
+            self.flat = self.flat[: self.starts[WORDS]].copy()
+            self.starts, self.counts, self.odd = (x[:WORDS].copy() for x in (self.starts, self.counts, self.odd))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         gc.disable()  # millions of strings and no cycle: collections would only cost time
         try:
             return self._encode(texts)
         finally:
+            self.forget()
             gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [b"" if t == "" else None for t in texts]
-        odd = [i for i, t in enumerate(texts) if t and (t[0].isspace() or t[-1].isspace() or self.ODD.search(t))]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        plain = [i for i, x in enumerate(out) if x is None]
-        parts = [texts[i].split(" ") for i in plain]
-        fresh = set().union(*parts).difference(self.pieces)
-        cut = {w: self.units(w, " ") for w in fresh}
-        heads = [self.units(p[0], "") for p in parts]
-        known = self.known
-        new = {u for us in cut.values() for u in us if u not in known} | {u for us in heads for u in us if u not in known}
-        known = self.grown(known, self.learn(list(new))) if new else known
-        get = known.__getitem__
-        pieces = self.grown(self.pieces, {w: get(us[0]) if len(us) == 1 else b"".join([get(u) for u in us]) for w, us in cut.items()})
-        piece = pieces.__getitem__
-        for i, p, head in zip(plain, parts, heads, strict=True):
-            del p[0]
-            out[i] = b"".join(map(get, head)) + b"".join(map(piece, p))
+        if not texts:
+            return []
+        parts = [t.split(" ") for t in texts]
+        for p in parts:
+            p[0] = " " + p[0]
+        words = np.fromiter(map(len, parts), np.int64, len(parts))
+        before = len(self.number)
+        self.number.default_factory = count(before).__next__
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, words.sum())
+        if len(self.number) > before:
+            self.add(list(islice(self.number, before, None)))
+        first = np.cumsum(words) - words
+        odd = np.logical_or.reduceat(self.odd[numbers], first)
+        counts = self.counts[numbers]
+        ends = np.cumsum(counts)
+        ids = self.flat[np.repeat(self.starts[numbers] - (ends - counts), counts) + np.arange(ends[-1])]
+        stops = ends[first + words - 1].tolist()
+        out, start = [], 0
+        for stop in stops:
+            out.append(ids[start:stop].tobytes())
+            start = stop
+        rest = [i for i in np.flatnonzero(odd).tolist() if texts[i]]
+        for i, whole in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            out[i] = whole
         return out
 
-    @staticmethod
-    def grown(held: dict[str, bytes], more: dict[str, bytes]) -> dict[str, bytes]:
-        """Both tables. What comes first, and so the common words, is remembered in ``held``; beyond WORDS it serves one batch."""
-        if len(held) + len(more) <= WORDS:
-            held.update(more)
-            return held
-        for w in list(more)[: max(WORDS - len(held), 0)]:
-            held[w] = more[w]
-        return {**held, **more}
-
 
 @cache
 def encoder_of(path: str) -> Encoder:
