@@ -95,8 +95,8 @@ class Encoder:
         self.flat = np.empty(0, np.uint32)
         self.starts, self.counts, self.odd = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def units(piece: str, space: str) -> tuple[str, ...] | None:
@@ -125,7 +125,7 @@ class Encoder:
 
     def learn(self, units: list[str]) -> dict[str, bytes]:
         """The ids of new units. Those that start with a space are strung together, the others put on lines of their own."""
-        out = {"\n": self.whole(["\n"])[0]}
+        out = {"\n": self.whole(["\n"])[0].tobytes()}
         spaced = [u for u in units if u[0] == " "]
         bare = [u for u in units if u[0] != " " and u != "\n"]
         for group, between in ((spaced, ""), (bare, "\n")):
@@ -144,7 +144,8 @@ class Encoder:
 
     def add(self, pieces: list[str]) -> None:
         """Appends the ids of new pieces to the tables."""
-        cut = [self.units(p[1:], "") if p[0] == " " else self.units(p, " ") for p in (x or "\n" for x in pieces)]
+        units = self.units
+        cut = [(" " + p,) if p.isalpha() else units(p[1:], "") if p[:1] == " " else units(p, " ") for p in pieces]
         known = self.units_known
         new = {u for us in cut if us for u in us if u not in known}
         if new:
@@ -169,8 +170,8 @@ class Encoder:
             self.flat = self.flat[: self.starts[WORDS]].copy()
             self.starts, self.counts, self.odd = (x[:WORDS].copy() for x in (self.starts, self.counts, self.odd))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         gc.disable()  # millions of strings and no cycle: collections would only cost time
         try:
             return self._encode(texts)
@@ -178,7 +179,7 @@ class Encoder:
             self.forget()
             gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
         parts = [t.split(" ") for t in texts]
@@ -198,7 +199,7 @@ class Encoder:
         stops = ends[first + words - 1].tolist()
         out, start = [], 0
         for stop in stops:
-            out.append(ids[start:stop].tobytes())
+            out.append(ids[start:stop])
             start = stop
         rest = [i for i in np.flatnonzero(odd).tolist() if texts[i]]
         for i, whole in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
@@ -225,12 +226,12 @@ def write_blocks(docs: DataFrame, scratch: Scratch, tokenizer_path: str, id_col:
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
         bits, shard, block, first = id_bits(encoder.size), TaskContext.get().partitionId(), 0, 0
-        end = np.array([END_ID], np.uint32).tobytes()
+        end = np.array([END_ID], np.uint32)
         doc_ids, parts, offsets, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
             nonlocal block, first
-            row = {"shard": [shard], "block": [block], "first": [first], "doc_ids": [doc_ids], "offsets": [offsets], "n_ids": [held], "bits": [bits], "payload": [pack(np.frombuffer(b"".join(parts), np.uint32), bits)]}
+            row = {"shard": [shard], "block": [block], "first": [first], "doc_ids": [doc_ids], "offsets": [offsets], "n_ids": [held], "bits": [bits], "payload": [pack(np.concatenate(parts), bits)]}
             block, first = block + 1, first + held
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
@@ -240,7 +241,7 @@ def write_blocks(docs: DataFrame, scratch: Scratch, tokenizer_path: str, id_col:
                 doc_ids.append(doc)
                 offsets.append(held)
                 parts += (ids, end)
-                held += len(ids) // 4 + 1
+                held += len(ids) + 1
                 if held >= BLOCK_IDS:
                     yield close()
                     doc_ids, parts, offsets, held = [], [], [], 0
@@ -265,7 +266,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 cuts = np.array([*row["offsets"], row["n_ids"]], np.int64)
-                raw = unpack(row["payload"], row["bits"], 0, row["n_ids"]).astype("<u4").tobytes()
+                raw = memoryview(unpack(row["payload"], row["bits"], 0, row["n_ids"]).astype("<u4")).cast("B")
                 sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(cuts[:-1] + (row["before"] + row["first"])), pa.array(np.diff(cuts)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
