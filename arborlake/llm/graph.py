@@ -18,19 +18,19 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     chain.
     """
     flat = lambda a, b: F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    now = scratch.table(edges.filter("a <> b").select(flat(F.col("a"), F.col("b")).alias("e")).select("e.*").distinct(), f"{name}0")
+    now = scratch.table(edges.filter("a <> b").select(flat(F.col("a"), F.col("b")).alias("e")).select("e.*").distinct(), f"{name}0", merge=True)
     seen, k = None, 0
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, both["a"] == least["u"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         k += 1
-        large = scratch.table(large.distinct(), f"{name}{k}")
+        large = scratch.table(large.distinct(), f"{name}{k}", merge=True)
         # Small star: now every edge points down; a node's lower neighbours and itself go to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, large["a"] == least["u"]).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b")
         k += 1
-        now = scratch.table(small.distinct(), f"{name}{k}")
+        now = scratch.table(small.distinct(), f"{name}{k}", merge=True)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}{k - 2}")
         scratch.drop(f"{name}{k - 1}")

@@ -34,7 +34,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return simhash.digest(simhash.deduplicate(docs, Scratch(spark, "op3"), ["doc_id"]))
+    return simhash.digest(simhash.deduplicate(docs, Scratch(spark, "op3", docs), ["doc_id"]))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

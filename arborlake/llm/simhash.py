@@ -14,9 +14,9 @@ across a boundary only what lies within RADIUS of it. The number of vantage
 points follows the number of fingerprints, so shards stay of one size and the
 rows dealt are RADIUS + 1 times the distinct fingerprints.
 
-Equal fingerprints are collapsed first. A shard that a dense cluster still fills
-beyond ``SHARD`` rows is cut into blocks by a hash, and each pair of blocks is a
-unit of work of its own. A unit returns a spanning forest of its links, one edge
+Equal fingerprints are collapsed first. A shard of more than ``SHARD`` rows is
+dealt again by the bits beyond its band; one that a dense cluster still fills is
+cut into blocks by a hash, and each pair of blocks is a unit of work of its own. A unit returns a spanning forest of its links, one edge
 a fingerprint at most, never its pairs.
 
 Null text has no words; no words give fingerprint zero, linked like any other.
@@ -160,7 +160,7 @@ def vantage_points(n: int) -> np.ndarray:
 
 
 def shards_of(fps: DataFrame, count: int) -> DataFrame:
-    """(shard, fp) for each band: the band and the distances to its vantage points, as many as ``count`` asks for."""
+    """(shard, fp) for each band: the distances to its vantage points, as many as ``count`` asks for, and the band in the lowest bits."""
     # A vantage point cuts a band's fingerprints into about seven shells.
     depth = int(np.clip(np.ceil(np.log(max(count, 2) / 64) / np.log(7)), 1, VANTAGES))
     width = 64 // (RADIUS + 1)
@@ -169,10 +169,10 @@ def shards_of(fps: DataFrame, count: int) -> DataFrame:
     rows = []
     for band in range(RADIUS + 1):
         own = F.shiftrightunsigned("fp", band * width).bitwiseAND(F.lit(mask))
-        key = F.lit(band).cast("bigint")
+        key = F.lit(0).cast("bigint")
         for v in points[band].tolist():
             key = key * 17 + F.bit_count(own.bitwiseXOR(F.lit(v))).cast("bigint")
-        rows.append(key)
+        rows.append(key * (RADIUS + 1) + band)
     return fps.select("fp", F.explode(F.array(*rows)).alias("shard"))
 
 
@@ -210,6 +210,34 @@ def link_units(units: DataFrame) -> DataFrame:
     return units.select("unit", "fp").mapInArrow(run, UNIT)
 
 
+def finer(shards: DataFrame, shard_rows: int) -> DataFrame:
+    """``shards`` with those of too many rows dealt again by the bits beyond their band.
+
+    Of the 48 bits left, a linked pair agrees on one of four bands of 12; its
+    distances to that band's vantage points are the same, which names the finer
+    shard. So a row of a large shard is copied four times and shards get up to
+    4096 times smaller, where cutting into pairs of blocks copies a row once a block.
+    """
+    large = shards.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows).select("shard", F.lit(True).alias("large"))
+    marked = shards.join(large, "shard", "left")
+    band = F.col("shard").bitwiseAND(F.lit(RADIUS))
+    keys = []
+    for sub in range(RADIUS + 1):
+        # The bits after the band come first, around the end of the word.
+        own = F.lit(None).cast("bigint")
+        for k in range(RADIUS + 1):
+            places = [((k + 1) * 16 + sub * 12 + i) % 64 for i in range(12)]
+            if places[-1] == places[0] + 11:
+                value = F.shiftrightunsigned("fp", places[0]).bitwiseAND(F.lit(0xFFF))
+            else:
+                head = 64 - places[0]
+                value = F.shiftrightunsigned("fp", places[0]).bitwiseOR(F.shiftleft(F.col("fp").bitwiseAND(F.lit((1 << (12 - head)) - 1)), head))
+            own = F.when(band == k, value).otherwise(own)
+        distances = [F.bit_count(own.bitwiseXOR(F.lit(v & 0xFFF))) for v in vantage_points(VANTAGES)[sub].tolist()]
+        keys.append(F.xxhash64("shard", F.lit(sub), *distances))
+    return marked.select("fp", F.explode(F.when(F.col("large"), F.array(*keys)).otherwise(F.array("shard"))).alias("shard"))
+
+
 def work_units(shards: DataFrame, shard_rows: int = SHARD) -> DataFrame:
     """(unit, fp): a shard is one unit, or where it has too many rows, one for each pair of its blocks."""
     sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows).select("shard", F.ceil(F.col("n") / shard_rows).alias("blocks"))
@@ -219,19 +247,19 @@ def work_units(shards: DataFrame, shard_rows: int = SHARD) -> DataFrame:
     return both.select("fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.col("shard"))).otherwise(F.transform(pairs, lambda p: F.xxhash64("shard", p)))).alias("unit"))
 
 
-def near_duplicates(fps: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> DataFrame:
+def near_duplicates(fps: DataFrame, scratch: Scratch, id_col: str = "doc_id", shard_rows: int = SHARD) -> DataFrame:
     """Adds to ``fps`` (columns incl. id_col and fp) ``component_id``, the least id reachable over links, and
     ``component``, a fingerprint that names the component even where all its ids are null."""
-    distinct = scratch.table(fps.groupBy("fp").agg(F.min(id_col).alias("__least")), "distinct")
-    shards = scratch.table(shards_of(distinct, distinct.count()), "shards")
-    units = work_units(shards)
+    distinct = scratch.table(fps.groupBy("fp").agg(F.min(id_col).alias("__least")), "distinct", merge=True)
+    shards = scratch.table(shards_of(distinct, distinct.count()), "shards", merge=True)
+    units = work_units(scratch.table(finer(shards, shard_rows), "finer", merge=True), shard_rows)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = link_units(units.repartition(n, "unit").sortWithinPartitions("unit"))
     roots = components(edges, scratch)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
     least = rooted.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    of_fp = scratch.table(rooted.join(least, "__root").select(F.col("fp").alias("__fp"), "component_id", F.col("__root").alias("component")), "of_fp")
-    return fps.join(of_fp, fps["fp"] == of_fp["__fp"], "left").drop("__fp")
+    of_fp = scratch.table(rooted.join(least, "__root").select(F.col("fp").alias("__fp"), "component_id", F.col("__root").alias("component")), "of_fp", merge=True)
+    return scratch.merged(fps.join(of_fp, fps["fp"] == of_fp["__fp"], "left").drop("__fp"))
 
 
 def deduplicate(docs: DataFrame, scratch: Scratch, keys: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
