@@ -12,7 +12,7 @@ def closure(seeds: DataFrame, edges: DataFrame, checkpoint_every: int = 4) -> Da
     A frontier loop with a visited set: shared subtrees are expanded once, cycles
     end. Each round joins the frontier only; lineage is cut by checkpoints in the shared folder.
     """
-    _ensure_checkpoint_dir(seeds)
+    ensure_checkpoint_dir(seeds)
     visited = seeds.select("checksum").distinct().checkpoint()
     frontier, rounds = visited, 0
     while True:
@@ -26,7 +26,7 @@ def closure(seeds: DataFrame, edges: DataFrame, checkpoint_every: int = 4) -> Da
             visited = visited.checkpoint()
 
 
-def _ensure_checkpoint_dir(df: DataFrame) -> None:
+def ensure_checkpoint_dir(df: DataFrame) -> None:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         import tempfile
@@ -35,11 +35,15 @@ def _ensure_checkpoint_dir(df: DataFrame) -> None:
 
 
 def expand(roots: DataFrame, dir_edges: DataFrame) -> DataFrame:
-    """(root, path, tree): each directory under each root (root, tree), by name path; subtrees that are shared appear under each path."""
+    """(root, path, tree): each directory under each root (root, tree), by name path; subtrees that are shared appear under each path.
+
+    A level is kept as a checkpoint, so a deep tree is walked once, not once a level.
+    """
+    ensure_checkpoint_dir(roots)
     level = roots.select("root", F.lit("").alias("path"), "tree")
     out = level
     while True:
-        level = level.join(dir_edges, level["tree"] == dir_edges["parent"]).select("root", F.concat("path", F.lit("/"), "name").alias("path"), F.col("child").alias("tree"))
+        level = level.join(dir_edges, level["tree"] == dir_edges["parent"]).select("root", F.concat("path", F.lit("/"), "name").alias("path"), F.col("child").alias("tree")).checkpoint()
         if level.isEmpty():
             return out
         out = out.unionByName(level)
@@ -51,7 +55,7 @@ def along(commits: DataFrame, tips: DataFrame) -> DataFrame:
     Pointer doubling: after k rounds all ancestors within 2^k are known, so a
     history of a million commits takes twenty rounds rather than a million.
     """
-    _ensure_checkpoint_dir(commits)
+    ensure_checkpoint_dir(commits)
     parents = commits.select(F.col("checksum").alias("c"), F.col("parent").alias("p"))
     have = commits.select(F.col("checksum").alias("p")).distinct()
     jump = parents.join(have, "p", "left_semi").select("c", "p").checkpoint()
@@ -96,7 +100,7 @@ def sweep(objects: DataFrame, reachable: DataFrame) -> DataFrame:
 
 def owners(commits: DataFrame, edges: DataFrame, checkpoint_every: int = 4) -> DataFrame:
     """(commit, checksum): which commits hold each object, as pairs; the closure of each commit by itself."""
-    _ensure_checkpoint_dir(commits)
+    ensure_checkpoint_dir(commits)
     visited = commits.select(F.col("checksum").alias("commit"), "checksum").distinct().checkpoint()
     frontier = visited
     while True:

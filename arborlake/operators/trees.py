@@ -7,7 +7,7 @@ Ancestor conditions are equi-joins on exploded ancestors, never prefix joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.sources.project import ancestors, parent_of
@@ -147,8 +147,11 @@ def subdir_match(path: Column, directory: str) -> Column:
 def dirtree_hashes(tree: DataFrame) -> DataFrame:
     """(path, checksum) of each directory, the root included, from its sorted entries, deepest first.
 
-    One grouped pass a level; a level's rows are the directories of that depth.
+    One grouped pass a level; a level's rows are the directories of that depth, kept as a checkpoint for the next.
     """
+    from arborlake.operators.history import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(tree)
     depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
     files = tree.filter("type <> 'd'").select(parent_of(F.col("path")).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.lit("f").alias("kind"), "checksum")
     dirs = tree.filter("type = 'd'").select("path", F.col("checksum").alias("meta"), depth.alias("depth"))
@@ -158,7 +161,7 @@ def dirtree_hashes(tree: DataFrame) -> DataFrame:
         own = files.filter((F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))) == level)
         entries = own if below is None else own.unionByName(below)
         hashed = entries.groupBy("dir").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "kind", "checksum"))), lambda e: F.concat_ws(":", e["name"], e["kind"], e["checksum"])), "\n"), 256).alias("checksum"))
-        step = hashed.select(F.col("dir").alias("path"), "checksum")
+        step = hashed.select(F.col("dir").alias("path"), "checksum").checkpoint()
         out = step if out is None else out.unionByName(step)
         below = step.filter("path <> ''").select(parent_of(F.col("path")).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.lit("d").alias("kind"), "checksum")
     return out

@@ -203,3 +203,70 @@ def reset_ref(spark: SparkSession, sf: str) -> DataFrame:
     commits = P.commits(spark, sf)
     back = P.refs(spark, sf).join(commits.select("checksum", "parent"), "checksum").filter("parent IS NOT NULL").select("ref_name", F.col("parent").alias("checksum"))
     return back.join(commits.select("checksum"), "checksum", "left_semi").select("ref_name", "checksum")
+
+
+@query("SC9_tar_import", "SELECT 'usr/etc/' || source || '/' || doc_id AS path, octet_length(encode(text)) AS size, sha256(text) AS checksum FROM documents")
+def tar_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents packed into eight archives, every other copy as a hard link, and read back."""
+    import io
+    import tarfile
+
+    from arborlake.sources.archive import tar_members
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        out, seen = io.BytesIO(), {}
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for name, text in zip(rows["name"], rows["text"], strict=True):
+                info = tarfile.TarInfo(name)
+                data = text.encode()
+                if data in seen:
+                    info.type, info.linkname = tarfile.LNKTYPE, seen[data]
+                    tar.addfile(info)
+                else:
+                    seen[data], info.size = name, len(data)
+                    tar.addfile(info, io.BytesIO(data))
+        return pd.DataFrame({"path": [str(rows["part"].iloc[0])], "content": [out.getvalue()]})
+
+    docs = P.load(spark, sf, "documents").select((F.col("doc_id") % 8).alias("part"), F.concat(F.lit("./etc/"), "source", F.lit("/"), "doc_id").alias("name"), "text")
+    files = docs.groupBy("part").applyInPandas(pack, "path string, content binary")
+    return tar_members(files, usr_etc=True).select("path", F.octet_length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("checksum"))
+
+
+@query("SC10_folder_import")
+def folder_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file below the folder of the tables, with its size."""
+    return ST.folder(spark, sf).select("path", "size")
+
+
+@query("SC13_metalink", "SELECT s_name AS name, s_suppkey AS size, 'http://mirror' || (s_suppkey % 3) || '/' || s_name AS url FROM supplier")
+def metalink_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each file's mirrors the one of the highest preference."""
+    url = lambda host, preference: F.concat(F.lit('<url protocol="http" preference="'), preference, F.lit('">http://mirror'), host, F.lit("/"), "s_name", F.lit("</url>"))
+    text = F.concat(
+        F.lit('<metalink xmlns="http://www.metalinker.org/"><files><file name="'), "s_name", F.lit('"><size>'), "s_suppkey", F.lit("</size><resources>"), url(F.lit("9"), F.lit("10")), url((F.col("s_suppkey") % 3).cast("string"), F.lit("90")), F.lit("</resources></file></files></metalink>"),
+    )
+    files = P.load(spark, sf, "supplier").select(F.col("s_name").alias("path"), text.cast("binary").alias("content"))
+    return ST.metalink_urls(files).groupBy("name").agg(F.max("size").alias("size"), F.max_by("url", "preference").alias("url"))
+
+
+@query("F14_siphash")
+def siphash(spark: SparkSession, sf: str) -> DataFrame:
+    """The bloom hash of every ref name; its reference vector is in the tests."""
+
+    @F.pandas_udf("string")
+    def run(name: pd.Series) -> pd.Series:
+        return name.map(lambda n: f"{B.siphash24(bytes(16), n.encode()):016x}")
+
+    return P.refs(spark, sf).select("ref_name", run("ref_name").alias("hash"))
+
+
+@query("SK13_delta_write", "WITH old AS (SELECT DISTINCT checksum FROM tree_a WHERE type = 'f'), new AS (SELECT checksum, max(size) AS size FROM tree_b WHERE type = 'f' AND checksum NOT IN (SELECT checksum FROM old) GROUP BY 1) SELECT size > 3000 AS fallback, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM new GROUP BY 1", "tree_a", "tree_b")
+def delta_write(spark: SparkSession, sf: str) -> DataFrame:
+    """What a delta without bases writes: small objects into its parts, large ones as fallbacks."""
+    from arborlake.operators import delta as D
+
+    a, b = (t(spark, sf).filter("type = 'f'").select("checksum", "size", "mode", F.element_at(F.split("path", "/"), 2).alias("name")) for t in (P.tree_a, P.tree_b))
+    new = b.join(a.select("checksum"), "checksum", "left_anti")
+    none = spark.createDataFrame([], "to string, from string, fuzzy boolean")
+    planned = D.plan(new, none, a, min_fallback=3000)
+    return planned.groupBy((F.col("strategy") == "fallback").alias("fallback")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))

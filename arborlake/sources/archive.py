@@ -17,7 +17,12 @@ def tar_entries(tree: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def read_tar(spark, path: str, usr_etc: bool = False) -> DataFrame:
-    """(archive, path, type, mode, uid, gid, size, content) of every member of the tar files under ``path``.
+    """The members of the tar files under ``path``; see ``tar_members``."""
+    return tar_members(spark.read.format("binaryFile").load(path).select("path", "content"), usr_etc)
+
+
+def tar_members(files: DataFrame, usr_etc: bool = False) -> DataFrame:
+    """(archive, path, type, mode, uid, gid, size, content) of every member of tar files (path, content).
 
     A hard link has the content of the member it names in its archive, which may
     stand anywhere in it: links are resolved by a join after reading.
@@ -45,7 +50,6 @@ def read_tar(spark, path: str, usr_etc: bool = False) -> DataFrame:
                             rows.append((archive, m.name, kind, m.mode, m.uid, m.gid, m.size, body, m.linkname or None))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = files.mapInArrow(members, "archive string, path string, type string, mode int, uid bigint, gid bigint, size bigint, content binary, target string")
     rows = rows.withColumns({"path": tar_path(F.col("path"), usr_etc), "target": F.when(F.col("type") == "h", tar_path(F.col("target"), usr_etc)).otherwise(F.col("target"))})
     held = rows.filter("type = 'f'").select("archive", F.col("path").alias("target"), F.col("content").alias("__content"), F.col("size").alias("__size"))

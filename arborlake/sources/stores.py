@@ -53,7 +53,12 @@ def tristate(value: Column) -> Column:
 
 
 def metalink(spark: SparkSession, path: str) -> DataFrame:
-    """(file, name, size, sha256, sha512, url, preference) of metalink files, one row a URL."""
+    """The links of the metalink files under ``path``; see ``metalink_urls``."""
+    return metalink_urls(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def metalink_urls(texts: DataFrame) -> DataFrame:
+    """(file, name, size, sha256, sha512, url, preference) of metalink files (path, content), one row a URL."""
     import xml.etree.ElementTree as ET
     from collections.abc import Iterable, Iterator
 
@@ -75,7 +80,6 @@ def metalink(spark: SparkSession, path: str) -> DataFrame:
                             rows.append((where, f.get("name"), int(size) if size else None, sums.get("sha256"), sums.get("sha512"), (u.text or "").strip(), int(u.get("preference") or 0)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    texts = spark.read.format("binaryFile").load(path).select("path", "content")
     return texts.mapInArrow(parse, "file string, name string, size bigint, sha256 string, sha512 string, url string, preference int")
 
 

@@ -40,5 +40,5 @@ def test_query_matches_its_oracle(spark, duck, name):
 
 
 def test_every_query_without_oracle_is_named():
-    # F13 (no CRC in the oracle), a sequential packing, and two chunkings are compared with plain code in other tests.
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"F13_crc32", "W11_part_packing", "W12_content_chunks", "J5_chunk_join"}
+    # Hashes that the oracle lacks, a folder listing, a sequential packing, and two chunkings: plain code tests them.
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"F13_crc32", "F14_siphash", "SC10_folder_import", "W11_part_packing", "W12_content_chunks", "J5_chunk_join"}
