@@ -17,10 +17,9 @@ from __future__ import annotations
 
 import gc
 import zlib
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain, count, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from arborlake.llm.common import Scratch, slices, text_bytes
 #: A block is closed when it holds so many ids; a longer document has a block of its own.
 BLOCK_IDS = 1 << 17
 END_ID = 0
-#: Pieces and units whose ids a worker remembers at most.
+#: Pieces and units whose ids a worker remembers at most: the ones that come first, and so the common ones.
 WORDS = 500_000
 
 BLOCK_SCHEMA = "shard int, block int, first bigint, doc_ids array<bigint>, offsets array<bigint>, n_ids bigint, bits int, payload binary"
@@ -67,17 +66,48 @@ def unpack(payload: bytes, bits: int, start: int = 0, count: int | None = None)
     return ((lanes >> shift) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+#: Fixed multipliers of the two hashes of a piece.
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: The longest piece that is looked up by hash, and the bytes of text that are hashed at once.
+LONGEST, SPAN = 255, 1 << 21
+BLANK = 32
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class PieceHashes:
+    """Two hashes (polynomials modulo 2^64) of every run of bytes between given places, from one running sum each."""
+
+    def __init__(self) -> None:
+        self.powers = [_powers(m, SPAN + 1) for m in MULTIPLIERS]
+
+    def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """The hashes of raw[start:end]; raw has SPAN bytes at most."""
+        out = []
+        for powers in self.powers:
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum((raw + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
+            # Raised to the same power wherever the run lies.
+            out.append((sums[ends] - sums[starts]) * powers[SPAN - starts])
+        return out
+
+
 class Encoder:
     """A public byte-level tokenizer with a bounded memory of words.
 
     Its pre-tokenizer always cuts before a single space or line break between
     two other characters, around such a line break, and between a letter and the
     stop or comma that ends a word. So a text without other runs of blanks is the
-    sequence of its pieces (what stands between single spaces); a piece is
-    numbered when it is first seen, made of units that are each encoded once, and
-    its ids are kept in one flat array, from which the ids of all texts are
-    gathered at once. Unknown units are encoded together, as one text, and cut
-    apart by the byte length of each id. Other texts are encoded whole.
+    sequence of its pieces (what stands between single spaces). The pieces of a
+    batch are found and hashed as arrays, equal ones are encoded once, and the
+    ids of all texts are gathered from one flat array. A piece is known by 128
+    bits of hash; long pieces, and texts in which the cuts don't hold, are encoded whole.
+    Unknown pieces are cut into units that are encoded together, as one text,
+    and cut apart by the byte length of each id.
     """
 
     def __init__(self, path: str):
@@ -89,11 +119,12 @@ class Encoder:
         self.lengths = np.zeros(self.size, np.int64)
         for token, i in self.model.get_vocab().items():
             self.lengths[i] = len(token)  # one character for each byte
+        self.hashes = PieceHashes()
         self.units_known: dict[str, bytes] = {}
-        #: The number of each piece. The first piece of a text has no space before it, and has one in its key instead.
-        self.number: defaultdict[str, int] = defaultdict()
+        #: Known pieces, sorted by the first hash: the second, and where their ids lie in ``flat``. Odd ones have a count of -1.
+        self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
-        self.starts, self.counts, self.odd = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -142,8 +173,8 @@ class Encoder:
                 out[unit] = raw[4 * a : 4 * b]
         return out
 
-    def add(self, pieces: list[str]) -> None:
-        """Appends the ids of new pieces to the tables."""
+    def ids_of(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of new pieces, as bytes; a piece that starts its text has a space before it here. None is odd."""
         units = self.units
         cut = [(" " + p,) if p.isalpha() else units(p[1:], "") if p[:1] == " " else units(p, " ") for p in pieces]
         known = self.units_known
@@ -155,57 +186,82 @@ class Encoder:
                 known.update(learnt if len(learnt) <= room else dict(islice(learnt.items(), room)))
             if len(learnt) > room:
                 known = {**known, **learnt}
-        ids = [b"" if us is None else known[us[0]] if len(us) == 1 else b"".join([known[u] for u in us]) for us in cut]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.odd = np.concatenate([self.odd, np.fromiter((us is None for us in cut), bool, len(cut))])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
-
-    def forget(self) -> None:
-        """Back to WORDS pieces: the ones that came first, which hold the common ones, stay."""
-        for _ in range(len(self.number) - WORDS):
-            self.number.popitem()
-        if len(self.starts) > WORDS:
-            self.flat = self.flat[: self.starts[WORDS]].copy()
-            self.starts, self.counts, self.odd = (x[:WORDS].copy() for x in (self.starts, self.counts, self.odd))
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        gc.disable()  # millions of strings and no cycle: collections would only cost time
+        return [None if us is None else known[us[0]] if len(us) == 1 else b"".join([known[u] for u in us]) for us in cut]
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text (UTF-8)."""
+        gc.disable()  # many strings and no cycle: collections would only cost time
         try:
-            return self._encode(texts)
+            out, held, size = [], [], 0
+            for t in texts:
+                if held and size + len(t) + 1 >= SPAN:
+                    out += self._encode(held)
+                    held, size = [], 0
+                held.append(t)
+                size += len(t) + 1
+            return out + (self._encode(held) if held else [])
         finally:
-            self.forget()
             gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        parts = [t.split(" ") for t in texts]
-        for p in parts:
-            p[0] = " " + p[0]
-        words = np.fromiter(map(len, parts), np.int64, len(parts))
-        before = len(self.number)
-        self.number.default_factory = count(before).__next__
-        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, words.sum())
-        if len(self.number) > before:
-            self.add(list(islice(self.number, before, None)))
-        first = np.cumsum(words) - words
-        odd = np.logical_or.reduceat(self.odd[numbers], first)
-        counts = self.counts[numbers]
-        ends = np.cumsum(counts)
-        ids = self.flat[np.repeat(self.starts[numbers] - (ends - counts), counts) + np.arange(ends[-1])]
-        stops = ends[first + words - 1].tolist()
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(texts) == 1 and len(texts[0]) + 1 >= SPAN:
+            return self.whole([texts[0].decode("utf-8", "replace")])
+        # Every text is preceded by a blank, which its first piece keeps as part of its own hash.
+        joined = b" " + b" ".join(texts)
+        raw = np.frombuffer(joined, np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        heads = np.cumsum(sizes) - sizes
+        starts = np.flatnonzero(raw == BLANK) + 1
+        ends = np.append(starts[1:] - 1, len(raw))
+        first_of = np.searchsorted(starts, heads + 1)
+        begins = starts.copy()
+        begins[first_of] -= 1
+        h1, h2 = self.hashes(raw, begins, ends)
+        key, at, inverse = np.unique(h1, return_index=True, return_inverse=True)
+        other = h2[at]
+        place = np.minimum(np.searchsorted(self.first, key), max(len(self.first) - 1, 0))
+        taken = self.first[place] == key if len(self.first) else np.zeros(len(key), bool)
+        old = taken & (self.second[place] == other) if len(self.first) else taken
+        fresh = np.flatnonzero(~old)
+        where, count = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+        where[old], count[old] = self.starts[place[old]], self.counts[place[old]]
+        a, b = begins[at[fresh]], ends[at[fresh]]
+        short = b - a <= LONGEST
+        pieces = [joined[i:j].decode("utf-8", "replace") if ok else "" for i, j, ok in zip(a.tolist(), b.tolist(), short.tolist(), strict=True)]
+        ids = self.ids_of(pieces)
+        count[fresh] = np.fromiter((-1 if x is None else len(x) >> 2 for x in ids), np.int64, len(ids))
+        width = np.maximum(count[fresh], 0)
+        where[fresh] = len(self.flat) + np.cumsum(width) - width
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join([x or b"" for x in ids]), np.uint32)])
+        counts = count[inverse]
+        # A text is encoded whole if a piece is odd, or shares its first hash alone with another.
+        odd = np.logical_or.reduceat((counts < 0) | (h2 != other[inverse]), first_of)
+        counts = np.maximum(counts, 0)
+        stops = np.cumsum(counts)
+        found = flat[np.repeat(where[inverse] - (stops - counts), counts) + np.arange(stops[-1])]
+        new = np.flatnonzero(~taken)[: max(WORDS - len(self.first), 0)]
+        if len(new):
+            self.remember(key[new], other[new], where[new], count[new], flat)
+        last = np.append(first_of[1:], len(starts)) - 1
         out, start = [], 0
-        for stop in stops:
-            out.append(ids[start:stop])
+        for stop in stops[last].tolist():
+            out.append(found[start:stop])
             start = stop
-        rest = [i for i in np.flatnonzero(odd).tolist() if texts[i]]
-        for i, whole in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
-            out[i] = whole
+        rest = np.flatnonzero(odd).tolist()
+        for i, x in zip(rest, self.whole([texts[i].decode("utf-8", "replace") for i in rest]), strict=True):
+            out[i] = x
         return out
 
+    def remember(self, first: np.ndarray, second: np.ndarray, where: np.ndarray, count: np.ndarray, flat: np.ndarray) -> None:
+        """Adds new pieces, given by the first hash in order."""
+        keep = np.maximum(count, 0)
+        picked = np.repeat(where - (np.cumsum(keep) - keep), keep) + np.arange(keep.sum())
+        begin = len(self.flat) + np.cumsum(keep) - keep
+        self.flat = np.concatenate([self.flat, flat[picked]])
+        places = np.searchsorted(self.first, first)
+        self.first, self.second = np.insert(self.first, places, first), np.insert(self.second, places, second)
+        self.starts, self.counts = np.insert(self.starts, places, begin), np.insert(self.counts, places, count)
+
 
 @cache
 def encoder_of(path: str) -> Encoder:
@@ -237,7 +293,7 @@ def write_blocks(docs: DataFrame, scratch: Scratch, tokenizer_path: str, id_col:
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
         for batch in slices(batches, 1, 4 << 20):
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder([x.decode("utf-8", "replace") for x in batch.column(1).to_pylist()]), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1).to_pylist()), strict=True):
                 doc_ids.append(doc)
                 offsets.append(held)
                 parts += (ids, end)
