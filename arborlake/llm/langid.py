@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import slices
+from arborlake.llm.common import slices, small_batches
 
 #: Training texts a language at most, landmarks in all, and the ridge.
 PER_LANG, LANDMARKS, RIDGE = 200, 128, 1e-2
@@ -146,6 +146,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel | None:
 
 def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score`` to every row, computed from the text alone; such columns of ``docs`` are replaced."""
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = kept.index(text_col)
     fields = docs.select(*[F.col(f"`{c}`") for c in kept]).schema

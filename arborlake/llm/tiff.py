@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import slices, text_bytes
+from arborlake.llm.common import slices, small_batches, text_bytes
 
 # Fixed values of the TIFF 6.0 format.
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -314,6 +314,7 @@ def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     Columns of ``df`` named like a page's own are dropped in favour of those.
     """
+    small_batches(df.sparkSession)
     own = {f.split()[0] for f in PAGE_FIELDS.split(", ")}
     kept = [c for c in df.columns if c not in own and c != media_col]
     fields = df.select(*kept).schema
@@ -348,6 +349,7 @@ def store_text(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     Null is an empty text, stored as one row of zeros. The file depends on the text alone.
     """
+    small_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in ("n_bytes", "media", text_col)]
     fields = df.select(*kept).schema
 
