@@ -32,8 +32,8 @@ from arborlake.llm.common import Scratch, slices, text_bytes
 #: A block is closed when it holds so many ids; a longer document has a block of its own.
 BLOCK_IDS = 1 << 17
 END_ID = 0
-#: Pieces and units whose ids a worker remembers at most: the ones that come first, and so the common ones.
-WORDS = 500_000
+#: Pieces, and units of pieces, whose ids a worker remembers at most: the ones that come first, and so the common ones.
+PIECES, UNITS = 1_000_000, 50_000
 
 BLOCK_SCHEMA = "shard int, block int, first bigint, doc_ids array<bigint>, offsets array<bigint>, n_ids bigint, bits int, payload binary"
 
@@ -69,7 +69,7 @@ def unpack(payload: bytes, bits: int, start: int = 0, count: int | None = None)
 #: Fixed multipliers of the two hashes of a piece.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: The longest piece that is looked up by hash, and the bytes of text that are hashed at once.
-LONGEST, SPAN = 255, 1 << 21
+LONGEST, SPAN = 255, 1 << 20
 BLANK = 32
 
 
@@ -181,7 +181,7 @@ class Encoder:
         new = {u for us in cut if us for u in us if u not in known}
         if new:
             learnt = self.learn(list(new))
-            room = max(WORDS - len(known), 0)
+            room = max(UNITS - len(known), 0)
             if room:
                 known.update(learnt if len(learnt) <= room else dict(islice(learnt.items(), room)))
             if len(learnt) > room:
@@ -239,7 +239,7 @@ class Encoder:
         counts = np.maximum(counts, 0)
         stops = np.cumsum(counts)
         found = flat[np.repeat(where[inverse] - (stops - counts), counts) + np.arange(stops[-1])]
-        new = np.flatnonzero(~taken)[: max(WORDS - len(self.first), 0)]
+        new = np.flatnonzero(~taken)[: max(PIECES - len(self.first), 0)]
         if len(new):
             self.remember(key[new], other[new], where[new], count[new], flat)
         last = np.append(first_of[1:], len(starts)) - 1

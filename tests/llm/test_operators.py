@@ -299,7 +299,8 @@ def test_op6_bits():
 
 
 def test_op6_encoder_equals_the_library(monkeypatch):
-    monkeypatch.setattr(tokenpack, "WORDS", 40)
+    monkeypatch.setattr(tokenpack, "UNITS", 40)
+    monkeypatch.setattr(tokenpack, "PIECES", 60)
     encoder = tokenpack.Encoder(queries.tokenizer_path())
     rng = random.Random(4)
     parts = ["a", "é", "foo", ".", " ", "  ", "\n", ",", "'s", "1", "²", "_", "\t", "日本", "-", "X.y", "\r\n", "!", " ", "\x1c", "　", "bar."]
