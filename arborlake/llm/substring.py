@@ -152,8 +152,8 @@ def _order(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id), F.lit(LAST_ID))
 
 
-def repeated_starts(docs: DataFrame, firsts: DataFrame, scratch: Scratch, window: int) -> DataFrame | None:
-    """(row, starts): the windows of ``firsts`` (profiled rows) that also start in a row with a smaller id; None if there is none.
+def candidate_windows(docs: DataFrame, firsts: DataFrame, scratch: Scratch, window: int) -> DataFrame | None:
+    """(doc_id, row, starts, keys): the windows of ``firsts`` (profiled rows) whose anchors two ids share; None if there is none.
 
     ``docs`` (doc_id, row, text) gives the texts of the rows again.
     """
@@ -163,8 +163,14 @@ def repeated_starts(docs: DataFrame, firsts: DataFrame, scratch: Scratch, window
     if twice.isEmpty():
         return None
     marked = scratch.table(spread.join(twice, "h").groupBy("row").agg(F.collect_set("h").alias("repeated")), "marked", merge=True)
-    held = docs.join(marked, "row").select("doc_id", "row", "text", "repeated")
-    windows = scratch.table(extend(held, window), "windows", merge=True)
+    return scratch.table(extend(docs.join(marked, "row").select("doc_id", "row", "text", "repeated"), window), "windows", merge=True)
+
+
+def repeated_starts(docs: DataFrame, firsts: DataFrame, scratch: Scratch, window: int) -> DataFrame | None:
+    """(row, starts): the windows of ``firsts`` (profiled rows) that also start in a row with a smaller id; None if there is none."""
+    windows = candidate_windows(docs, firsts, scratch, window)
+    if windows is None:
+        return None
     least = windows.select(_order().alias("id"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     least = scratch.table(least.filter("lo < hi").select("key", "lo"), "level2", merge=True)
     if least.isEmpty():
@@ -173,6 +179,56 @@ def repeated_starts(docs: DataFrame, firsts: DataFrame, scratch: Scratch, window
     return scratch.table(each.join(least, "key").filter("id > lo").groupBy("row").agg(F.collect_set("start").alias("starts")), "found", merge=True)
 
 
+def doubled(held: DataFrame, length: int) -> DataFrame:
+    """(doc_id, row, starts, keys) of the windows of twice ``length`` in each row of ``held`` (the same columns, for
+    windows of ``length`` that survive): both halves must survive, and their hashes make the longer one's."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, keys = [], []
+            for s, k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                at, key = np.array(s, np.int64), np.array(k, np.int64).view(np.uint64)
+                order = np.argsort(at, kind="stable")
+                at, key = at[order], key[order]
+                other = np.minimum(np.searchsorted(at, at + length), max(len(at) - 1, 0))
+                both = np.flatnonzero(at[other] == at + length) if len(at) else np.empty(0, np.int64)
+                starts.append(at[both].astype(np.int32))
+                keys.append(double(key[both], key[other[both]]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "starts", "keys"])
+
+    return held.select("doc_id", "row", "starts", "keys").mapInArrow(run, "doc_id bigint, row bigint, starts array<int>, keys array<bigint>")
+
+
+def repeat_levels(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
+    """(doc_id, row, length, starts): the windows of each row that stand in a row with another id too, at the lengths
+    ``window``, twice that, and so on until no candidate survives a level.
+
+    Above the first level a window is made of two survivors of the level before, so texts aren't read again.
+    """
+    docs = docs.select("doc_id", "text")
+    profiled = scratch.table(profile(docs, window), "profile", merge=True)
+    again = docs.select(F.col("doc_id").cast("bigint"), row_key().alias("row"), text_bytes().alias("text"))
+    held = candidate_windows(again, profiled, scratch, window)
+    if held is None:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, row bigint, length int, starts array<int>")
+    held = held.dropDuplicates(["row"])
+    length, level, out = window, 0, None
+    while True:
+        each = held.select(_order().alias("id"), "doc_id", "row", F.explode(F.arrays_zip("starts", "keys")).alias("w")).select("id", "doc_id", "row", F.col("w.starts").alias("start"), F.col("w.keys").alias("key"))
+        shared = each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
+        kept = each.join(shared, "key").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("start", "key"))).alias("w"))
+        kept = scratch.table(kept.select("doc_id", "row", F.col("w.start").alias("starts"), F.col("w.key").alias("keys")), f"kept{level}", merge=True)
+        if kept.isEmpty() and out is not None:
+            return out
+        rows = kept.select("doc_id", "row", F.lit(length).alias("length"), "starts")
+        out = rows if out is None else out.unionByName(rows)
+        if kept.isEmpty():
+            return out
+        level += 1
+        held = scratch.table(doubled(kept, length), f"windows{level}", merge=True)
+        length *= 2
+
+
 def deduplicate(docs: DataFrame, scratch: Scratch, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row of ``docs`` (doc_id, text); with ``with_text`` also ``kept``."""
     docs = docs.select("doc_id", "text")

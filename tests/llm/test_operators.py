@@ -261,6 +261,31 @@ def test_op5_hashes():
     assert substring.anchors(np.array([5, 3, 4, 9, 8], np.uint64), 3).tolist() == [3, 3, 4]
 
 
+def test_op5_levels_go_on_until_none_survives(spark):
+    rng = random.Random(8)
+    long = [rng.choice("abcdefgh") for _ in range(70)]
+    docs = [(1, long + list("xyz")), (2, list("zz") + long[:41]), (3, long[20:70]), (4, [rng.choice("abc") for _ in range(60)]), (5, list("q"))]
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["length"]): sorted(r["starts"]) for r in substring.repeat_levels(frame, Scratch(spark, "t"), 5).collect()}
+    want, n = {}, 5
+    while True:
+        where = defaultdict(set)
+        for d, w in docs:
+            for i in range(len(w) - n + 1):
+                where[tuple(w[i : i + n])].add(d)
+        level = {}
+        for d, w in docs:
+            starts = [i for i in range(len(w) - n + 1) if len(where[tuple(w[i : i + n])]) > 1]
+            if starts:
+                level[(d, n)] = starts
+        if not level:
+            break
+        want |= level
+        n *= 2
+    assert got == want and max(k[1] for k in want) == 40
+    assert substring.repeat_levels(frame.filter("doc_id = 4"), Scratch(spark, "t"), 5).collect() == []
+
+
 # 6: tokens
 
 
