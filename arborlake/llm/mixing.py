@@ -56,9 +56,9 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "
     else:
         given = weights.select(F.col("source").alias("__given"), F.col("weight").cast("double").alias("w")).filter("w > 0")
         weighted = counts.join(given, counts["__mix_source"].eqNullSafe(given["__given"]))
-    total = weighted.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
-    # One row on the right: a scalar beside every source.
-    return weighted.join(F.broadcast(total)).select("__mix_source", (F.col("w") / F.col("all_w") * F.col("all_n") / F.col("n")).alias(RATE))
+    all_w, all_n = weighted.agg(F.sum("w"), F.sum("n")).first()
+    rate = F.col("w") / F.lit(all_w) * F.lit(all_n) / F.col("n")
+    return weighted.select("__mix_source", rate.cast("double").alias(RATE))
 
 
 def replicate(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, temperature: float = TEMPERATURE, epochs: float = 1.0) -> DataFrame:
