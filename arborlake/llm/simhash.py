@@ -259,6 +259,8 @@ def near_duplicates(fps: DataFrame, scratch: Scratch, id_col: str = "doc_id", sh
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
     least = rooted.groupBy("__root").agg(F.min("__least").alias("component_id"))
     of_fp = scratch.table(rooted.join(least, "__root").select(F.col("fp").alias("__fp"), "component_id", F.col("__root").alias("component")), "of_fp", merge=True)
+    for name in ("shards", "finer", "distinct"):
+        scratch.drop(name)
     return scratch.merged(fps.join(of_fp, fps["fp"] == of_fp["__fp"], "left").drop("__fp"))
 
 

@@ -176,7 +176,10 @@ def repeated_starts(docs: DataFrame, firsts: DataFrame, scratch: Scratch, window
     if least.isEmpty():
         return None
     each = windows.select(_order().alias("id"), "row", F.explode(F.arrays_zip("starts", "keys")).alias("w")).select("id", "row", F.col("w.starts").alias("start"), F.col("w.keys").alias("key"))
-    return scratch.table(each.join(least, "key").filter("id > lo").groupBy("row").agg(F.collect_set("start").alias("starts")), "found", merge=True)
+    found = scratch.table(each.join(least, "key").filter("id > lo").groupBy("row").agg(F.collect_set("start").alias("starts")), "found", merge=True)
+    for name in ("level1", "marked", "windows", "level2"):
+        scratch.drop(name)
+    return found
 
 
 def doubled(held: DataFrame, length: int) -> DataFrame:
@@ -238,6 +241,7 @@ def deduplicate(docs: DataFrame, scratch: Scratch, window: int = WINDOW, with_te
     firsts = profiled.join(joined.filter(~F.col("copy") & (F.col("n_words") >= window)).select("row").distinct(), "row", "left_semi")
     again = docs.select(F.col("doc_id").cast("bigint"), row_key().alias("row"), text_bytes().alias("text"))
     starts = repeated_starts(again, firsts, scratch, window)
+    scratch.drop("profile")
     whole = F.col("copy") & (F.col("n_words") >= window)
     if starts is None:
         cut = docs.sparkSession.createDataFrame([], "row bigint, n_removed bigint, kept string")
