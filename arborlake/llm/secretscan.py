@@ -76,10 +76,9 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None, rule_version: str =
     A blob is scanned where one of its rows lies: the pairs to scan are found
     from ids and addresses alone, and the rows that hold them are read again.
     """
-    new = docs.groupBy("blob").agg(F.min(F.struct("doc_id")).alias("first"))
+    new = docs.groupBy("blob").agg(F.min("doc_id").alias("__first"))
     if ledger is not None:
         new = new.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    new = new.select("blob", F.col("first.doc_id").alias("__first"))
     held = docs.withColumnRenamed("blob", "__blob")
     hit = held.join(new, (held["__blob"] == new["blob"]) & held["doc_id"].eqNullSafe(new["__first"]), "left_semi")
     return scan_blobs(hit.select(F.col("__blob").alias("blob"), "text"), rule_version).dropDuplicates(["blob"])
