@@ -59,7 +59,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = toolchat.from_conversations(table(spark, sf_dir, "conversations"))
-    return toolchat.link(calls, results, Scratch(spark, "op8"))
+    return toolchat.link(calls, results, Scratch(spark, "op8"), duplicates=True)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

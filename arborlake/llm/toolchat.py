@@ -1,7 +1,8 @@
 """Chat formatting: tool-call linking.
 
-Calls and results are hash-joined by (conversation, call id); results are
-reduced to the first of each id before, so the join has one row a call. Calls
+Calls and results are hash-joined by (conversation, call id); each id links its
+first result, so the join has one row a call, and the other results are rows of
+their own. Calls
 are put in an order in which each stands after the calls it depends on; their
 arguments are validated against the tools' schemas; and each linked call is
 serialised as canonical JSON (sorted keys, no blanks).
@@ -11,8 +12,11 @@ the unit is the call, so a conversation that holds a third of all turns is
 dealt over all tasks.
 
 Defined cases. A call without id, conversation or result: status ``unlinked``.
-A result without a call: a row of its own, status ``orphan``. Calls that share
-an id share its first result (least turn, then least content). Arguments that are no JSON object are
+Each result without a call, or without conversation or id: a row of its own,
+status ``orphan``. Calls that share an id share its first result (least turn,
+then least content, nulls last); each further result of that id is, with
+``duplicates`` as in the query, an ``orphan`` row with the error
+``result: duplicate``. Arguments that are no JSON object are
 invalid. A dependency on an unknown id is ignored for the order. Calls on or after a cycle of
 dependencies: status ``cycle`` and no position.
 """
@@ -110,14 +114,27 @@ def positions(calls: DataFrame, scratch: Scratch) -> DataFrame:
     return nodes.join(stuck.withColumn("stuck", F.lit(True)), ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(F.col("stuck").isNull(), F.col("position")).alias("position"))
 
 
-def link(calls: DataFrame, results: DataFrame, scratch: Scratch, schemas: Mapping[str, Mapping[str, Mapping]] = SCHEMAS) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, scratch: Scratch, schemas: Mapping[str, Mapping[str, Mapping]] = SCHEMAS, duplicates: bool = False) -> DataFrame:
     """Links calls (conv_id, turn, call_id, name, arguments, depends_on) and results (conv_id, turn, call_id, content).
 
-    Returns (conv_id, call_id, turn, name, position, result_turn, status, errors, record).
+    Returns (conv_id, call_id, turn, name, position, result_turn, status, errors, record);
+    ``duplicates`` says whether further results of a call that has one are returned too.
     """
-    first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("result"))
-    named = calls.select(F.col("conv_id").alias("__conv"), F.col("call_id").alias("__call"), F.lit(True).alias("__named")).distinct()
-    orphans = first.join(named, (first["conv_id"] == named["__conv"]) & (first["call_id"] == named["__call"]), "left_anti")
+    has_key = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    keyed = results.filter(has_key)
+    order = F.struct(F.col("turn").isNull().alias("no_turn"), "turn", F.col("content").isNull().alias("no_content"), "content")
+    first = keyed.groupBy("conv_id", "call_id").agg(F.min(order).alias("result"))
+    named = calls.filter(has_key).select("conv_id", "call_id", F.lit(True).alias("__named")).distinct()
+    # Equal results are counted, not gathered, so that what a key repeats is dealt over all tasks; results without a key meet no join.
+    counted = keyed.groupBy("conv_id", "call_id", "turn", "content").agg(F.count("*").alias("__n"))
+    tagged = counted.join(first, ["conv_id", "call_id"]).join(named, ["conv_id", "call_id"], "left")
+    is_first = F.col("turn").eqNullSafe(F.col("result.turn")) & F.col("content").eqNullSafe(F.col("result.content"))
+    linked_once = F.col("__named").isNotNull() & is_first
+    left = tagged.withColumn("__n", F.col("__n") - linked_once.cast("int"))
+    left = left.filter((F.col("__n") > 0) & (F.lit(duplicates) | F.col("__named").isNull()))
+    error = F.when(F.col("__named").isNull(), "").otherwise("result: duplicate").alias("errors")
+    left = left.select("conv_id", "call_id", "turn", "content", error, F.explode(F.array_repeat(F.lit(True), F.col("__n").cast("int"))).alias("__copy")).drop("__copy")
+    orphans = left.unionByName(results.filter(~has_key).select("conv_id", "call_id", "turn", "content", F.lit("").alias("errors")))
     at = positions(calls, scratch)
     linked = calls.join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(at, ["conv_id", "call_id"], "left")
     parsed = F.try_parse_json("arguments")
@@ -126,7 +143,7 @@ def link(calls: DataFrame, results: DataFrame, scratch: Scratch, schemas: Mappin
     status = F.when(F.col("position").isNull() & F.col("conv_id").isNotNull() & F.col("call_id").isNotNull(), "cycle").when(F.col("result").isNull(), "unlinked").when(F.size("errors") > 0, "invalid").otherwise("ok")
     record = F.to_json(F.struct(F.col("__arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("name").alias("name"), F.col("result.content").alias("result")), {"ignoreNullFields": "false"})
     out = linked.select("conv_id", "call_id", "turn", "name", "position", F.col("result.turn").alias("result_turn"), status.alias("status"), F.array_join("errors", "; ").alias("errors"), record.alias("record"))
-    lone = orphans.select("conv_id", "call_id", F.lit(None).cast("bigint").alias("turn"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("position"), F.col("result.turn").alias("result_turn"), F.lit("orphan").alias("status"), F.lit("").alias("errors"), F.to_json(F.struct(F.lit(None).cast("string").alias("arguments"), F.col("call_id").alias("id"), F.lit(None).cast("string").alias("name"), F.col("result.content").alias("result")), {"ignoreNullFields": "false"}).alias("record"))
+    lone = orphans.select("conv_id", "call_id", F.lit(None).cast("bigint").alias("turn"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("position"), F.col("turn").alias("result_turn"), F.lit("orphan").alias("status"), "errors", F.to_json(F.struct(F.lit(None).cast("string").alias("arguments"), F.col("call_id").alias("id"), F.lit(None).cast("string").alias("name"), F.col("content").alias("result")), {"ignoreNullFields": "false"}).alias("record"))
     return out.unionByName(lone)
 
 

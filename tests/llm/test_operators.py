@@ -421,6 +421,16 @@ def test_op8_awkward(spark, awkward):
     assert sum(r["status"] != "orphan" for r in got) == 7
 
 
+def test_op8_keeps_every_result(spark, tmp_path):
+    talks = [(None, 0, "user", "q"), *[(None, 1, "assistant", t) for t in ("a", "b", "b", None)], (7, 0, "user", "p"), (7, 1, "assistant", None), (7, 1, "assistant", "again"), (7, 1, "assistant", "again"), (8, 3, "assistant", "x"), (8, 3, "assistant", "x"), (8, None, "assistant", "y")]
+    spark.createDataFrame(talks, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op8_tool_call_linking(spark, str(tmp_path)).collect()
+    content = lambda r: None if r["record"].endswith('"result":null}') else r["record"].split('"result":"')[1][:-2]
+    assert Counter((r["conv_id"], r["status"], r["errors"], content(r)) for r in got) == Counter(
+        [(None, "unlinked", "", None), *[(None, "orphan", "", t) for t in ("a", "b", "b", None)], (7, "ok", "", "again"), (7, "orphan", "result: duplicate", "again"), (7, "orphan", "result: duplicate", None), (8, "orphan", "", "x"), (8, "orphan", "", "x"), (8, "orphan", "", "y")]
+    )
+
+
 # 9: mixing
 
 
