@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +45,8 @@ RULES = {
     "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])",
     "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++)*+",
 }
-#: What a text must hold for a generator to be run.
-NEEDS = {"email": "@", "phone": "+", "address": "at", "ip": ".", "card": None, "number": None}
+#: What a text must hold, one of them at least, for a generator to be run.
+NEEDS = {"email": ("@",), "phone": ("+",), "address": ("@", "at"), "ip": (".",), "card": (), "number": ()}
 
 #: Features of a candidate and the number of values of each.
 FEATURES = {"kind": 2, "digits": 6, "separators": 4, "groups": 4, "cue": 4, "lead": 4, "tail": 3}
@@ -68,8 +70,7 @@ def matches(text: Column, kind: str) -> Column:
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(words)), words, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
     found = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-    need = NEEDS[kind]
-    there = text.rlike("[0-9]") if need is None else F.instr(text, need) > 0
+    there = text.rlike("[0-9]") if not NEEDS[kind] else reduce(or_, (F.instr(text, need) > 0 for need in NEEDS[kind]))
     if kind in ("ip", "phone"):
         there = there & text.rlike("[0-9]")
     return F.when(there & text.rlike(rule), found).otherwise(none)

@@ -370,6 +370,14 @@ def test_op7_random_texts(spark):
     assert rows(got, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == Counter((d, *brute_pii(t)) for d, t in docs)
 
 
+def test_op7_gate_lets_every_address_through(spark):
+    texts = ["mail jo@site [dot] com", "jo@site", "bob (at) example (dot) org", "nothing here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").select("doc_id", pii.matches(F.col("text"), "address").alias("m"))
+    got = {r["doc_id"]: [(m["start"], m["end"], m["word"]) for m in r["m"]] for r in docs.collect()}
+    assert got == {i: [(m.start(), m.end(), m[0]) for m in re.finditer(pii.RULES["address"], t)] for i, t in enumerate(texts)}
+    assert got[0] == [(5, 22, "jo@site [dot] com")]
+
+
 def test_op7_ensemble_learns_and_calibrates():
     cells = []
     for digits in range(6):
