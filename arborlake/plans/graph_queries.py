@@ -83,16 +83,34 @@ def object_owners(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("checksum").agg(F.count("*").alias("n_commits"), F.min("commit").alias("first_commit"))
 
 
-@query("G6_fsck", "SELECT doc_id, sha256(text) = sha256(CASE WHEN doc_id % 50 = 0 THEN text || '~' ELSE text END) AS ok FROM documents WHERE doc_id % 50 = 0 OR doc_id % 3 = 0")
-def fsck(spark: SparkSession, sf: str) -> DataFrame:
-    """Objects are rehashed and compared with their names; every fiftieth is corrupt here."""
+@query("G6_fsck_all", "SELECT doc_id, doc_id % 50 <> 0 AS ok FROM documents")
+def fsck_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every object is rehashed and compared with its name; every fiftieth is corrupt here."""
     from arborlake.operators.verify import rehash
 
-    docs = P.load(spark, sf, "documents").filter("doc_id % 50 = 0 OR doc_id % 3 = 0")
+    docs = P.load(spark, sf, "documents")
     stored = docs.select("doc_id", F.sha2("text", 256).alias("checksum"), F.concat("text", F.when(F.col("doc_id") % 50 == 0, "~").otherwise("")).alias("content"))
     return rehash(stored).select("doc_id", "ok")
 
 
+@query("G6_fsck_partial", "WITH RECURSIVE o AS (SELECT checksum AS commit, checksum FROM order_refs UNION SELECT o.commit, child FROM o JOIN edges ON parent = o.checksum) SELECT DISTINCT commit FROM o WHERE checksum IN (SELECT 'f' || p_partkey FROM part WHERE p_partkey % 50 = 0 OR p_partkey % 53 = 0)", "order_refs", "edges")
+def fsck_partial(spark: SparkSession, sf: str) -> DataFrame:
+    """Commits to mark partial, as their closure holds a corrupt file (every fiftieth part here) or a missing one (every 53rd)."""
+    from arborlake.operators.verify import mark_partial, rehash
+
+    key = F.col("p_partkey")
+    content = F.when(key % 53 == 0, F.lit(None)).when(key % 50 == 0, F.concat("p_name", F.lit("~"))).otherwise(F.col("p_name"))
+    stored = P.load(spark, sf, "part").select(F.concat(F.lit("f"), key).alias("name"), F.sha2("p_name", 256).alias("checksum"), content.alias("content"))
+    bad = rehash(stored).filter("NOT ok").select(F.col("name").alias("checksum"))
+    return mark_partial(H.owners(P.order_refs(spark, sf), P.edges(spark, sf)), bad)
+
+
+@query("G6_fsck", "SELECT doc_id, sha256(text) = sha256(CASE WHEN doc_id % 50 = 0 THEN text || '~' ELSE text END) AS ok FROM documents WHERE doc_id % 50 = 0 OR doc_id % 3 = 0")
+def fsck(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``G6_fsck_all`` that this query's SQL asks for."""
+    return fsck_all(spark, sf).filter("doc_id % 50 = 0 OR doc_id % 3 = 0")
+
+
 @query("A6_fsck_totals", "SELECT count(*) AS n_commits, count(*) FILTER (partial) AS n_partial, count(*) FILTER (NOT partial) AS n_verified, bool_or(subject IS NULL) AS corrupt FROM commits", "commits")
 def fsck_totals(spark: SparkSession, sf: str) -> DataFrame:
     return P.commits(spark, sf).agg(F.count("*").alias("n_commits"), F.count_if("partial").alias("n_partial"), F.count_if(~F.col("partial")).alias("n_verified"), F.bool_or(F.col("subject").isNull()).alias("corrupt"))
