@@ -24,3 +24,7 @@ def by_id(df, column):
 
 def test_g6_rehashes_every_document(spark, store):
     assert by_id(catalog.QUERIES["G6_fsck_all"](spark, store), "ok") == {i: i != 50 for i in TEXTS}
+
+
+def test_f17_patches_every_document(spark, store):
+    assert by_id(catalog.QUERIES["F17_binary_diff_all"](spark, store), "same") == dict.fromkeys(TEXTS, True)
