@@ -28,3 +28,7 @@ def test_g6_rehashes_every_document(spark, store):
 
 def test_f17_patches_every_document(spark, store):
     assert by_id(catalog.QUERIES["F17_binary_diff_all"](spark, store), "same") == dict.fromkeys(TEXTS, True)
+
+
+def test_d4_rebuilds_every_document(spark, store):
+    assert by_id(catalog.QUERIES["D4_delta_interpreter_all"](spark, store), "same") == dict.fromkeys(TEXTS, True)
