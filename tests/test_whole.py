@@ -32,3 +32,9 @@ def test_f17_patches_every_document(spark, store):
 
 def test_d4_rebuilds_every_document(spark, store):
     assert by_id(catalog.QUERIES["D4_delta_interpreter_all"](spark, store), "same") == dict.fromkeys(TEXTS, True)
+
+
+def test_sk17_encodes_every_document(spark, store):
+    got = catalog.QUERIES["SK17_archive_stream_all"](spark, store)
+    assert by_id(got, "same") == dict.fromkeys(TEXTS, True)
+    assert by_id(got, "size") == {i: len(t.encode()) for i, t in TEXTS.items()}
