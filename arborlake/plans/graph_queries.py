@@ -217,13 +217,27 @@ def commit_state(spark: SparkSession, sf: str) -> DataFrame:
     return commits.select("checksum").join(states, "checksum", "left").select("checksum", F.coalesce("state", F.lit("normal")).alias("state"))
 
 
+@query("SC6_content_load_all", "SELECT doc_id, text, n_chars AS size FROM documents")
+def content_load_all(spark: SparkSession, sf: str) -> DataFrame:
+    return P.load(spark, sf, "documents").select("doc_id", "text", F.col("n_chars").alias("size"))
+
+
 @query("SC6_content_load", "SELECT doc_id, text, n_chars AS size FROM documents WHERE doc_id % 97 = 0")
 def content_load(spark: SparkSession, sf: str) -> DataFrame:
-    return P.load(spark, sf, "documents").filter("doc_id % 97 = 0").select("doc_id", "text", F.col("n_chars").alias("size"))
+    """The rows of ``SC6_content_load_all`` that this query's SQL asks for."""
+    return content_load_all(spark, sf).filter("doc_id % 97 = 0")
+
+
+@query("SC7_storage_size_all", "SELECT e.child AS checksum, min(o.storage_size) AS storage_size FROM edges e JOIN objects o ON o.checksum = e.child GROUP BY 1", "edges", "objects")
+def storage_size_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of all objects that edges name."""
+    asked = P.edges(spark, sf).select(F.col("child").alias("checksum")).distinct()
+    return P.objects(spark, sf).join(asked, "checksum", "left_semi").select("checksum", "storage_size")
 
 
 @query("SC7_storage_size", "SELECT e.child AS checksum, min(o.storage_size) AS storage_size FROM edges e JOIN objects o ON o.checksum = e.child WHERE e.parent = 'c1' GROUP BY 1", "edges", "objects")
 def storage_size(spark: SparkSession, sf: str) -> DataFrame:
+    """The one commit that this query's SQL asks for."""
     asked = P.edges(spark, sf).filter("parent = 'c1'").select(F.col("child").alias("checksum")).distinct()
     return P.objects(spark, sf).join(asked, "checksum", "left_semi").select("checksum", "storage_size")
 

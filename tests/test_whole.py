@@ -38,3 +38,18 @@ def test_sk17_encodes_every_document(spark, store):
     got = catalog.QUERIES["SK17_archive_stream_all"](spark, store)
     assert by_id(got, "same") == dict.fromkeys(TEXTS, True)
     assert by_id(got, "size") == {i: len(t.encode()) for i, t in TEXTS.items()}
+
+
+def test_sc6_loads_every_document(spark, store):
+    assert by_id(catalog.QUERIES["SC6_content_load_all"](spark, store), "text") == TEXTS
+
+
+def test_sc7_looks_up_what_any_edge_names(spark, tmp_path):
+    tables = {
+        "lineitem": ([(1, 1, 1), (2, 2, 1)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint"), "orders": ([(1, 5.0), (2, 6.0)], "o_orderkey bigint, o_totalprice double"), "part": ([(1, 11), (2, 12), (3, 13)], "p_partkey bigint, p_size int"),
+        "supplier": ([(1, 4)], "s_suppkey bigint, s_nationkey int"), "nation": ([(4, 0)], "n_nationkey int, n_regionkey int"), "region": ([(0,)], "r_regionkey int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = catalog.QUERIES["SC7_storage_size_all"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [("f1", 11), ("f2", 12), ("n4", 20), ("r0", 30), ("s1", 10)]
