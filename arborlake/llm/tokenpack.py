@@ -9,13 +9,20 @@ document (or any id range) is read without unpacking the rest.
 The files are Parquet with one block a row (shard, block, first: ids before it in its
 shard, doc_ids, offsets, n_ids, bits, payload), so they can live in any store Spark writes to.
 
+The ids are those of the library's own ``encode(text, add_special_tokens=False)``:
+a special token that a text spells out is one id.
+
 Null text is empty (its end id alone is written); null ids come first; rows that
-share an id follow each other, ordered by a hash of the text and the text.
+share an id follow each other, ordered by a hash of the text and the text, so
+repeated rows are all written. A text longer than a block has a block of its own.
+An empty table gives no block and no row. Only the id and the text are read, so
+further columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -79,6 +86,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def known_cuts(description: str) -> tuple[bool, list[bytes]]:
+    """Whether a tokenizer (its JSON description) cuts texts as ``Encoder`` knows it, and its added tokens as bytes."""
+    d = json.loads(description)
+    cutter = d.get("pre_tokenizer") or {}
+    usual = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+    holds = bool(usual and not any(d.get(k) for k in ("normalizer", "truncation", "padding")) and d["model"].get("type") == "BPE")
+    return holds, [t["content"].encode() for t in d.get("added_tokens") or [] if t["content"]]
+
+
 class PieceHashes:
     """Two hashes (polynomials modulo 2^64) of every run of bytes between given places, from one running sum each."""
 
@@ -108,13 +124,17 @@ class Encoder:
     bits of hash; long pieces, and texts in which the cuts don't hold, are encoded whole.
     Unknown pieces are cut into units that are encoded together, as one text,
     and cut apart by the byte length of each id.
+
+    All this holds for a byte-level pre-tokenizer with the usual pattern and no
+    normalizer. With any other tokenizer, and in texts that hold one of its added
+    tokens (which the library looks for before it cuts), texts are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.cuts_hold, self.added = known_cuts(self.model.to_str())
         self.size = self.model.get_vocab_size()
         self.lengths = np.zeros(self.size, np.int64)
         for token, i in self.model.get_vocab().items():
@@ -192,14 +212,21 @@ class Encoder:
         """The ids of each text (UTF-8)."""
         gc.disable()  # many strings and no cycle: collections would only cost time
         try:
+            whole = [i for i, t in enumerate(texts) if not self.cuts_hold or any(a in t for a in self.added)]
             out, held, size = [], [], 0
-            for t in texts:
+            kept = set(whole)
+            for i, t in enumerate(texts):
+                if i in kept:
+                    t = b""
                 if held and size + len(t) + 1 >= SPAN:
                     out += self._encode(held)
                     held, size = [], 0
                 held.append(t)
                 size += len(t) + 1
-            return out + (self._encode(held) if held else [])
+            out += self._encode(held) if held else []
+            for i, ids in zip(whole, self.whole([texts[i].decode("utf-8", "replace") for i in whole]), strict=True):
+                out[i] = ids
+            return out
         finally:
             gc.enable()
 

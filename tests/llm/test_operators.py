@@ -293,7 +293,6 @@ def test_op6(spark, awkward, documents):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(queries.tokenizer_path())
-    model.encode_special_tokens = True
     ids = Counter()
     for d, t in documents:
         got = model.encode(t or "", add_special_tokens=False).ids + [0]
@@ -326,13 +325,35 @@ def test_op6_bits():
 def test_op6_encoder_equals_the_library(monkeypatch):
     monkeypatch.setattr(tokenpack, "UNITS", 40)
     monkeypatch.setattr(tokenpack, "PIECES", 60)
-    encoder = tokenpack.Encoder(queries.tokenizer_path())
+    from tokenizers import Tokenizer
+
+    encoder, plain = tokenpack.Encoder(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
     rng = random.Random(4)
-    parts = ["a", "é", "foo", ".", " ", "  ", "\n", ",", "'s", "1", "²", "_", "\t", "日本", "-", "X.y", "\r\n", "!", " ", "\x1c", "　", "bar."]
+    parts = ["<|endoftext|>", "<|endoftext", "|>", "a", "é", "foo", ".", " ", "  ", "\n", ",", "'s", "1", "²", "_", "\t", "日本", "-", "X.y", "\r\n", "!", " ", "\x1c", "　", "bar."]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(4000)] + ["long " * 5, "z" * 300 + " after", "a " * (1 << 20)]
     for at in range(0, len(texts), 500):
         lot = texts[at : at + 500]
-        assert [x.tolist() for x in encoder([t.encode() for t in lot])] == [x.tolist() for x in encoder.whole(lot)]
+        assert [x.tolist() for x in encoder([t.encode() for t in lot])] == [plain.encode(t, add_special_tokens=False).ids for t in lot]
+
+
+def test_op6_special_tokens_and_other_tokenizers(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    text = "foo <|endoftext|> end"
+    (got,) = tokenpack.Encoder(path)([text.encode()])
+    assert got.tolist() == plain.encode(text, add_special_tokens=False).ids and 50256 in got.tolist()
+    described = json.loads(plain.to_str())
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(described | change))
+        encoder, model = tokenpack.Encoder(str(other)), Tokenizer.from_file(str(other))
+        assert not encoder.cuts_hold
+        lot = ["Some Words, and <|endoftext|>", "", "A b"]
+        assert [x.tolist() for x in encoder([t.encode() for t in lot])] == [model.encode(t, add_special_tokens=False).ids for t in lot]
 
 
 # 7: personal data
