@@ -121,6 +121,78 @@ def test_op2_kernel_and_nystrom(spark):
     assert [model.langs[i] for i in model.predict([b"the stone", b"der stein"])[0]] == ["en", "de"]
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 50])
+def test_op2_cuts_add_no_ngrams(chunk):
+    rng = random.Random(chunk)
+    texts = ["", " ", "a", "a ", "  Ab--cd ", "Über  der\n\nFluss " * 20] + ["".join(rng.choices(["a", "Bc", " ", "--", "é", "."], k=rng.randint(0, 60))) for _ in range(300)]
+    for text in texts:
+        whole = " " + re.sub(" +", " ", "".join(c if c >= "\x80" or c.isalpha() else " " for c in lower(text))).strip(" ")
+        whole = (whole if whole == " " else whole + " ").encode()
+        want = {n: {whole[i : i + n] for i in range(len(whole) - n + 1)} for n in (1, 2, 3)}
+        got = {n: {p[i : i + n] for p in langid.folded(text.encode(), chunk) for i in range(len(p) - n + 1)} for n in (1, 2, 3)}
+        assert got == want, text
+
+
+def brute_grams(text):
+    """The sets of cells of a text's 1-, 2- and 3-grams, one byte at a time."""
+    whole = b" " + re.sub(b" +", b" ", bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in text)).strip(b" ")
+    whole = whole if whole == b" " else whole + b" "
+    code = lambda g: int.from_bytes(g, "big")
+    shift = {1: None, 2: 20, 3: 19}
+    return {n: {code(whole[i : i + n]) if n == 1 else (code(whole[i : i + n]) * 2654435761 % 2**32) >> shift[n] for i in range(len(whole) - n + 1)} for n in (1, 2, 3)}
+
+
+def brute_language(docs):
+    """Kernel ridge on Nyström features from dictionaries of n-grams: (lang, score) of each (doc_id, text, lang)."""
+    train = [(lang, d, t) for d, t, lang in docs if d is not None and t is not None and lang is not None and zlib.crc32(str(d).encode()) % 5 and any(c.isalpha() for c in t)]
+    names = sorted({x[0] for x in train})
+    grams = [brute_grams(t.encode()) for _, _, t in train]
+    kernel = lambda a, b: sum(len(a[n] & b[n]) / np.sqrt(len(a[n]) * len(b[n])) for n in (1, 2, 3) if a[n] and b[n]) / 3
+    return names, train, grams, kernel
+
+
+def test_op2_equals_plain_kernel_ridge(spark, awkward):
+    docs = spark.read.parquet(f"{awkward}/documents.parquet").select("doc_id", "text", "lang")
+    plain = [tuple(r) for r in docs.collect()]
+    names, train, grams, kernel = brute_language(plain)
+    assert max(Counter(x[0] for x in train).values()) <= langid.PER_LANG  # the sample is all of it
+    draw = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 52) - 1)).alias("h")).collect()}
+    order = sorted(range(len(train)), key=lambda i: (train[i][0], draw[train[i][1]], train[i][1], train[i][2]))
+    train, grams = [train[i] for i in order], [grams[i] for i in order]
+    number = np.array([names.index(x[0]) for x in train])
+    seen, rank = Counter(), []
+    for k in number:
+        rank.append(seen[k])
+        seen[k] += 1
+    landmarks = sorted(range(len(train)), key=lambda i: (rank[i], number[i]))[: langid.LANDMARKS]
+    z = [grams[i] for i in landmarks]
+    k_xz = np.array([[kernel(g, c) for c in z] for g in grams])
+    value, vector = np.linalg.eigh(k_xz[landmarks])
+    keep = value > 1e-6 * value.max()
+    project = vector[:, keep] / np.sqrt(value[keep])
+    x = np.hstack([k_xz @ project, np.ones((len(train), 1))])
+    weight = np.array([len(train) / len(names) / seen[k] for k in number])
+    ridge = langid.RIDGE * len(train) * np.diag([1.0] * (x.shape[1] - 1) + [1e-6])
+    y = np.where(number[:, None] == np.arange(len(names)), 1.0, -1.0)
+    beta = np.linalg.solve(x.T @ (weight[:, None] * x) + ridge, x.T @ (weight[:, None] * y))
+    want = defaultdict(list)
+    for d, t, _ in plain:
+        if not t or not any(c.isalpha() for c in t):
+            want[d].append(("und", 0.0))
+            continue
+        g = brute_grams(t.encode())
+        m = np.append(np.array([kernel(g, c) for c in z]) @ project, 1.0) @ beta * 6
+        p = np.exp(m - m.max()) / np.exp(m - m.max()).sum()
+        want[d].append((names[int(m.argmax())], float(p.max())))
+    got = defaultdict(list)
+    for r in queries.op2_language_id(spark, awkward).collect():
+        got[r["doc_id"]].append((r["lang_pred"], r["score"]))
+    assert set(got) == set(want)
+    for d in want:
+        for (lang, score), (lang2, score2) in zip(sorted(got[d]), sorted(want[d]), strict=True):
+            assert abs(score - score2) < 5e-3 and (lang == lang2 or score2 < 0.5), d
+
+
 def test_op2_ignores_id_source_and_lang(spark, awkward):
     docs = spark.read.parquet(f"{awkward}/documents.parquet").select("doc_id", "text", "lang")
     model = langid.train(docs)
