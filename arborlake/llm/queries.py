@@ -68,7 +68,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tiff.media_digest(tiff.store_text(docs))
+    return tiff.media_digest(Scratch(spark, "op10").table(tiff.store_text(docs), "media"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_simhash_dedup, op4_secret_scan, op5_substring_dedup, op6_token_output, op7_pii, op8_tool_call_linking, op9_source_mixing, op10_tiff_media)}

@@ -1,14 +1,19 @@
 """Media columns: TIFF.
 
 ``encode_tiff`` stores samples as a TIFF file; ``decode_pages`` walks the image
-directories of any TIFF of 8-bit samples and yields one page per directory: it
-reads strips or tiles, undoes no compression, PackBits, LZW or deflate, and
-undoes the horizontal predictor. ``tiff_pages`` applies it to a media column and
-emits one row per page.
-
-Null media give no page; bytes that are no readable TIFF give one row with the
-fault in ``error``. Rows are independent, so ties and repeated rows need no care
-and no data are exchanged.
+directories of a TIFF (or BigTIFF) of 1-, 8- or 16-bit samples and yields one page
+per directory: it reads strips or tiles, interleaved or one plane after another,
+undoes no compression, PackBits, LZW or deflate, and undoes the horizontal
+predictor. ``tiff_pages`` applies it to a media column and emits one row per page.
+A page's pixels are one byte a sample (0 or 1 for 1-bit samples), or two, the least
+significant first, for 16-bit ones.
+
+Null media give no page. A fault gives one row with ``error`` after the pages that
+could be read before it, also where the first header is broken or empty; a forged
+size is a fault, found before memory is taken for it. A page of 2 GiB or more is a
+fault too: it fits no cell. Rows are independent, so ties and repeated rows need no
+care and no data are exchanged; an empty table gives no row, and columns named like
+a page's own are dropped in favour of those.
 """
 
 from __future__ import annotations
@@ -27,12 +32,15 @@ from pyspark.sql import functions as F
 from arborlake.llm.common import slices, small_batches, text_bytes
 
 # Fixed values of the TIFF 6.0 format.
-TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 CLEAR_CODE, END_CODE = 256, 257
+CLASSIC, BIG = 42, 43
+#: The largest value of a cell in bytes.
+CELL = (1 << 31) - 1
 
 
 class TiffError(ValueError):
@@ -49,6 +57,7 @@ class Page:
     predictor: int
     tiled: bool
     data: bytes
+    bits: int = 8
 
 
 def unpack_bits(data: bytes, size: int) -> bytes:
@@ -84,41 +93,72 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def lzw_widths() -> np.ndarray:
+    """The width of each code after a clear code: 9 bits, and one more as soon as the table is one entry short of needing it."""
+    entries = np.arange(1 << 12) + CLEAR_CODE + 1  # in the table when the k-th code is read, the first adding none
+    entries[0] += 1
+    return np.where(entries + 1 >= 2048, 12, np.where(entries + 1 >= 1024, 11, np.where(entries + 1 >= 512, 10, 9)))
+
+
+LZW_WIDTHS = lzw_widths()
+LZW_PLACES = np.concatenate([[0], np.cumsum(LZW_WIDTHS)])
+
+
+def lzw_codes(raw: np.ndarray, bit: int, end: int) -> np.ndarray:
+    """The codes from ``bit`` on, as many as one table can serve and the stream holds; most significant bit first."""
+    at = bit + LZW_PLACES[:-1]
+    at = at[at + LZW_WIDTHS <= end]
+    width = LZW_WIDTHS[: len(at)]
+    byte = at >> 3
+    three = raw[byte].astype(np.int64) << 16 | raw[byte + 1].astype(np.int64) << 8 | raw[byte + 2]
+    return three >> (24 - (at & 7) - width) & ((1 << width) - 1)
+
+
 def lzw_decode(data: bytes, size: int) -> bytes:
-    """TIFF's LZW: codes of 9 to 12 bits, most significant bit first, widened one code early."""
-    first = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, out, bits, held, width, before = list(first), bytearray(), 0, 0, 9, b""
-    for byte in data:
-        held = held << 8 | byte
-        bits += 8
-        while bits >= width:
-            bits -= width
-            code = held >> bits
-            held &= (1 << bits) - 1
-            if code == END_CODE:
-                return bytes(out)
-            if code == CLEAR_CODE:
-                table, width, before = list(first), 9, b""
-                continue
-            if not before:
-                if code > 255:
-                    raise TiffError("LZW stream starts with an unknown code")
-                entry = first[code]
-            elif code < len(table):
-                entry = table[code]
-            elif code == len(table):
-                entry = before + before[:1]
+    """TIFF's LZW: codes of 9 to 12 bits, most significant bit first, widened one code early.
+
+    An entry of the table is what a code put out, with the byte that followed it: a place and a length in the output.
+    """
+    raw, end = np.frombuffer(data + b"\0\0", np.uint8), 8 * len(data)
+    out, bit = bytearray(), 0
+    while len(out) < size:
+        codes = lzw_codes(raw, bit, end).tolist()
+        places: list[tuple[int, int]] = []  # of the entries from 258 on
+        before, stop = None, False
+        for k, code in enumerate(codes):
+            if code < CLEAR_CODE:
+                here = len(out)
+                out.append(code)
+            elif code == CLEAR_CODE:
+                bit += int(LZW_PLACES[k + 1])
+                break
+            elif code == END_CODE:
+                stop = True
+                break
             else:
-                raise TiffError("LZW code beyond the table")
-            out += entry
-            if before:
-                table.append(before + entry[:1])
-            before = entry
-            if len(table) + 1 >= 1 << width and width < 12:
-                width += 1
+                here, entry = len(out), code - CLEAR_CODE - 2
+                if before is None:
+                    raise TiffError("LZW stream starts with an unknown code")
+                if entry > len(places):
+                    raise TiffError("LZW code beyond the table")
+                start, n = places[entry] if entry < len(places) else (before, here - before + 1)
+                out += out[start : start + n]
+                if len(out) - here < n:
+                    out.append(out[start])
+            if before is not None:
+                places.append((before, here - before + 1))
+            before = here
             if len(out) >= size:
-                return bytes(out)
-    return bytes(out)
+                stop = True
+                break
+        else:
+            # The stream ends, or a table is full and no clear code came.
+            if len(codes) == len(LZW_WIDTHS):
+                raise TiffError("LZW table overflows")
+            stop = True
+        if stop:
+            break
+    return bytes(out[:size])
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -189,124 +229,175 @@ def _expand(data: bytes, how: int, size: int) -> bytes:
     raise TiffError(f"compression {how} is not supported")
 
 
-def encode_tiff(pages: Iterable[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 0, tile: tuple[int, int] | None = None, byte_order: str = "<") -> bytes:
-    """A TIFF of one directory per page; a page is (height, width) or (height, width, samples) of uint8.
+def _rows_of_bits(block: np.ndarray) -> bytes:
+    """1-bit samples (rows, width): eight a byte, each row padded to a byte."""
+    return np.packbits(block, axis=1).tobytes()
+
+
+def encode_tiff(pages: Iterable[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 0, tile: tuple[int, int] | None = None, byte_order: str = "<", planar: bool = False, big: bool = False) -> bytes:
+    """A TIFF of one directory per page; a page is (height, width) or (height, width, samples) of uint8, uint16 or (one sample) bool.
 
-    ``tile`` is (tile length, tile width); without it the page is cut into strips of ``rows_per_strip`` rows (0: one strip).
+    ``tile`` is (tile length, tile width); without it the page is cut into strips of ``rows_per_strip`` rows (0: one
+    strip). ``planar`` stores the samples one plane after another, ``big`` writes 64-bit offsets.
     """
-    out = bytearray((b"II" if byte_order == "<" else b"MM") + struct.pack(byte_order + "HI", 42, 0))
-    link = 4
+    word, entry, count_of = ("Q", "HHQ", "Q") if big else ("I", "HHI", "H")
+    wide = 8 if big else 4
+    head = struct.pack(byte_order + "HHH", BIG, 8, 0) if big else struct.pack(byte_order + "H", CLASSIC)
+    out = bytearray((b"II" if byte_order == "<" else b"MM") + head)
+    link = len(out)
+    out += bytes(wide)
     for page in pages:
         page = page if page.ndim == 3 else page[:, :, None]
         height, width, samples = page.shape
+        bits = {"b": 1, "u": 8 * page.dtype.itemsize}[page.dtype.kind]
         step = rows_per_strip or height
-        if tile:
-            th, tw = tile
-            padded = np.pad(page, ((0, -height % th), (0, -width % tw), (0, 0)))
-            blocks = [padded[y : y + th, x : x + tw] for y in range(0, height, th) for x in range(0, width, tw)]
-        else:
-            blocks = [page[y : y + step] for y in range(0, height, step)]
+        blocks = []
+        for plane in [page[:, :, k : k + 1] for k in range(samples)] if planar else [page]:
+            if tile:
+                th, tw = tile
+                padded = np.pad(plane, ((0, -height % th), (0, -width % tw), (0, 0)))
+                blocks += [padded[y : y + th, x : x + tw] for y in range(0, height, th) for x in range(0, width, tw)]
+            else:
+                blocks += [plane[y : y + step] for y in range(0, height, step)]
         offsets, counts = [], []
         for block in blocks:
             if predictor == 2:
                 block = np.concatenate([block[:, :1], np.diff(block, axis=1)], axis=1)
-            data = _compress(block.tobytes(), compression)
+            data = _compress(_rows_of_bits(block[:, :, 0]) if bits == 1 else block.astype(f"{byte_order}u{bits // 8}").tobytes(), compression)
             offsets.append(len(out))
             counts.append(len(data))
             out += data
-        tags = {WIDTH: (4, [width]), LENGTH: (4, [height]), BITS: (3, [8] * samples), COMPRESSION: (3, [compression]), PHOTOMETRIC: (3, [2 if samples >= 3 else 1]), SAMPLES: (3, [samples]), PLANAR: (3, [1]), PREDICTOR: (3, [predictor])}
+        tags = {WIDTH: (4, [width]), LENGTH: (4, [height]), BITS: (3, [bits] * samples), COMPRESSION: (3, [compression]), PHOTOMETRIC: (3, [2 if samples >= 3 else 1]), SAMPLES: (3, [samples]), PLANAR: (3, [2 if planar else 1]), PREDICTOR: (3, [predictor])}
+        far = 16 if big else 4
         if tile:
-            tags |= {TILE_WIDTH: (4, [tile[1]]), TILE_LENGTH: (4, [tile[0]]), TILE_OFFSETS: (4, offsets), TILE_COUNTS: (4, counts)}
+            tags |= {TILE_WIDTH: (4, [tile[1]]), TILE_LENGTH: (4, [tile[0]]), TILE_OFFSETS: (far, offsets), TILE_COUNTS: (far, counts)}
         else:
-            tags |= {ROWS_PER_STRIP: (4, [step]), STRIP_OFFSETS: (4, offsets), STRIP_COUNTS: (4, counts)}
+            tags |= {ROWS_PER_STRIP: (4, [step]), STRIP_OFFSETS: (far, offsets), STRIP_COUNTS: (far, counts)}
         out += b"\0" * (len(out) % 2)
         entries = bytearray()
         for tag, (kind, values) in sorted(tags.items()):
-            raw = struct.pack(byte_order + ("H" if kind == 3 else "I") * len(values), *values)
-            if len(raw) > 4:
+            raw = struct.pack(byte_order + FORMAT[kind] * len(values), *values)
+            if len(raw) > wide:
                 at = len(out)
                 out += raw + b"\0" * (len(raw) % 2)
-                raw = struct.pack(byte_order + "I", at)
-            entries += struct.pack(byte_order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
-        struct.pack_into(byte_order + "I", out, link, len(out))
-        out += struct.pack(byte_order + "H", len(tags)) + entries
+                raw = struct.pack(byte_order + word, at)
+            entries += struct.pack(byte_order + entry, tag, kind, len(values)) + raw.ljust(wide, b"\0")
+        struct.pack_into(byte_order + word, out, link, len(out))
+        out += struct.pack(byte_order + count_of, len(tags)) + entries
         link = len(out)
-        out += b"\0\0\0\0"
+        out += bytes(wide)
     return bytes(out)
 
 
-def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, list[int]], int]:
-    (n,) = struct.unpack_from(order + "H", data, at)
+#: The types of the values that are read: bytes, 16-, 32- and 64-bit numbers.
+FORMAT = {1: "B", 3: "H", 4: "I", 16: "Q"}
+
+
+def _directory(data: bytes, order: str, at: int, big: bool) -> tuple[dict[int, list[int]], int]:
+    word, entry, count_of = ("Q", "HHQ", "Q") if big else ("I", "HHI", "H")
+    wide, head = (8, 8) if big else (4, 2)
+    (n,) = struct.unpack_from(order + count_of, data, at)
+    step = 4 + 2 * wide
+    if at + head + step * n > len(data):
+        raise TiffError("a directory lies beyond the file")
     tags: dict[int, list[int]] = {}
     for i in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-        if kind not in (1, 3, 4):
+        place = at + head + step * i
+        tag, kind, count = struct.unpack_from(order + entry, data, place)
+        if kind not in FORMAT:
             continue
         size = TYPE_SIZE[kind] * count
-        where = at + 10 + 12 * i
-        if size > 4:
-            (where,) = struct.unpack_from(order + "I", data, where)
+        where = place + 4 + wide
+        if size > wide:
+            (where,) = struct.unpack_from(order + word, data, where)
         if where + size > len(data):
             raise TiffError("a tag's values lie beyond the file")
-        tags[tag] = list(struct.unpack_from(order + {1: "B", 3: "H", 4: "I"}[kind] * count, data, where))
-    (following,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+        tags[tag] = list(struct.unpack_from(order + FORMAT[kind] * count, data, where))
+    (following,) = struct.unpack_from(order + word, data, at + head + step * n)
     return tags, following
 
 
 def decode_pages(data: bytes) -> Iterator[Page]:
-    """The pages of a TIFF in directory order; raises TiffError where it can't be read."""
+    """The pages of a TIFF in directory order; raises TiffError at the first that can't be read."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
+    kind = struct.unpack_from(order + "H", data, 2)[0] if order and len(data) >= 8 else 0
+    if kind not in (CLASSIC, BIG) or (kind == BIG and (len(data) < 16 or struct.unpack_from(order + "HH", data, 4) != (8, 0))):
         raise TiffError("not a TIFF header")
-    (at,) = struct.unpack_from(order + "I", data, 4)
+    (at,) = struct.unpack_from(order + "Q", data, 8) if kind == BIG else struct.unpack_from(order + "I", data, 4)
     seen: set[int] = set()
     while at:
         if at in seen:
             raise TiffError("the directories form a loop")
         seen.add(at)
         try:
-            tags, following = _directory(data, order, at)
-            yield _page(data, tags, len(seen) - 1)
-        except (struct.error, KeyError, IndexError) as e:
-            raise TiffError(f"broken directory: {e}") from e
+            tags, following = _directory(data, order, at, kind == BIG)
+            yield _page(data, order, tags, len(seen) - 1)
+        except (struct.error, KeyError, IndexError, ValueError, OverflowError, MemoryError) as e:
+            raise e if isinstance(e, TiffError) else TiffError(f"broken directory: {e or type(e).__name__}") from e
         at = following
 
 
-def _page(data: bytes, tags: dict[int, list[int]], index: int) -> Page:
+def _page(data: bytes, order: str, tags: dict[int, list[int]], index: int) -> Page:
     width, height = tags[WIDTH][0], tags[LENGTH][0]
-    samples, how, predictor = (tags.get(t, [1])[0] for t in (SAMPLES, COMPRESSION, PREDICTOR))
-    if set(tags.get(BITS, [1])) != {8} or (samples > 1 and tags.get(PLANAR, [1])[0] != 1):
-        raise TiffError("only interleaved 8-bit samples are supported")
-    if predictor not in (1, 2):
-        raise TiffError(f"predictor {predictor} is not supported")
+    samples, how, predictor, layout = (tags.get(t, [1])[0] for t in (SAMPLES, COMPRESSION, PREDICTOR, PLANAR))
+    depths = set(tags.get(BITS, [1]))
+    bits = min(depths)
+    if len(depths) != 1 or bits not in (1, 8, 16) or (bits == 1 and (samples > 1 or predictor == 2)):
+        raise TiffError("only 8- and 16-bit samples, and one of 1 bit, are supported")
+    if predictor not in (1, 2) or layout not in (1, 2):
+        raise TiffError(f"predictor {predictor} with layout {layout} is not supported")
+    planes = samples if layout == 2 else 1
+    per = samples // planes
     tiled = TILE_OFFSETS in tags
     if tiled:
         bh, bw, offsets, counts = tags[TILE_LENGTH][0], tags[TILE_WIDTH][0], tags[TILE_OFFSETS], tags[TILE_COUNTS]
     else:
         bh, bw, offsets, counts = min(tags.get(ROWS_PER_STRIP, [height])[0], height), width, tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
-    if not (width and height and bh and bw):
+    if not (width and height and samples and bh and bw):
         raise TiffError("a page without pixels")
-    across = -(-width // bw)
-    if len(offsets) < across * -(-height // bh) or len(counts) < len(offsets):
+    across, down = -(-width // bw), -(-height // bh)
+    if len(offsets) < planes * across * down or len(counts) < len(offsets):
         raise TiffError("too few strips or tiles")
-    image = np.empty((height, width, samples), np.uint8)
-    for i, (offset, count) in enumerate(zip(offsets, counts, strict=False)):
-        y, x = i // across * bh, i % across * bw
-        if y >= height:
-            break
-        rows = bh if tiled else min(bh, height - y)
-        size = rows * bw * samples
-        raw = _expand(data[offset : offset + count], how, size)
+    line = -(-bw // 8) if bits == 1 else bw * per * bits // 8
+    if height * width * samples * max(bits // 8, 1) > CELL or line * bh > CELL:
+        raise TiffError("a page beyond 2 GiB")
+    # Every strip or tile is expanded, and found to hold what the sizes claim, before memory is taken for the page.
+    blocks = []
+    for i in range(planes * across * down):
+        y = i // across % down * bh
+        size = (bh if tiled else min(bh, height - y)) * line
+        raw = _expand(data[offsets[i] : offsets[i] + counts[i]], how, size)
         if len(raw) < size:
             raise TiffError("a strip or tile is too short")
-        block = np.frombuffer(raw, np.uint8, size).reshape(rows, bw, samples)
+        blocks.append(raw)
+    kind = np.dtype(f"{order}u{bits // 8}") if bits > 1 else np.dtype(np.uint8)
+    image = np.empty((height, width, samples), np.uint16 if bits == 16 else np.uint8)
+    for i, raw in enumerate(blocks):
+        plane, place = divmod(i, across * down)
+        y, x = place // across * bh, place % across * bw
+        rows = len(raw) // line
+        if bits == 1:
+            block = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, line), axis=1)[:, :bw, None]
+        else:
+            block = np.frombuffer(raw, kind).reshape(rows, bw, per)
         if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=np.uint8)
-        image[y : y + rows, x : x + bw] = block[: height - y, : width - x]
-    return Page(index, width, height, samples, how, predictor, tiled, image.tobytes())
+            block = np.cumsum(block, axis=1, dtype=image.dtype)
+        image[y : y + rows, x : x + bw, plane * per : (plane + 1) * per] = block[: height - y, : width - x]
+    return Page(index, width, height, samples, how, predictor, tiled, image.astype("<u2").tobytes() if bits == 16 else image.tobytes(), bits)
+
+
+PAGE_FIELDS = "page int, width int, height int, samples int, compression int, predictor int, tiled boolean, pixels binary, bits int, error string"
 
 
-PAGE_FIELDS = "page int, width int, height int, samples int, compression int, predictor int, tiled boolean, pixels binary, error string"
+def readable_pages(data: bytes) -> tuple[list[Page], str | None]:
+    """The pages up to the first fault, and that fault."""
+    found: list[Page] = []
+    try:
+        for page in decode_pages(data):
+            found.append(page)
+    except TiffError as e:
+        return found, str(e)
+    return found, None
 
 
 def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -325,14 +416,13 @@ def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
             for i, media in enumerate(batch.column(len(kept)).to_pylist()):
                 if media is None:
                     continue
-                try:
-                    found = [(p.index, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, p.data, None) for p in decode_pages(media)]
-                except TiffError as e:
-                    found = [(None,) * 8 + (str(e),)]
+                pages, fault = readable_pages(media)
+                found = [(p.index, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, p.data, p.bits, None) for p in pages]
+                found += [(None,) * 9 + (fault,)] if fault else []
                 rows += found
                 at += [i] * len(found)
             columns = [batch.column(j).take(pa.array(at, pa.int64())) for j in range(len(kept))]
-            kinds = [pa.int32()] * 6 + [pa.bool_(), pa.binary(), pa.string()]
+            kinds = [pa.int32()] * 6 + [pa.bool_(), pa.binary(), pa.int32(), pa.string()]
             columns += [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=kept + [f.split()[0] for f in PAGE_FIELDS.split(", ")])
 

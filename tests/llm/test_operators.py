@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -619,5 +621,48 @@ def test_op10_rows_and_faults(spark):
     loop[-4:] = loop[4:8]
     media = [(1, bytearray(two)), (2, None), (3, bytearray(b"junk")), (4, bytearray(two[:40])), (5, loop), (1, bytearray(two))]
     got = tiff.tiff_pages(spark.createDataFrame([(i, m, "clash") for i, m in media], "k int, media binary, width string")).collect()
-    assert Counter((r["k"], r["page"], r["width"]) for r in got) == Counter({(1, 0, 3): 2, (1, 1, 5): 2, (3, None, None): 1, (4, None, None): 1, (5, None, None): 1})
-    assert all((r["error"] is None) == (r["k"] == 1) for r in got)
+    assert Counter((r["k"], r["page"], r["width"]) for r in got) == Counter({(1, 0, 3): 2, (1, 1, 5): 2, (3, None, None): 1, (4, None, None): 1, (5, 0, 3): 1, (5, None, None): 1})
+    assert all((r["error"] is None) == (r["page"] is not None) for r in got)
+
+
+def test_op10_forged_sizes_are_faults(spark):
+    good = tiff.encode_tiff([np.zeros((2, 3), np.uint8), np.ones((4, 5), np.uint8)], tiff.NONE)
+    media = [(0, good)]
+    for k, (tag, value) in enumerate([(tiff.WIDTH, 2**32 - 1), (tiff.LENGTH, 2**32 - 1), (tiff.SAMPLES, 65535), (tiff.WIDTH, 0), (tiff.STRIP_COUNTS, 2**31), (tiff.STRIP_OFFSETS, 2**32 - 1), (tiff.BITS, 7), (tiff.COMPRESSION, 99), (tiff.ROWS_PER_STRIP, 0)], 1):
+        forged = bytearray(good)
+        at = forged.rindex(struct.pack("<H", tag) + struct.pack("<H", 3 if tag in (tiff.SAMPLES, tiff.BITS, tiff.COMPRESSION) else 4))
+        struct.pack_into("<I", forged, at + 8, value)
+        media.append((k, bytes(forged)))
+    media.append((98, good[:2] + b"\x2a\x00" + struct.pack("<I", 2**32 - 1)))
+    media.append((99, b""))
+    got = tiff.tiff_pages(spark.createDataFrame(media, "k int, media binary")).collect()
+    pages = defaultdict(list)
+    for r in got:
+        pages[r["k"]].append((r["page"], r["error"] is not None))
+    assert pages[0] == [(0, False), (1, False)]
+    # A count beyond the file is cut by it, which is enough for an uncompressed strip only if its bytes are there.
+    for k in range(1, 10):
+        assert pages[k] in ([(0, False), (None, True)], [(0, False), (1, False)]), k
+    assert sum(pages[k] == [(0, False), (1, False)] for k in range(1, 10)) <= 1
+    assert pages[98] == pages[99] == [(None, True)]
+
+
+@pytest.mark.parametrize("big", [False, True])
+@pytest.mark.parametrize("planar", [False, True])
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE])
+@pytest.mark.parametrize("layout", [{}, {"rows_per_strip": 4}, {"tile": (16, 16)}])
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_op10_depths_planes_and_big_files(big, planar, compression, layout, order):
+    rng = np.random.default_rng(5)
+    for predictor, page in ((1, rng.random((19, 21)) < 0.3), (2, rng.integers(0, 1 << 16, (19, 21, 3), dtype=np.uint16)), (1, rng.integers(0, 256, (5, 33, 4), dtype=np.uint8)), (2, rng.integers(0, 256, (5, 33, 2), dtype=np.uint8))):
+        data = tiff.encode_tiff([page, page], compression, predictor, byte_order=order, planar=planar, big=big, **layout)
+        found = list(tiff.decode_pages(data))
+        want = page.astype("<u2").tobytes() if page.dtype == np.uint16 else page.astype(np.uint8).tobytes()
+        assert [p.data for p in found] == [want, want] and found[0].bits == {"b": 1, "u": 8 * page.dtype.itemsize}[page.dtype.kind]
+
+
+def test_op10_lzw_is_linear():
+    data = bytes(random.Random(1).choices(b"abcd", k=3_000_000))
+    packed = tiff.lzw_encode(data)
+    began = time.time()
+    assert tiff.lzw_decode(packed, len(data)) == data and time.time() - began < 5
