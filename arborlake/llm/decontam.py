@@ -9,12 +9,17 @@ that is common in the corpus has many segments, never one long list.
 segment a window's lists are intersected from its rarest term on: the rarest
 term's positions, less its offset in the window, are the candidate starts, and
 each further list (moved by its own offset) keeps those that it holds too. With
-``slop`` above 0 a term may stand up to so many words off its place in the same
-document (a proximity match).
+``slop`` above 0 a start is a proximity match if the document holds, for each term
+of the window, that term up to ``slop`` words off its place; the window from that
+start on lies in the document and is what counts as covered. Every start up to
+``slop`` words around those that the rarest term gives is tried, so a match is a
+matter of the document alone, whichever term is rarest in its segment.
 
 Null text has no words and null items no windows; an item without id counts as
-an item but is left out of the list of ids. Rows that share an id are separate
-rows, each with its own result.
+an item but is left out of the list of ids. Rows that share an id, repeated rows
+included, are separate rows, each with its own result. A very long text is a
+segment by itself. An empty table of documents gives no row, one of items no hit.
+Only the id and text columns are read, so further ones change nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +38,10 @@ from pyspark.sql import functions as F
 from arborlake.llm.common import Scratch, slices, text_bytes
 
 WINDOW = 13
-#: Bytes of text indexed in one segment, and of items whose windows are sought in one pass.
-SEGMENT_BYTES, BLOCK_BYTES = 4 << 20, 1 << 20
+#: Bytes of text indexed in one segment, of items whose windows are held at once, and of items that are broadcast for one pass.
+SEGMENT_BYTES, BLOCK_BYTES, PASS_BYTES = 4 << 20, 1 << 20, 32 << 20
+#: Segments that a task keeps while it goes through the blocks of a pass.
+KEPT = 8
 #: Candidate starts that are checked at once.
 CANDIDATES = 1 << 21
 
@@ -133,14 +140,19 @@ def search(row: dict, windows: Windows, slop: int = 0) -> Iterator[tuple[np.ndar
     n_lead = counts[np.arange(len(rows)), lead]
     # A posting's key is its term and its place, so one sorted array holds every list.
     keys = (np.repeat(np.arange(len(heads) - 1, dtype=np.uint64), np.diff(heads)) << np.uint64(32)) | places
-    lots = np.cumsum(n_lead) // CANDIDATES
+    lots = np.cumsum(n_lead) * (2 * slop + 1) // CANDIDATES
     for lot in np.unique(lots):
         mine = np.flatnonzero(lots == lot)
         n = n_lead[mine]
         which = np.repeat(mine, n)
         begin = heads[rows[mine, lead[mine]]]
-        starts = places[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64) - lead[which]
-        doc = np.searchsorted(first, starts + lead[which], "right") - 1
+        stands = places[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
+        doc = np.searchsorted(first, stands, "right") - 1
+        starts = stands - lead[which]
+        if slop:
+            moves = np.tile(np.arange(-slop, slop + 1), len(starts))
+            which, starts, doc = (np.repeat(x, 2 * slop + 1) for x in (which, starts, doc))
+            which, starts, doc = np.unique(np.stack([which, starts + moves, doc]), axis=1)
         fits = (starts >= first[doc]) & (starts + windows.lengths[alive[which]] <= first[doc] + sizes[doc])
         which, starts, doc = which[fits], starts[fits], doc[fits]
         for k in range(1, rows.shape[1]):
@@ -205,40 +217,61 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     yield _distinct_items(block)
 
 
-def find(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def passes_of(blocks: Iterator[list], block_bytes: int, pass_bytes: int) -> Iterator[list[list]]:
+    """The blocks in runs of about ``pass_bytes``."""
+    n = max(pass_bytes // max(block_bytes, 1), 1)
+    while run := list(islice(blocks, n)):
+        yield run
+
+
+def find(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """One row per indexed document: (doc_id, n_words, spans, items, n_items).
 
     ``spans`` are the words covered by any occurrence, merged; ``items`` the ids
-    of the items that have an occurring window. Each block of items is one pass
-    over the index, with that block (of bounded size) broadcast.
+    of the items that have an occurring window. A pass over the index takes
+    ``pass_bytes`` of items, broadcast (of bounded size); a task goes through them
+    block by block, with a few segments at a time.
     """
     spark: SparkSession = index.sparkSession
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     names = [f.split()[0] for f in MATCHES.split(", ")]
 
-    def one_pass(block: list[tuple[int | None, bytes]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+    def one_pass(blocks: list[list[tuple[int | None, bytes]]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(blocks)
+
+        def matched(rows: list[dict], only: Windows | None) -> Iterator[pa.RecordBatch]:
+            found = [[match_segment(row, only, slop)] for row in rows] if only else [[] for _ in rows]
+            for block in [] if only else shared.value:
+                windows = Windows(block, window)
+                for row, parts in zip(rows, found, strict=True):
+                    parts.append(match_segment(row, windows, slop))
+            for row, parts in zip(rows, found, strict=True):
+                spans, ids, total = parts[0] if len(parts) == 1 else united(parts)
+                n = len(ids)
+                columns = [[row["segment"]] * n, list(range(n)), row["doc_ids"], row["n_words"], spans, ids, total]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), span, pa.list_(pa.int64()), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=names)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = Windows(shared.value, window)
+            only = Windows(shared.value[0], window) if len(shared.value) == 1 else None
+            rows: list[dict] = []
             for batch in batches:
                 for i in range(batch.num_rows):
-                    (row,) = batch.slice(i, 1).to_pylist()
-                    spans, ids, total = match_segment(row, windows, slop)
-                    n = len(ids)
-                    columns = [[row["segment"]] * n, list(range(n)), row["doc_ids"], row["n_words"], spans, ids, total]
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), span, pa.list_(pa.int64()), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=names)
+                    rows += batch.slice(i, 1).to_pylist()
+                    if only or len(rows) == KEPT:
+                        yield from matched(rows, only)
+                        rows = []
+            if rows:
+                yield from matched(rows, only)
 
         return index.mapInArrow(run, MATCHES)
 
-    blocks = item_blocks(items, block_bytes=block_bytes)
-    passes = [one_pass(b) for b in blocks]
+    passes = [one_pass(b) for b in passes_of(item_blocks(items, block_bytes=block_bytes), block_bytes, pass_bytes)]
     out = passes[0]
     if len(passes) > 1:
         for p in passes[1:]:
             out = out.unionByName(p)
-        # An id's items are all in one block, so ids and counts of the blocks add up; spans may overlap and are merged.
+        # An id's items are all in one block, so ids and counts of the passes add up; spans may overlap and are merged.
         merged = F.aggregate(
             F.array_sort(F.flatten(F.collect_list("spans"))),
             F.array().cast("array<struct<start:bigint,end:bigint>>"),
@@ -248,6 +281,24 @@ def find(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0
     return out.select("doc_id", "n_words", "spans", F.array_distinct("items").alias("items"), "n_items")
 
 
+def united(parts: list[tuple[list, list, list]]) -> tuple[list, list, list]:
+    """The results of several blocks of items for one segment, document by document: spans merged, ids and counts added up."""
+    spans, items, total = [], [], []
+    for of_doc in zip(*(p[0] for p in parts), strict=True):
+        merged: list[dict] = []
+        for s in sorted((s for own in of_doc for s in own), key=lambda s: (s["start"], s["end"])):
+            if merged and merged[-1]["end"] >= s["start"]:
+                merged[-1]["end"] = max(merged[-1]["end"], s["end"])
+            else:
+                merged.append(dict(s))
+        spans.append(merged)
+    for of_doc in zip(*(p[1] for p in parts), strict=True):
+        items.append([i for own in of_doc for i in own])
+    for of_doc in zip(*(p[2] for p in parts), strict=True):
+        total.append(sum(of_doc))
+    return spans, items, total
+
+
 def verdict(found: DataFrame) -> DataFrame:
     """The digest of ``find``'s rows: n_hit, n_items, items_sha256, contaminated."""
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])

@@ -10,6 +10,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -80,9 +81,10 @@ def test_op1_blocks_and_segments_do_not_change_the_result(spark, awkward):
     whole = queries.op1_decontamination(spark, awkward)
     index = decontam.build_index(docs, Scratch(spark, "t"), segment_bytes=3000)
     assert index.count() > 10
-    cut = decontam.verdict(decontam.find(index, bench, block_bytes=50))
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    assert rows(cut, *columns) == rows(whole, *columns)
+    for pass_bytes in (1, 100, 1 << 20):
+        cut = decontam.verdict(decontam.find(index, bench, block_bytes=50, pass_bytes=pass_bytes))
+        assert rows(cut, *columns) == rows(whole, *columns)
 
 
 def test_op1_proximity(spark):
@@ -93,6 +95,40 @@ def test_op1_proximity(spark):
     assert found(0) == {1} and found(1) == {1, 2}
 
 
+def brute_proximity(docs, items, window, slop):
+    """(doc, start, item) by trying every start of every document."""
+    out = set()
+    for d, text in docs:
+        w = text.split()
+        for item, t in items:
+            v = t.split()
+            for i in range(max(len(v) - window + 1, 1)):
+                win = v[i : i + window]
+                for s in range(len(w) - len(win) + 1):
+                    if all(term in w[max(s + k - slop, 0) : s + k + slop + 1] for k, term in enumerate(win)):
+                        out.add((d, s, item, len(win)))
+    return out
+
+
+@pytest.mark.parametrize("slop", [1, 2])
+def test_op1_proximity_is_a_matter_of_the_document_alone(spark, slop):
+    rng = random.Random(slop)
+    docs = [(0, "a x b x c")] + [(i, " ".join(rng.choices("abcdx" if i % 2 else "aab", k=rng.randint(0, 12)))) for i in range(1, 60)]
+    items = [(1, "a b c"), (2, "d a b c"), (3, "x x"), (4, "b")]
+    found = brute_proximity(docs, items, 3, slop)
+    covered, by_doc = defaultdict(set), defaultdict(set)
+    for d, s, item, n in found:
+        covered[d].update(range(s, s + n))
+        by_doc[d].add(item)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for size in (1, 60, 1 << 20):
+        index = decontam.build_index(frame, Scratch(spark, "t"), segment_bytes=size)
+        got = decontam.find(index, bench, window=3, slop=slop).collect()
+        assert {r["doc_id"]: set(r["items"]) for r in got if r["items"]} == dict(by_doc)
+        assert {r["doc_id"]: {p for s in r["spans"] for p in range(s["start"], s["end"])} for r in got if r["spans"]} == dict(covered)
+
+
 # 2: language
 
 
@@ -525,15 +561,81 @@ def test_op8_awkward(spark, awkward):
 
 
 def test_op8_keeps_every_result(spark, tmp_path):
-    talks = [(None, 0, "user", "q"), *[(None, 1, "assistant", t) for t in ("a", "b", "b", None)], (7, 0, "user", "p"), (7, 1, "assistant", None), (7, 1, "assistant", "again"), (7, 1, "assistant", "again"), (8, 3, "assistant", "x"), (8, 3, "assistant", "x"), (8, None, "assistant", "y")]
+    talks = [(None, 0, "user", "q"), *[(None, 1, "assistant", t) for t in ("a", "b", "b", None)], (1, 0, "user", "p"), (1, 1, "assistant", None), (1, 1, "assistant", "again"), (1, 1, "assistant", "again"), (8, 3, "assistant", "x"), (8, 3, "assistant", "x"), (8, None, "assistant", "y")]
     spark.createDataFrame(talks, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = queries.op8_tool_call_linking(spark, str(tmp_path)).collect()
     content = lambda r: None if r["record"].endswith('"result":null}') else r["record"].split('"result":"')[1][:-2]
     assert Counter((r["conv_id"], r["status"], r["errors"], content(r)) for r in got) == Counter(
-        [(None, "unlinked", "", None), *[(None, "orphan", "", t) for t in ("a", "b", "b", None)], (7, "ok", "", "again"), (7, "orphan", "result: duplicate", "again"), (7, "orphan", "result: duplicate", None), (8, "orphan", "", "x"), (8, "orphan", "", "x"), (8, "orphan", "", "y")]
+        [(None, "unlinked", "", None), *[(None, "orphan", "", t) for t in ("a", "b", "b", None)], (1, "ok", "", "again"), (1, "orphan", "result: duplicate", "again"), (1, "orphan", "result: duplicate", None), (8, "orphan", "", "x"), (8, "orphan", "", "x"), (8, "orphan", "", "y")]
     )
 
 
+def brute_positions(turns, needs):
+    """Positions by repeated relaxation, as many rounds as there are calls; what still moves then, or needs it, has none."""
+    at = {k: (t or 0) for k, t in turns.items()}
+    step = lambda: {k: max([at[k], *(at[n] + 1 for n in needs[k] if n in at)]) for k in at}
+    for _ in range(len(at) + 1):
+        at = step()
+    moving = {k for k, v in step().items() if v != at[k]}
+    while True:
+        more = {k for k in at if k in moving or any(n in moving for n in needs[k])}
+        if more == moving:
+            return {k: None if k in moving else v for k, v in at.items()}
+        moving = more
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_op8_positions_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows, want = [], {}
+    for conv in range(30):
+        n = rng.randint(1, 12)
+        turns = {f"k{i}": rng.choice([None, i, i, rng.randint(0, 5)]) for i in range(n)}
+        # Half of the conversations have no cycle: their calls need calls of a lower rank in a hidden order.
+        rank = {k: rng.random() for k in turns}
+        needs = {k: [x for x in rng.choices([*turns, "unknown"], k=rng.randint(0, 3)) if conv % 2 or x == "unknown" or rank[x] < rank[k]] for k in turns}
+        rows += [(conv, turns[k], k, "answer", None, needs[k]) for k in turns]
+        want |= {(conv, k): v for k, v in brute_positions(turns, needs).items()}
+    calls = spark.createDataFrame(rows, "conv_id bigint, turn bigint, call_id string, name string, arguments string, depends_on array<string>")
+    got = {(r["conv_id"], r["call_id"]): r["position"] for r in toolchat.positions(calls, Scratch(spark, "t")).collect()}
+    assert got == want and None in want.values()
+
+
+def test_op8_long_chain_takes_few_rounds(spark):
+    n = 300
+    calls = spark.createDataFrame([(1, i, f"k{i}", "answer", None, [f"k{i + 1}"]) for i in range(n)] + [(2, i, f"k{i}", "answer", None, [f"k{(i + 1) % n}"]) for i in range(n)], "conv_id bigint, turn bigint, call_id string, name string, arguments string, depends_on array<string>")
+    began = time.time()
+    got = {(r["conv_id"], r["call_id"]): r["position"] for r in toolchat.positions(calls, Scratch(spark, "t")).collect()}
+    assert got == {(1, f"k{i}"): n - 1 + (n - 1 - i) for i in range(n)} | {(2, f"k{i}"): None for i in range(n)}
+    assert time.time() - began < 60
+
+
+def test_op8_numbers_have_one_form(spark):
+    forms = {"1.0": "1", "1e0": "1", "1E2": "100", "-0.0": "0", "1.50": "1.5", "0.000123": "0.000123", "1e-7": "1e-7", "12345678.25": "12345678.25", "1e20": "100000000000000000000", "1e21": "1e+21", "-2.50e-3": "-0.0025", "7": "7", "0.1": "0.1", "123456789012": "123456789012", "0.0012345678901234567": "0.0012345678901234567"}
+    text = '{"s": "1.0 and \\" 2e0", "n": [%s], "x1.0": {"y": 1.0}}' % ", ".join(forms)
+    got = spark.createDataFrame([(text,)], "t string").select(toolchat.canonical_numbers(F.col("t"))).first()[0]
+    assert got == '{"s": "1.0 and \\" 2e0", "n": [%s], "x1.0": {"y": 1}}' % ", ".join(forms.values())
+    rows = [(1, None, "a", "instruct", '{"prompt":"p","turn":1.0}', []), (1, 0, "b", "instruct", '{"prompt":"p","turn":1e0}', ["a"]), (1, 0, "c", "instruct", '{"prompt":"p","turn":1.5}', None), (1, 0, "d", "instruct", '{"prompt":"p","turn":01.0}', [])]
+    calls = spark.createDataFrame(rows, "conv_id bigint, turn bigint, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(1, 9, k, "r") for k in "abcd"], "conv_id bigint, turn bigint, call_id string, content string")
+    out = {r["call_id"]: r for r in toolchat.link(calls, results, Scratch(spark, "t")).collect()}
+    assert out["a"]["status"] == out["b"]["status"] == "ok" and out["c"]["errors"] == "turn: not integer" and out["d"]["errors"] == "arguments: no JSON object"
+    assert '"turn":1}' in out["a"]["record"] and '"turn":1}' in out["b"]["record"] and (out["a"]["position"], out["b"]["position"]) == (0, 1)
+
+
+def test_op8_query_meets_every_case(spark, tmp_path):
+    talks = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}" * (60 if c == 4 else 1)) for c in range(80) for t in range(c % 9)]
+    spark.createDataFrame(talks, "conv_id bigint, turn bigint, role string, text string").withColumn("status", F.lit("clash")).withColumn("result", F.lit("clash")).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op8_tool_call_linking(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = con.execute(toolchat.ORACLE)
+    columns = [d[0] for d in found.description]
+    assert Counter(tuple(r[c] for c in columns) for r in got) == Counter(found.fetchall())
+    assert {r["status"] for r in got} == {"ok", "invalid", "unlinked", "cycle"} and any(r["position"] is not None and r["position"] > r["turn"] for r in got)
+    assert {"arguments: no JSON object", "turn: not integer", "note: unexpected", "prompt: max_length"} <= {e for r in got for e in r["errors"].split("; ")}
+
+
 # 9: mixing
 
 
