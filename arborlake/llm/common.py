@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,15 +21,16 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where a session names none (unit tests on one machine) a local temporary
-    folder is set as the checkpoint folder and used.
+    A session on one machine that names none (unit tests) gets a temporary folder
+    of that machine. On a cluster there is no such folder that all executors see,
+    so one must be named.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held:
-        return held.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"spark.checkpoint.dir names no folder, and executors of {master} share no local one")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arborlake-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -76,8 +78,8 @@ class Scratch:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A 64-bit key that two rows share only if id and text are equal (null counts as a value)."""
-    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    """128 bits (the MD5, as bytes) that name a row by id and text; null is a value of its own."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.when(F.col(text_col).isNull(), "|").otherwise(":"), F.coalesce(F.col(text_col), F.lit("")))))
 
 
 def text_bytes(col: str = "text") -> Column:

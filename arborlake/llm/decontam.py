@@ -48,8 +48,9 @@ CANDIDATES = 1 << 21
 #: Lower-cased ASCII letters, digits and everything beyond ASCII; on UTF-8 bytes, where bytes.lower() changes A-Z alone.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
-SEGMENT = "segment bigint, doc_ids array<bigint>, n_words array<bigint>, terms binary, heads binary, postings binary"
-MATCHES = "segment bigint, doc int, doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>, n_items bigint"
+#: The ids are longs; {} is ``bigint``, or ``binary`` where rows are named by longer keys.
+SEGMENT = "segment bigint, doc_ids array<{}>, n_words array<bigint>, terms binary, heads binary, postings binary"
+MATCHES = "segment bigint, doc int, doc_id {}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>, n_items bigint"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -58,6 +59,8 @@ def words_of(text: bytes) -> list[bytes]:
 
 def build_index(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Writes the index of all rows of ``docs`` to the shared folder; the table of its segments."""
+    kind = "binary" if docs.schema[id_col].dataType.simpleString() == "binary" else "bigint"
+    arrow = pa.binary() if kind == "binary" else pa.int64()
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -70,15 +73,15 @@ def build_index(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
                 texts.append(text)
                 held += len(text) + 16
                 if held >= segment_bytes:
-                    yield segment(number, ids, texts)
+                    yield segment(number, ids, texts, arrow)
                     number, ids, texts, held = number + 1, [], [], 0
         if ids:
-            yield segment(number, ids, texts)
+            yield segment(number, ids, texts, arrow)
 
-    return scratch.table(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(index, SEGMENT), "index")
+    return scratch.table(docs.select(F.col(id_col).cast(kind).alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(index, SEGMENT.format(kind)), "index")
 
 
-def segment(number: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+def segment(number: int, ids: list, texts: list[bytes], id_type: pa.DataType) -> pa.RecordBatch:
     """The index of some documents. Their words are numbered through, with one number left out between documents."""
     term_of: defaultdict[bytes, int] = defaultdict(count().__next__)
     parts, sizes = [], []
@@ -92,7 +95,7 @@ def segment(number: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
     order = np.argsort(terms, kind="stable")
     heads = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(term_of)))]).astype(np.uint32)
     row = [[number], [ids], [sizes], [b"\n".join(term_of)], [heads.tobytes()], [places[order].tobytes()]]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["segment", "doc_ids", "n_words", "terms", "heads", "postings"])
 
 
@@ -234,7 +237,10 @@ def find(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0
     """
     spark: SparkSession = index.sparkSession
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    names = [f.split()[0] for f in MATCHES.split(", ")]
+    id_kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    id_type = pa.binary() if id_kind == "binary" else pa.int64()
+    schema = MATCHES.format(id_kind)
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def one_pass(blocks: list[list[tuple[int | None, bytes]]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(blocks)
@@ -249,7 +255,7 @@ def find(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0
                 spans, ids, total = parts[0] if len(parts) == 1 else united(parts)
                 n = len(ids)
                 columns = [[row["segment"]] * n, list(range(n)), row["doc_ids"], row["n_words"], spans, ids, total]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), span, pa.list_(pa.int64()), pa.int64()]
+                kinds = [pa.int64(), pa.int32(), id_type, pa.int64(), span, pa.list_(pa.int64()), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=names)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +270,7 @@ def find(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0
             if rows:
                 yield from matched(rows, only)
 
-        return index.mapInArrow(run, MATCHES)
+        return index.mapInArrow(run, schema)
 
     passes = [one_pass(b) for b in passes_of(item_blocks(items, block_bytes=block_bytes), block_bytes, pass_bytes)]
     out = passes[0]

@@ -4,21 +4,26 @@ A window is ``WINDOW`` consecutive words of one document; each word is removed
 that a window covers whose word sequence also starts in a document with a
 smaller id. Windows are judged on the input.
 
-Hashes of windows are doubled from those of single words: the hash of length 2n
-is made of the two of length n. The first level that is dealt out is half a
-window. Of the halves in any window only the least hash (its anchor) is dealt:
-equal windows hold equal anchors, so no repeated window is lost, and about two in
-27 positions are dealt instead of all. Only windows whose anchor stands in two
-documents are extended to twice the length and dealt again, with the least id
-kept for each; if no candidate survives a level, the search ends there.
+Levels. The lengths of the levels double up to the window (13, 25, 50 words). The
+hash of a longer run is made of those of two shorter ones that cover it. At each
+level below the last, only the least hash of the runs in a window (its anchor) is
+dealt: equal windows hold equal anchors, so no repeated window is lost, and at
+the first level about two in 39 positions are dealt instead of all. Only windows
+whose anchor stands in two documents are extended to the next level; at the last
+one their own hashes are dealt, with the least id kept for each. If no candidate
+survives a level, the search ends there.
+
+Two windows count as equal if two hashes of different families are, of 64 bits
+each, made of the two halves of a 128-bit hash of every word.
 
 Documents of one word sequence are collapsed first: only the one with the
 smallest id is searched, the others are covered whole. Every level is a grouped
 minimum (summed up before the exchange) and a join that can split hot keys.
-Documents are only compared through hashes of 64 bits.
 
-Null text has no words. A null id counts as larger than all others. Rows that
-share an id don't remove each other's words.
+Null and empty texts have no words. A null id counts as larger than all others.
+Rows that share an id, repeated rows included, don't remove each other's words.
+A very long text is one row as others are. An empty table gives no row. Only
+``doc_id`` and ``text`` are read, so further columns change nothing.
 """
 
 from __future__ import annotations
@@ -42,22 +47,33 @@ NO_WORDS = hashlib.sha256(b"").hexdigest()
 
 
 class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
+    """The 128-bit hashes of words, as bytes."""
+
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= WORDS:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 5)
+        self[word] = h = xxhash.xxh3_128_digest(word, 5)
         return h
 
+    def lanes(self, words: list[bytes]) -> np.ndarray:
+        """(words, 2): the two halves of each word's hash."""
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u8").reshape(-1, 2)
+
+
+#: Fixed odd multipliers and shifts of the two families.
+MIX = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 31, 32, 29), (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25, 17, 29, 32))
+
 
-def double(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def double(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
     """The hashes of what ``a`` and then ``b`` are the hashes of."""
-    h = a * np.uint64(0x9E3779B97F4A7C15) ^ ((b << np.uint64(31)) | (b >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+    first, second, third, turn, one, two = (np.uint64(x) for x in MIX[lane])
+    h = a * first ^ ((b << turn) | (b >> (np.uint64(64) - turn))) * second
+    h ^= h >> one
+    h *= third
+    return h ^ (h >> two)
 
 
-def window_hashes(single: np.ndarray, length: int) -> np.ndarray:
+def window_hashes(single: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
     """The hash of every window of ``length``, doubled from ``single`` words' hashes."""
     if len(single) < length:
         return np.empty(0, np.uint64)
@@ -66,10 +82,10 @@ def window_hashes(single: np.ndarray, length: int) -> np.ndarray:
         if length & n:
             count = len(single) - length + 1
             part = now[done : done + count]
-            out, done = (part if out is None else double(out, part)), done + n
+            out, done = (part if out is None else double(out, part, lane)), done + n
         if 2 * n > length:
             return out
-        now, n = double(now[:-n], now[n:]), 2 * n
+        now, n = double(now[:-n], now[n:], lane), 2 * n
 
 
 def anchors(halves: np.ndarray, span: int) -> np.ndarray:
@@ -81,17 +97,41 @@ def anchors(halves: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(now[: len(now) - rest], now[rest:]) if rest else now
 
 
+def lengths_of(window: int) -> list[int]:
+    """The lengths of the levels: each at most twice the one before, the last the window's."""
+    out = [window]
+    while len(out) < 3 and out[0] > 1:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
 class Windows:
-    """The windows of one document: their anchors, and the hashes of the whole windows."""
+    """The windows of one document: their anchors at each level below the last, and the hashes of the whole windows."""
 
     def __init__(self, words: list[bytes], known: WordHashes, window: int):
-        half = -(-window // 2)
-        single = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        self.halves, self.step = window_hashes(single, half), window - half
-        self.anchors = anchors(self.halves, self.step + 1) if len(words) >= window else np.empty(0, np.uint64)
-
-    def whole(self, starts: np.ndarray) -> np.ndarray:
-        return double(self.halves[starts], self.halves[starts + self.step])
+        self.lengths, self.window, self.n = lengths_of(window), window, len(words)
+        self.lanes = known.lanes(words)
+        self.runs = window_hashes(self.lanes[:, 0], self.lengths[0])
+
+    def first_anchors(self) -> np.ndarray:
+        return anchors(self.runs, self.window - self.lengths[0] + 1) if self.n >= self.window else np.empty(0, np.uint64)
+
+    def _grown(self, runs: np.ndarray, level: int, lane: int) -> np.ndarray:
+        """The hashes at ``level`` from ``runs``, those of the level before."""
+        step = self.lengths[level] - self.lengths[level - 1]
+        return double(runs[: len(runs) - step], runs[step:], lane)
+
+    def extended(self, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of the windows at ``starts``: their anchors at the levels between, and the two hashes of each."""
+        between, whole = [], []
+        for lane in (0, 1):
+            runs = self.runs if lane == 0 else window_hashes(self.lanes[:, 1], self.lengths[0], 1)
+            for level in range(1, len(self.lengths)):
+                runs = self._grown(runs, level, lane)
+                if lane == 0 and level < len(self.lengths) - 1:
+                    between.append(anchors(runs, self.window - self.lengths[level] + 1)[starts])
+            whole.append(runs[starts])
+        return between, whole[0], whole[1]
 
 
 def profile(docs: DataFrame, window: int) -> DataFrame:
@@ -105,27 +145,51 @@ def profile(docs: DataFrame, window: int) -> DataFrame:
                 words = text.split()
                 sizes.append(len(words))
                 seqs.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                found.append(np.unique(Windows(words, known, window).anchors).view(np.int64))
+                found.append(np.unique(Windows(words, known, window).first_anchors()).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(seqs, pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "row", "n_words", "seq", "anchors"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), row_key().alias("row"), text_bytes().alias("text")).mapInArrow(run, "doc_id bigint, row bigint, n_words bigint, seq string, anchors array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), row_key().alias("row"), text_bytes().alias("text")).mapInArrow(run, "doc_id bigint, row binary, n_words bigint, seq string, anchors array<bigint>")
+
+
+WINDOWS = "doc_id bigint, row binary, starts array<int>, keys array<bigint>, checks array<bigint>"
 
 
 def extend(held: DataFrame, window: int) -> DataFrame:
-    """(doc_id, row, starts, keys): the windows of each row of ``held`` (doc_id, row, text, repeated) with a repeated anchor."""
+    """(doc_id, row, starts, keys, checks, mids) of the windows of each row of ``held`` (doc_id, row, text, repeated) with a
+    repeated first anchor; ``mids`` are their anchors at the level between, null where there is none."""
+    between = len(lengths_of(window)) > 2
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in slices(batches, 2, 2 << 20):
-            starts, keys = [], []
+            columns: list[list] = [[], [], [], []]
             for text, repeated in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 w = Windows(text.split(), known, window)
-                at = np.flatnonzero(np.isin(w.anchors, np.array(repeated, np.int64).view(np.uint64)))
-                starts.append(at.astype(np.int32))
-                keys.append(w.whole(at).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "starts", "keys"])
+                at = np.flatnonzero(np.isin(w.first_anchors(), np.array(repeated, np.int64).view(np.uint64)))
+                mids, keys, checks = w.extended(at)
+                for column, value in zip(columns, (at.astype(np.int32), keys.view(np.int64), checks.view(np.int64), mids[0].view(np.int64) if between else None), strict=True):
+                    column.append(value)
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "row", "starts", "keys", "checks", "mids"])
+
+    return held.mapInArrow(run, WINDOWS + ", mids array<bigint>")
+
+
+def narrow(held: DataFrame) -> DataFrame:
+    """The windows of each row of ``held`` (those of ``extend``, and ``repeated``) whose ``mids`` are repeated."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[], [], []]
+            for i in range(batch.num_rows):
+                starts, keys, checks, mids, repeated = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(2, 7))
+                keep = np.isin(mids, repeated)
+                for column, value in zip(columns, (starts, keys, checks), strict=True):
+                    column.append(value[keep])
+            kinds = [pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "row", "starts", "keys", "checks"])
 
-    return held.mapInArrow(run, "doc_id bigint, row bigint, starts array<int>, keys array<bigint>")
+    return held.select("doc_id", "row", "starts", "keys", "checks", "mids", "repeated").mapInArrow(run, WINDOWS)
 
 
 def remove(held: DataFrame, window: int) -> DataFrame:
@@ -145,25 +209,49 @@ def remove(held: DataFrame, window: int) -> DataFrame:
                 kept.append(b" ".join([words[i] for i in np.flatnonzero(~covered)]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_removed", "kept"])
 
-    return held.mapInArrow(run, "row bigint, n_removed bigint, kept string")
+    return held.mapInArrow(run, "row binary, n_removed bigint, kept string")
 
 
 def _order(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id), F.lit(LAST_ID))
 
 
+def shared_anchors(spread: DataFrame, scratch: Scratch, level: int) -> DataFrame | None:
+    """(row, repeated): of each row of ``spread`` (id, row, h) the anchors that two ids share; None if there is none."""
+    twice = spread.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h")
+    twice = scratch.table(twice, f"level{level}", merge=True)
+    if twice.isEmpty():
+        return None
+    marked = scratch.table(spread.join(twice, "h").groupBy("row").agg(F.collect_set("h").alias("repeated")), f"marked{level}", merge=True)
+    scratch.drop(f"level{level}")
+    return marked
+
+
 def candidate_windows(docs: DataFrame, firsts: DataFrame, scratch: Scratch, window: int) -> DataFrame | None:
-    """(doc_id, row, starts, keys): the windows of ``firsts`` (profiled rows) whose anchors two ids share; None if there is none.
+    """(doc_id, row, starts, keys, checks): the windows of ``firsts`` (profiled rows) whose anchors at every level two ids share; None if there is none.
 
     ``docs`` (doc_id, row, text) gives the texts of the rows again.
     """
-    spread = firsts.select(_order().alias("id"), "row", F.explode("anchors").alias("h"))
-    twice = spread.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h")
-    twice = scratch.table(twice, "level1", merge=True)
-    if twice.isEmpty():
+    marked = shared_anchors(firsts.select(_order().alias("id"), "row", F.explode("anchors").alias("h")), scratch, 1)
+    if marked is None:
+        return None
+    windows = scratch.table(extend(docs.join(marked, "row").select("doc_id", "row", "text", "repeated"), window), "windows", merge=True)
+    scratch.drop("marked1")
+    if len(lengths_of(window)) < 3:
+        return windows.drop("mids")
+    marked = shared_anchors(windows.select(_order().alias("id"), "row", F.explode(F.array_distinct("mids")).alias("h")), scratch, 2)
+    if marked is None:
         return None
-    marked = scratch.table(spread.join(twice, "h").groupBy("row").agg(F.collect_set("h").alias("repeated")), "marked", merge=True)
-    return scratch.table(extend(docs.join(marked, "row").select("doc_id", "row", "text", "repeated"), window), "windows", merge=True)
+    left = scratch.table(narrow(windows.join(marked, "row")), "left", merge=True)
+    for name in ("windows", "marked2"):
+        scratch.drop(name)
+    return left
+
+
+def _each(windows: DataFrame, *more: str) -> DataFrame:
+    """(id, row, start, key, check) of every window."""
+    zipped = windows.select(_order().alias("id"), "row", *more, F.explode(F.arrays_zip("starts", "keys", "checks")).alias("w"))
+    return zipped.select("id", "row", *more, F.col("w.starts").alias("start"), F.col("w.keys").alias("key"), F.col("w.checks").alias("check"))
 
 
 def repeated_starts(docs: DataFrame, firsts: DataFrame, scratch: Scratch, window: int) -> DataFrame | None:
@@ -171,35 +259,37 @@ def repeated_starts(docs: DataFrame, firsts: DataFrame, scratch: Scratch, window
     windows = candidate_windows(docs, firsts, scratch, window)
     if windows is None:
         return None
-    least = windows.select(_order().alias("id"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    least = scratch.table(least.filter("lo < hi").select("key", "lo"), "level2", merge=True)
+    least = windows.select(_order().alias("id"), F.explode(F.arrays_zip("keys", "checks")).alias("w")).groupBy(F.col("w.keys").alias("key"), F.col("w.checks").alias("check"))
+    least = scratch.table(least.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "check", "lo"), "last", merge=True)
     if least.isEmpty():
         return None
-    each = windows.select(_order().alias("id"), "row", F.explode(F.arrays_zip("starts", "keys")).alias("w")).select("id", "row", F.col("w.starts").alias("start"), F.col("w.keys").alias("key"))
-    found = scratch.table(each.join(least, "key").filter("id > lo").groupBy("row").agg(F.collect_set("start").alias("starts")), "found", merge=True)
-    for name in ("level1", "marked", "windows", "level2"):
+    found = scratch.table(_each(windows).join(least, ["key", "check"]).filter("id > lo").groupBy("row").agg(F.collect_set("start").alias("starts")), "found", merge=True)
+    for name in ("windows", "left", "last"):
         scratch.drop(name)
     return found
 
 
 def doubled(held: DataFrame, length: int) -> DataFrame:
-    """(doc_id, row, starts, keys) of the windows of twice ``length`` in each row of ``held`` (the same columns, for
-    windows of ``length`` that survive): both halves must survive, and their hashes make the longer one's."""
+    """The windows of twice ``length`` in each row of ``held`` (WINDOWS, those of ``length`` that survive): both
+    halves must survive, and their hashes make the longer one's."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, keys = [], []
-            for s, k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                at, key = np.array(s, np.int64), np.array(k, np.int64).view(np.uint64)
+            columns: list[list] = [[], [], []]
+            for s, *lanes in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                at = np.array(s, np.int64)
                 order = np.argsort(at, kind="stable")
-                at, key = at[order], key[order]
+                at = at[order]
                 other = np.minimum(np.searchsorted(at, at + length), max(len(at) - 1, 0))
                 both = np.flatnonzero(at[other] == at + length) if len(at) else np.empty(0, np.int64)
-                starts.append(at[both].astype(np.int32))
-                keys.append(double(key[both], key[other[both]]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "starts", "keys"])
+                columns[0].append(at[both].astype(np.int32))
+                for lane, values in enumerate(lanes):
+                    key = np.array(values, np.int64).view(np.uint64)[order]
+                    columns[1 + lane].append(double(key[both], key[other[both]], lane).view(np.int64))
+            kinds = [pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "row", "starts", "keys", "checks"])
 
-    return held.select("doc_id", "row", "starts", "keys").mapInArrow(run, "doc_id bigint, row bigint, starts array<int>, keys array<bigint>")
+    return held.select("doc_id", "row", "starts", "keys", "checks").mapInArrow(run, WINDOWS)
 
 
 def repeat_levels(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
@@ -213,14 +303,14 @@ def repeat_levels(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> Da
     again = docs.select(F.col("doc_id").cast("bigint"), row_key().alias("row"), text_bytes().alias("text"))
     held = candidate_windows(again, profiled, scratch, window)
     if held is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, row bigint, length int, starts array<int>")
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, row binary, length int, starts array<int>")
     held = held.dropDuplicates(["row"])
     length, level, out = window, 0, None
     while True:
-        each = held.select(_order().alias("id"), "doc_id", "row", F.explode(F.arrays_zip("starts", "keys")).alias("w")).select("id", "doc_id", "row", F.col("w.starts").alias("start"), F.col("w.keys").alias("key"))
-        shared = each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-        kept = each.join(shared, "key").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("start", "key"))).alias("w"))
-        kept = scratch.table(kept.select("doc_id", "row", F.col("w.start").alias("starts"), F.col("w.key").alias("keys")), f"kept{level}", merge=True)
+        each = _each(held, "doc_id")
+        shared = each.groupBy("key", "check").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "check")
+        kept = each.join(shared, ["key", "check"]).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("start", "key", "check"))).alias("w"))
+        kept = scratch.table(kept.select("doc_id", "row", F.col("w.start").alias("starts"), F.col("w.key").alias("keys"), F.col("w.check").alias("checks")), f"kept{level}", merge=True)
         if kept.isEmpty() and out is not None:
             return out
         rows = kept.select("doc_id", "row", F.lit(length).alias("length"), "starts")
@@ -244,7 +334,7 @@ def deduplicate(docs: DataFrame, scratch: Scratch, window: int = WINDOW, with_te
     scratch.drop("profile")
     whole = F.col("copy") & (F.col("n_words") >= window)
     if starts is None:
-        cut = docs.sparkSession.createDataFrame([], "row bigint, n_removed bigint, kept string")
+        cut = docs.sparkSession.createDataFrame([], "row binary, n_removed bigint, kept string")
     else:
         cut = remove(again.join(starts, "row").select("row", "text", "starts"), window).dropDuplicates(["row"])
     cut = cut.select("row", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), *(["kept"] if with_text else []))

@@ -9,6 +9,7 @@ import struct
 import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from arborlake.llm import decontam, graph, langid, mixing, pii, queries, secretscan, simhash, substring, tiff, tokenpack, toolchat
-from arborlake.llm.common import Scratch, shared_dir
+from arborlake.llm.common import Scratch, row_key, shared_dir
 
 
 def rows(df, *columns):
@@ -39,6 +40,19 @@ def test_shared_dir_is_the_session_setting(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_must_name_its_folder(master):
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        shared_dir(session)
+
+
+def test_row_key_tells_rows_apart(spark):
+    rows = [(1, "a"), (1, None), (None, "a"), (None, None), (1, ""), (11, "a"), (1, "1:a"), (None, "-")]
+    got = spark.createDataFrame(rows + rows, "doc_id bigint, text string").select(row_key().alias("k")).collect()
+    assert len({bytes(r["k"]) for r in got}) == len(rows) and all(len(r["k"]) == 16 for r in got)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).collect() == []
@@ -366,8 +380,27 @@ def test_op5_short_windows(spark, window):
 def test_op5_hashes():
     single = np.arange(1, 40, dtype=np.uint64)
     for n in (1, 2, 5, 25, 39, 40):
-        h = substring.window_hashes(single, n)
-        assert len(h) == max(len(single) - n + 1, 0) and len(set(h.tolist())) == len(h)
+        lanes = [substring.window_hashes(single, n, lane) for lane in (0, 1)]
+        for h in lanes:
+            assert len(h) == max(len(single) - n + 1, 0) and len(set(h.tolist())) == len(h)
+        assert n == 1 or not set(lanes[0].tolist()) & set(lanes[1].tolist())
+    assert [substring.lengths_of(n) for n in (50, 8, 3, 2, 1)] == [[13, 25, 50], [2, 4, 8], [1, 2, 3], [1, 2], [1]]
+
+
+def test_op5_equal_first_hashes_alone_remove_nothing(spark, monkeypatch):
+    """Windows that collide in the first family are told apart by the second."""
+
+    def weak(self, words):
+        lanes = plain(self, words).copy()
+        lanes[:, 0] = 7
+        return lanes
+
+    plain = substring.WordHashes.lanes
+    docs = [(1, "a b c d e f g h"), (2, "i j k l m n o p"), (3, "x a b c d e f g h")]
+    known = substring.WordHashes()
+    monkeypatch.setattr(substring.WordHashes, "lanes", weak)
+    keys = [substring.Windows(t.encode().split(), known, 4).extended(np.arange(2)) for _, t in docs]
+    assert keys[0][1].tolist() == keys[1][1].tolist() and keys[0][2].tolist() != keys[1][2].tolist()
     assert substring.anchors(np.array([5, 3, 4, 9, 8], np.uint64), 3).tolist() == [3, 3, 4]
 
 
