@@ -1,44 +1,58 @@
-"""SimHash near-dedup by vantage points.
+"""SimHash near-dedup by vantage-point trees.
 
 A document's fingerprint has a bit set where over half of its 3-word shingles'
 XXH64 values have it. Fingerprints link at ``RADIUS`` differing bits or fewer.
 
-Search. The 64 bits are cut into RADIUS + 1 bands, so a linked pair agrees on
-one band at least. The Hamming distance over a band is a metric too, and by the
-triangle bound both of the pair then lie at the same distances from every
-vantage point of that band. A shard is (band, distances to the band's vantage
-points); a fingerprint is in one shard a band, and the shards of the other bands
-are those in which pairs beyond this shard's boundary meet. Inside a shard a
-vantage-point tree splits at the median distance over all 64 bits, and compares
-across a boundary only what lies within RADIUS of it. The number of vantage
-points follows the number of fingerprints, so shards stay of one size and the
-rows dealt are RADIUS + 1 times the distinct fingerprints.
-
-Equal fingerprints are collapsed first. A shard of more than ``SHARD`` rows is
-dealt again by the bits beyond its band; one that a dense cluster still fills is
-cut into blocks by a hash, and each pair of blocks is a unit of work of its own. A unit returns a spanning forest of its links, one edge
-a fingerprint at most, never its pairs.
-
-Null text has no words; no words give fingerprint zero, linked like any other.
-A null id is a row like others but never a component's id, unless all are null.
+Partition. Of the two halves of a linked pair one differs in one bit at most.
+The Hamming distance over a half is a metric; a tree of vantage points parts the
+fingerprints by it: level k sends those farther from point k than the median of
+all distances to it one way, the others the other way, and the path is the
+shard. By the triangle bound the distances of a pair that differs in one bit of
+the half differ by one at most, so the pair parts at a level only where the one
+stands at the median and the other just beyond it. Those just beyond are at the
+boundary: they are sent both ways. So a linked pair meets in a shard, and no
+shard is compared with another one. Points and medians are of the fingerprints
+themselves; the number of levels is the logarithm of their number, so shards stay
+of one size. A level copies a fingerprint for 1.14, where over all 64 bits (which
+asks for a boundary of three bits) it would be 1.26.
+
+Inside a shard a vantage-point tree over all 64 bits splits at the median
+distance, and compares across the boundary only what lies within RADIUS of it.
+
+Equal fingerprints are collapsed first. A shard of more than ``SHARD`` rows, as
+dense clusters give, is dealt again by the four 16-bit bands of which a linked
+pair shares one; a part that is still too large is cut into blocks by a hash, and
+each pair of blocks is a unit of work of its own. A unit returns a spanning forest
+of its links, one edge a fingerprint at most, never its pairs.
+
+Null and empty texts have no words; no words give fingerprint zero, linked like
+any other. A null id is a row like others but never a component's id, unless all
+are null. Rows that share an id, repeated rows included, are separate rows. A very
+long text is hashed whole, a bounded lot of shingles at a time. An empty table
+gives no row. Columns named like the operator's own (``fp``, ``component_id``,
+``component``) are no keys: its own take their place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm.common import Scratch, slices, text_bytes
 from arborlake.llm.graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Rows of a shard that are searched as one unit, rows that are compared directly, and vantage points a band.
-SHARD, LEAF, VANTAGES = 4096, 192, 8
+#: Rows of a shard that are searched as one unit, rows that are compared directly, rows of a shard that the tree aims at, and its levels at most.
+SHARD, LEAF, AIM, LEVELS = 4096, 192, 1024, 40
+#: Bits of a half, and by how many a linked pair differs in one of its halves at most.
+HALF, NEAR = 32, RADIUS // 2
+OWN = ("fp", "component_id", "component")
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -59,7 +73,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keys`` and ``fp`` (a signed 64-bit integer) of every row."""
+    """The columns ``keys`` (but for those named like the operator's own) and ``fp`` (a signed 64-bit integer) of every row."""
+    keys = [k for k in keys if k not in OWN]
     fields = docs.select(*keys).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,26 +169,47 @@ def vantage_tree(fp: np.ndarray, rows: np.ndarray, forest: Forest) -> None:
             stack += [(left[dl <= m], right[dr <= m + RADIUS]), (left[dl > m], right[dr > m - RADIUS])]
 
 
-def vantage_points(n: int) -> np.ndarray:
-    """VANTAGES fixed points a band: any points are exact, fixed ones need no pass over the data."""
-    return np.array([[xxhash.xxh64_intdigest(b"%d:%d" % (band, k), SEED) & 0xFFFF for k in range(n)] for band in range(RADIUS + 1)], np.uint64)
+@dataclass
+class Level:
+    """A level of the partition of one half: its vantage point, and the distance beyond which a fingerprint goes the outer way."""
 
+    point: int
+    median: int
 
-def shards_of(fps: DataFrame, count: int) -> DataFrame:
-    """(shard, fp) for each band: the distances to its vantage points, as many as ``count`` asks for, and the band in the lowest bits."""
-    # A vantage point cuts a band's fingerprints into about seven shells.
-    depth = int(np.clip(np.ceil(np.log(max(count, 2) / 64) / np.log(7)), 1, VANTAGES))
-    width = 64 // (RADIUS + 1)
-    mask = (1 << width) - 1
-    points = vantage_points(depth)
-    rows = []
-    for band in range(RADIUS + 1):
-        own = F.shiftrightunsigned("fp", band * width).bitwiseAND(F.lit(mask))
-        key = F.lit(0).cast("bigint")
-        for v in points[band].tolist():
-            key = key * 17 + F.bit_count(own.bitwiseXOR(F.lit(v))).cast("bigint")
-        rows.append(key * (RADIUS + 1) + band)
-    return fps.select("fp", F.explode(F.array(*rows)).alias("shard"))
+
+def half_of(fp: Column, half: int) -> Column:
+    return F.shiftrightunsigned(fp, HALF * half).bitwiseAND(F.lit((1 << HALF) - 1))
+
+
+def plan_levels(distinct: DataFrame, count: int, aim: int = AIM) -> list[list[Level]]:
+    """For each half the levels of its tree: points are the fingerprints of the least hashes, and the medians those of all distances to them.
+
+    The driver sees LEVELS fingerprints at most and as many medians.
+    """
+    depth = min(max(int(np.ceil(np.log2(max(count, 1) / aim))), 0), LEVELS)
+    if not depth:
+        return [[], []]
+    points = [r["fp"] for r in distinct.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(depth).collect()]
+    halves = [[(p >> HALF * h) & ((1 << HALF) - 1) for p in points] for h in (0, 1)]
+    distances = [F.bit_count(half_of(F.col("fp"), h).bitwiseXOR(F.lit(p))) for h in (0, 1) for p in halves[h]]
+    medians = distinct.agg(*[F.percentile_approx(d, 0.5, 1000).alias(f"m{i}") for i, d in enumerate(distances)]).first()
+    return [[Level(p, medians[h * depth + k]) for k, p in enumerate(halves[h])] for h in (0, 1)]
+
+
+def shards_of(fps: DataFrame, levels: list[list[Level]]) -> DataFrame:
+    """(shard, fp): each fingerprint in the shard its path through each half's tree leads to, and where it stands at a
+    boundary (just beyond a median) also in those of the paths that go the inner way there; the half in the lowest bit."""
+    nothing = F.array().cast("array<bigint>")
+    found = []
+    for half, own in enumerate(levels):
+        home, steps = F.lit(half).cast("bigint"), []
+        for k, level in enumerate(own):
+            d, bit = F.bit_count(half_of(F.col("fp"), half).bitwiseXOR(F.lit(level.point))), F.lit(2 << k).cast("bigint")
+            home = home + F.when(d > level.median, bit).otherwise(F.lit(0).cast("bigint"))
+            steps.append(F.when(d.between(level.median + 1, level.median + NEAR), bit))
+        both_ways = F.filter(F.array(*steps), lambda b: b.isNotNull()) if steps else nothing
+        found.append(F.aggregate(both_ways, F.array(home), lambda held, bit: F.concat(held, F.transform(held, lambda s: s - bit))))
+    return fps.select("fp", F.explode(F.concat(*found)).alias("shard"))
 
 
 UNIT = "a bigint, b bigint"
@@ -211,30 +247,15 @@ def link_units(units: DataFrame) -> DataFrame:
 
 
 def finer(shards: DataFrame, shard_rows: int) -> DataFrame:
-    """``shards`` with those of too many rows dealt again by the bits beyond their band.
+    """``shards`` with those of too many rows dealt again by four bands of 16 bits, one of which a linked pair shares.
 
-    Of the 48 bits left, a linked pair agrees on one of four bands of 12; its
-    distances to that band's vantage points are the same, which names the finer
-    shard. So a row of a large shard is copied four times and shards get up to
-    4096 times smaller, where cutting into pairs of blocks copies a row once a block.
+    So a row of a large shard is copied four times and shards get up to 65,536
+    times smaller, where cutting into pairs of blocks copies a row once a block.
     """
     large = shards.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows).select("shard", F.lit(True).alias("large"))
     marked = shards.join(large, "shard", "left")
-    band = F.col("shard").bitwiseAND(F.lit(RADIUS))
-    keys = []
-    for sub in range(RADIUS + 1):
-        # The bits after the band come first, around the end of the word.
-        own = F.lit(None).cast("bigint")
-        for k in range(RADIUS + 1):
-            places = [((k + 1) * 16 + sub * 12 + i) % 64 for i in range(12)]
-            if places[-1] == places[0] + 11:
-                value = F.shiftrightunsigned("fp", places[0]).bitwiseAND(F.lit(0xFFF))
-            else:
-                head = 64 - places[0]
-                value = F.shiftrightunsigned("fp", places[0]).bitwiseOR(F.shiftleft(F.col("fp").bitwiseAND(F.lit((1 << (12 - head)) - 1)), head))
-            own = F.when(band == k, value).otherwise(own)
-        distances = [F.bit_count(own.bitwiseXOR(F.lit(v & 0xFFF))) for v in vantage_points(VANTAGES)[sub].tolist()]
-        keys.append(F.xxhash64("shard", F.lit(sub), *distances))
+    width = 64 // (RADIUS + 1)
+    keys = [F.xxhash64("shard", F.lit(band), F.shiftrightunsigned("fp", band * width).bitwiseAND(F.lit((1 << width) - 1))) for band in range(RADIUS + 1)]
     return marked.select("fp", F.explode(F.when(F.col("large"), F.array(*keys)).otherwise(F.array("shard"))).alias("shard"))
 
 
@@ -247,11 +268,11 @@ def work_units(shards: DataFrame, shard_rows: int = SHARD) -> DataFrame:
     return both.select("fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.col("shard"))).otherwise(F.transform(pairs, lambda p: F.xxhash64("shard", p)))).alias("unit"))
 
 
-def near_duplicates(fps: DataFrame, scratch: Scratch, id_col: str = "doc_id", shard_rows: int = SHARD) -> DataFrame:
+def near_duplicates(fps: DataFrame, scratch: Scratch, id_col: str = "doc_id", shard_rows: int = SHARD, aim: int = AIM) -> DataFrame:
     """Adds to ``fps`` (columns incl. id_col and fp) ``component_id``, the least id reachable over links, and
     ``component``, a fingerprint that names the component even where all its ids are null."""
     distinct = scratch.table(fps.groupBy("fp").agg(F.min(id_col).alias("__least")), "distinct", merge=True)
-    shards = scratch.table(shards_of(distinct, distinct.count()), "shards", merge=True)
+    shards = scratch.table(shards_of(distinct, plan_levels(distinct, distinct.count(), aim)), "shards", merge=True)
     units = work_units(scratch.table(finer(shards, shard_rows), "finer", merge=True), shard_rows)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = link_units(units.repartition(n, "unit").sortWithinPartitions("unit"))
@@ -265,7 +286,9 @@ def near_duplicates(fps: DataFrame, scratch: Scratch, id_col: str = "doc_id", sh
 
 
 def deduplicate(docs: DataFrame, scratch: Scratch, keys: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(keys, fp, component_id, component) for every row of ``docs``; ``keys`` holds ``id_col``."""
+    """(keys, fp, component_id, component) for every row of ``docs``; ``keys`` holds ``id_col``, which isn't named like the operator's own columns."""
+    if id_col in OWN:
+        raise ValueError(f"the id column must not be named {id_col}")
     return near_duplicates(scratch.table(fingerprints(docs, keys, text_col), "fp"), scratch, id_col)
 
 

@@ -300,14 +300,40 @@ def test_op3_vantage_tree_equals_brute_force(seed, centres, each):
     assert [forest.root(i) for i in range(len(fp))] == brute_components(fp).tolist()
 
 
-@pytest.mark.parametrize("seed,centres,each,shard", [(5, 300, 5, 4096), (6, 3, 300, 50), (7, 400, 4, 2)])
-def test_op3_shards_and_blocks_lose_no_link(spark, seed, centres, each, shard):
+@pytest.mark.parametrize("seed,centres,each,shard,aim", [(5, 300, 5, 4096, 4096), (5, 300, 5, 4096, 8), (6, 3, 300, 50, 20), (7, 400, 4, 2, 64), (8, 1, 900, 4096, 30)])
+def test_op3_shards_and_blocks_lose_no_link(spark, seed, centres, each, shard, aim):
     fp = near_fingerprints(seed, centres, each)
     table = spark.createDataFrame([(i, int(x)) for i, x in enumerate(fp.view(np.int64))], "doc_id bigint, fp bigint")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table, Scratch(spark, "t"), shard_rows=shard).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table, Scratch(spark, "t"), shard_rows=shard, aim=aim).collect()}
     assert got == dict(enumerate(brute_components(fp).tolist()))
 
 
+def test_op3_linked_pairs_meet_in_a_shard(spark):
+    fp = near_fingerprints(9, 300, 4)
+    table = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp bigint")
+    levels = simhash.plan_levels(table, len(fp), aim=4)
+    rows = simhash.shards_of(table, levels).collect()
+    assert len(levels[0]) >= 8 and len(rows) < 8 * len(fp)
+    shards = defaultdict(set)
+    for r in rows:
+        shards[r["fp"]].add(r["shard"])
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= simhash.RADIUS
+    signed = fp.view(np.int64).tolist()
+    pairs = [(signed[i], signed[j]) for i, j in zip(*np.nonzero(near), strict=True) if i < j]
+    assert len(pairs) > 200 and all(shards[a] & shards[b] for a, b in pairs)
+    # Most pairs of fingerprints that don't link are never compared.
+    sizes = Counter(r["shard"] for r in rows)
+    assert sum(n * n for n in sizes.values()) < len(fp) ** 2 / 4
+
+
+def test_op3_own_column_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y", "z"), (2, "a b c", "x", "y", "z")], "doc_id bigint, text string, fp string, component_id string, component string")
+    got = simhash.deduplicate(docs, Scratch(spark, "t"), ["doc_id", "fp", "component_id", "component"]).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1)}
+    with pytest.raises(ValueError):
+        simhash.deduplicate(docs, Scratch(spark, "t"), ["fp"], id_col="fp")
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in graph.components(edges, Scratch(spark, "t")).collect()}
