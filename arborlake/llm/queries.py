@@ -39,7 +39,7 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secretscan.digest(secretscan.scan_documents(docs, Scratch(spark, "op4")))
+    return secretscan.digest(secretscan.scan_twice(docs, Scratch(spark, "op4", docs)))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

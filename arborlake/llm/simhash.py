@@ -49,7 +49,9 @@ from arborlake.llm.graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Rows of a shard that are searched as one unit, rows that are compared directly, rows of a shard that the tree aims at, and its levels at most.
-SHARD, LEAF, AIM, LEVELS = 4096, 192, 1024, 40
+SHARD, LEAF, AIM, LEVELS = 8192, 192, 2048, 40
+#: Rows of a unit that is compared together with others, without a tree.
+FEW = 48
 #: Bits of a half, and by how many a linked pair differs in one of its halves at most.
 HALF, NEAR = 32, RADIUS // 2
 OWN = ("fp", "component_id", "component")
@@ -215,33 +217,62 @@ def shards_of(fps: DataFrame, levels: list[list[Level]]) -> DataFrame:
 UNIT = "a bigint, b bigint"
 
 
+def small_links(fp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs (row numbers) of small units that lie one after another; ``ends`` is where each row's unit ends."""
+    left, right = [], []
+    rows, k = np.arange(len(fp)), 1
+    while len(rows := rows[rows + k < ends[rows]]):
+        near = rows[_distance(fp[rows], fp[rows + k]) <= RADIUS]
+        left.append(near)
+        right.append(near + k)
+        k += 1
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def forest_of(units: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (a, b) of the links inside each of the whole units (sorted by unit)."""
+    cuts = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1], [True]]))
+    sizes = np.diff(cuts)
+    fp, out = fps.view(np.uint64), []
+    few = np.repeat((sizes > 1) & (sizes <= FEW), sizes)
+    held = np.flatnonzero(few)
+    own = sizes[(sizes > 1) & (sizes <= FEW)]
+    left, right = small_links(fp[held], np.repeat(np.cumsum(own), own))
+    if len(left):
+        rows, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
+        forest = Forest(len(rows))
+        for i, j in zip(inverse[: len(left)].tolist(), inverse[len(left) :].tolist(), strict=True):
+            forest.link(i, j)
+        out.append((fp[held[rows]], forest))
+    for start, size in zip(cuts[:-1][sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        unit = np.unique(fp[start : start + size])
+        forest = Forest(len(unit))
+        vantage_tree(unit, np.arange(len(unit)), forest)
+        out.append((unit, forest))
+    a, b = [], []
+    for unit, forest in out:
+        roots = np.array([forest.root(i) for i in range(len(unit))], np.int64)
+        far = np.flatnonzero(unit[roots] != unit)
+        a.append(unit[far])
+        b.append(unit[roots[far]])
+    return (np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 def link_units(units: DataFrame) -> DataFrame:
     """A spanning forest (a, b) of the links inside each unit of ``units`` (unit, fp), whose rows are together and sorted."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        unit = None
-
-        def edges() -> pa.RecordBatch:
-            fp = np.unique(np.concatenate(held)).view(np.uint64)
-            forest = Forest(len(fp))
-            vantage_tree(fp, np.arange(len(fp)), forest)
-            roots = np.array([forest.root(i) for i in range(len(fp))], np.int64)
-            far = np.flatnonzero(roots != np.arange(len(fp)))
-            signed = fp.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(signed[far]), pa.array(signed[roots[far]])], names=["a", "b"])
-
+        names, fps = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            names, fps = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)]])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if held and names[a] != unit:
-                    yield edges()
-                    held = []
-                unit = names[a]
-                held.append(fps[a:b])
-        if held:
-            yield edges()
+            names = np.concatenate([names, batch.column(0).to_numpy(zero_copy_only=False)])
+            fps = np.concatenate([fps, batch.column(1).to_numpy(zero_copy_only=False)])
+            # The last unit may go on in the next batch.
+            whole = int(np.searchsorted(names, names[-1])) if len(names) else 0
+            if whole:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest_of(names[:whole], fps[:whole])], names=["a", "b"])
+                names, fps = names[whole:], fps[whole:]
+        if len(names):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest_of(names, fps)], names=["a", "b"])
 
     return units.select("unit", "fp").mapInArrow(run, UNIT)
 

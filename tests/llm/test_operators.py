@@ -353,17 +353,39 @@ def test_op4(spark, awkward, documents):
 
 
 def test_op4_ledger_scans_only_what_is_new(spark):
-    docs = spark.createDataFrame([(1, "password=abcdef1"), (2, "password=abcdef1"), (3, "clean"), (None, None)], "doc_id bigint, text string")
-    scratch = Scratch(spark, "t")
-    first = secretscan.update_ledger(secretscan.address(docs), None)
-    assert first.count() == 3
-    ledger = scratch.table(first, "first")
-    more = docs.union(spark.createDataFrame([(4, "secret: qwertyu"), (5, "clean")], docs.schema))
-    new = secretscan.update_ledger(secretscan.address(more), ledger)
-    assert new.count() == 1
-    assert secretscan.update_ledger(secretscan.address(more), ledger, "next").count() == 4
-    found = secretscan.scan_documents(more, Scratch(spark, "t"), ledger)
-    assert {r["doc_id"]: len(r["spans"]) for r in found.collect()} == {1: 1, 2: 1, 3: 0, None: 0, 4: 1, 5: 0}
+    schema = "doc_id bigint, text string"
+    docs = spark.createDataFrame([(1, "password=abcdef1"), (2, "password=abcdef1"), (3, "clean"), (None, None), (6, "token, but none")], schema)
+    ledger = secretscan.Ledger(Scratch(spark, "t"))
+    spans = lambda df: {(r["doc_id"], len(r["spans"]), r["run"]) for r in df.collect()}
+    assert spans(ledger.scan(docs, 1)) == {(1, 1, 1), (2, 1, 1), (3, 0, 1), (None, 0, 1), (6, 0, 1)}
+    assert ledger.read("findings").count() == 4 and ledger.read("versions").count() == 5
+    more = docs.union(spark.createDataFrame([(4, "secret: qwertyu"), (5, "clean"), (1, "password=changed1")], schema))
+    assert spans(ledger.scan(more, 2)) == {(1, 1, 1), (2, 1, 1), (3, 0, 1), (None, 0, 1), (6, 0, 1), (4, 1, 2), (5, 0, 1), (1, 1, 2)}
+    assert ledger.read("findings").filter("run = 2").count() == 2
+    # The same run again replaces itself; a new rule version scans all.
+    ledger.scan(more, 2)
+    assert ledger.read("findings").count() == 6
+    ledger.scan(more, 3, "next")
+    assert ledger.read("findings").filter("run = 3").count() == 6
+    # Every version of a path is in the ledger.
+    assert ledger.read("versions").filter("doc_id = 1").select("blob").distinct().count() == 2
+
+
+def test_op4_marks_let_every_finding_through(spark, documents):
+    rng = random.Random(3)
+    parts = ["password", "PassWD", "api_key", "APIKEY", "Secret", "token", "=", ":", " ", '"', "AKIA", "ABCD1234", "deadbeef", "0123456789", "eyJ", "abcdefgh9", ".", "ghp_", "a1" * 18, "xoxb-", "-----BEGIN ", "PRIVATE KEY-----", "-----END PRIVATE KEY-----", "é", "\n"]
+    texts = [t or "" for _, t in documents] + ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", secretscan.marked(F.col("t")).alias("m")).collect()
+    held = {r["i"] for r in got if r["m"]}
+    found = {i for i, t in enumerate(texts) if secretscan.scan(t)}
+    assert found <= held and len(found) > 100 and len(held) < len(texts)
+
+
+@pytest.mark.parametrize("text", ["-eyJabcdefghijk" * 40_000, "eyJ" * 200_000, "password" * 80_000, "password" + " " * 600_000, "-----BEGIN PRIVATE KEY-----" * 20_000, "ghp_" * 150_000, "xoxb-" * 100_000, "a" * 600_000])
+def test_op4_rules_are_linear(text):
+    began = time.time()
+    secretscan.scan(text)
+    assert time.time() - began < 3
 
 
 # 5: substrings
