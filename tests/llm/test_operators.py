@@ -590,6 +590,55 @@ def test_op7_gate_lets_every_address_through(spark):
     assert got[0] == [(5, 22, "jo@site [dot] com")]
 
 
+def test_op7_long_texts_take_linear_time(spark):
+    texts = {1: "a.b@cd.ef " * 150_000, 2: "12 " * 300_000 + "x", 3: "+1 (555) 555-0199; " * 40_000, 4: "1" * 1_000_000, 5: "é 10.0.0.1 " * 40_000, 6: "+1" * 300_000, 7: "a" * 1_000_000 + "@"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string").repartition(4)
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(docs, Scratch(spark, "t"))).collect()}
+    assert time.time() - began < 90
+    assert (got[1]["n_email"], got[3]["n_phone"], got[5]["n_ip"]) == (150_000, 40_000, 40_000)
+    assert got[1]["base_sha256"] == sha(",".join(f"email:{10 * i}:{10 * i + 9}" for i in range(150_000)))
+
+
+def personal_corpus(rng):
+    """(doc_id, text, the loose personal spans): base spans, loose ones and look-alikes, each in a phrase of its own."""
+    name = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def card():
+        x = [int(c) for c in d(15)]
+        s = sum(c if i % 2 else (2 * c - 9 * (c > 4)) for i, c in enumerate(x))
+        return "".join(map(str, x)) + str(-s % 10)
+
+    forms = [
+        (lambda: (f"mail {name()}.{name()}@{name()}.org", None)), (lambda: (f"call +1 ({d(3)}) 555-{d(4)}", None)), (lambda: (f"the card {card()}", None)), (lambda: (f"from 10.{rng.randint(0, 255)}.0.7", None)),
+        (lambda: (f"call ({d(3)}) 555-{d(4)}", r"\([0-9]{3}\) 555-[0-9]{4}")), (lambda: (f"write to {name()} (at) {name()} (dot) org", r"[a-j]+ \(at\) .*org")),
+        (lambda: (f"order {d(16)}", None)), (lambda: (f"on 20{d(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", None)), (lambda: (f"invoice {d(9)}", None)), (lambda: (f"version 1{d(2)}.999.3{d(2)}.4", None)), (lambda: (f"{name()}@{name()}", None)),
+    ]
+    docs = []
+    for i in range(600):
+        text, truth = "", set()
+        for _ in range(rng.randint(1, 5)):
+            phrase, rule = rng.choice(forms)()
+            text += " ".join(name() for _ in range(rng.randint(1, 6))) + " "
+            if rule:
+                m = re.search(rule, phrase)
+                truth.add((len(text) + m.start(), len(text) + m.end()))
+            text += phrase + rng.choice([". ", ", ", " "])
+        docs.append((i, text, truth))
+    return docs
+
+
+def test_op7_added_spans_on_held_out_documents(spark):
+    docs = personal_corpus(random.Random(21))
+    frame = spark.createDataFrame([x[:2] for x in docs], "doc_id bigint, text string")
+    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["added"]} for r in pii.find(frame, Scratch(spark, "t")).collect()}
+    held = [(got[i], truth) for i, _, truth in docs if zlib.crc32(str(i).encode()) % 5 == 0]
+    right, added, real = sum(len(a & t) for a, t in held), sum(len(a) for a, _ in held), sum(len(t) for _, t in held)
+    print(f"held out: {added} added, precision {right / added:.3f}, recall {right / real:.3f} of {real}")
+    assert real > 50 and right >= 0.95 * added and right >= 0.8 * real
+
+
 def test_op7_ensemble_learns_and_calibrates():
     cells = []
     for digits in range(6):
