@@ -161,18 +161,37 @@ def bloom_contains(k: int = 8):
 WINDOW, BOUNDARY_BITS, CHUNK_CAP, CHAR_OFFSET = 64, 13, 1 << 15, 31
 
 
+def _boundaries(raw: np.ndarray) -> np.ndarray:
+    """Where the low bits of the rolling sum's weighted half are all ones, over a window of zeros at first."""
+    before = np.concatenate([np.zeros(WINDOW, np.int64), raw])[: len(raw)]
+    s1 = WINDOW * CHAR_OFFSET + np.cumsum(raw - before)
+    s2 = WINDOW * (WINDOW - 1) * CHAR_OFFSET + np.cumsum(s1 - WINDOW * (before + CHAR_OFFSET))
+    mask = (1 << BOUNDARY_BITS) - 1
+    return np.flatnonzero((s2 & mask) == mask)
+
+
 def chunk_ends(data: bytes) -> list[int]:
-    """Where the chunks of ``data`` end: after a byte at which the low bits of the rolling sum's weighted half are
-    all ones, or at the cap. The sum starts afresh in each chunk, over a window of zeros."""
+    """Where the chunks of ``data`` end: after the next boundary, or at the cap if that lies beyond it. Once no boundary
+    is left, all further chunks end at the cap, without another look.
+
+    The sum starts afresh in each chunk, over a window of zeros; past its first
+    WINDOW bytes it depends on the last WINDOW bytes alone, so these boundaries
+    are those of the whole content and are found once.
+    """
     raw = np.frombuffer(data, np.uint8).astype(np.int64)
-    ends, at, mask = [], 0, (1 << BOUNDARY_BITS) - 1
+    everywhere = _boundaries(raw)
+    ends, at = [], 0
     while at < len(raw):
-        part = raw[at : at + CHUNK_CAP]
-        before = np.concatenate([np.zeros(WINDOW, np.int64), part])[: len(part)]
-        s1 = WINDOW * CHAR_OFFSET + np.cumsum(part - before)
-        s2 = WINDOW * (WINDOW - 1) * CHAR_OFFSET + np.cumsum(s1 - WINDOW * (before + CHAR_OFFSET))
-        hits = np.flatnonzero((s2 & mask) == mask)
-        at += int(hits[0]) + 1 if len(hits) else len(part)
+        own = _boundaries(raw[at : at + WINDOW - 1])
+        if len(own):
+            step = int(own[0]) + 1
+        else:
+            k = int(np.searchsorted(everywhere, at + WINDOW - 1))
+            if k == len(everywhere):
+                ends += list(range(at + CHUNK_CAP, len(raw), CHUNK_CAP)) + [len(raw)]
+                break
+            step = int(everywhere[k]) + 1 - at
+        at += min(step, CHUNK_CAP)
         ends.append(at)
     return ends
 
@@ -214,13 +233,23 @@ def encode_part(data: bytes, how: str) -> bytes:
     return b"\0" + data if how == "none" else b"x" + lzma.compress(data)
 
 
-def decode_part(part: bytes, limit: int = 1 << 30) -> bytes:
+def decode_part(part: bytes, limit: int | None = None) -> bytes:
+    """The whole of a part; raises ValueError where it is cut off, or longer than ``limit`` bytes (None: any length)."""
     if part[:1] == b"\0":
-        return part[1:]
-    if part[:1] == b"x":
-        out = lzma.LZMADecompressor(memlimit=1 << 28).decompress(part[1:], limit)
-        return out
-    raise ValueError("an unknown part type")
+        out = part[1:]
+    elif part[:1] == b"x":
+        decoder = lzma.LZMADecompressor(memlimit=1 << 28)
+        try:
+            out = decoder.decompress(part[1:], -1 if limit is None else limit + 1)
+        except lzma.LZMAError as e:
+            raise ValueError(str(e)) from e
+        if not decoder.eof and (limit is None or len(out) <= limit):
+            raise ValueError("a part is cut off")
+    else:
+        raise ValueError("an unknown part type")
+    if limit is not None and len(out) > limit:
+        raise ValueError(f"a part is longer than {limit} bytes")
+    return out
 
 
 @F.pandas_udf(T.BinaryType())
@@ -234,25 +263,59 @@ def deflate(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else one(bytes(x)))
 
 
+def inflate_raw(data: bytes) -> bytes | None:
+    """The content of a raw deflate stream; None where it is broken or cut off."""
+    decoder = zlib.decompressobj(-15)
+    try:
+        out = decoder.decompress(data) + decoder.flush()
+    except zlib.error:
+        return None
+    return out if decoder.eof else None
+
+
 @F.pandas_udf(T.BinaryType())
 def inflate(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else zlib.decompress(bytes(x), -15))
+    """``inflate_raw`` of each value: a broken stream is null, and fails no other row."""
+    return data.map(lambda x: None if x is None else inflate_raw(bytes(x)))
 
 
 # A binary diff: copy runs with byte differences, extra bytes, and a seek, found by hashed blocks.
 
 
+def _block_hits(old: bytes, new: bytes, block: int) -> np.ndarray:
+    """The places of ``new`` where a block of ``old`` may start: all places are hashed as arrays, so that only these are looked at."""
+    if min(len(old), len(new)) < block:
+        return np.empty(0, np.int64)
+
+    def hashes(data: bytes) -> np.ndarray:
+        raw = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+        n, out, done = len(raw) - block + 1, np.zeros(len(raw) - block + 1, np.uint64), 0
+        now, size = raw, 1
+        while size <= block:
+            if block & size:
+                out = out * np.uint64(0x9E3779B97F4A7C15) + now[done : done + n]
+                done += size
+            if 2 * size > block:
+                break
+            now, size = now[:-size] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * size) + now[size:], 2 * size
+        return out
+
+    return np.flatnonzero(np.isin(hashes(new), np.unique(hashes(old)[::block])))
+
+
 def binary_diff(old: bytes, new: bytes, block: int = 16) -> bytes:
     """A patch of (add, extra, seek) triples: ``add`` differences over old bytes, ``extra`` new ones, then a move in old."""
     places: dict[bytes, int] = {}
     for i in range(0, len(old) - block + 1, block):
         places.setdefault(old[i : i + block], i)
-    at, pos, literal = 0, 0, 0
+    pos, literal = 0, 0
     runs: list[tuple[int, int, int]] = []  # start in new, start in old, length
-    while at + block <= len(new):
+    at = 0
+    for at in _block_hits(old, new, block).tolist():
+        if at < literal:
+            continue
         hit = places.get(new[at : at + block])
         if hit is None:
-            at += 1
             continue
         a, b = at, hit
         while a > literal and b > 0 and new[a - 1] == old[b - 1]:
@@ -261,7 +324,7 @@ def binary_diff(old: bytes, new: bytes, block: int = 16) -> bytes:
         while end < len(new) and b + end - a < len(old) and new[end] == old[b + end - a]:
             end += 1
         runs.append((a, b, end - a))
-        at = literal = end
+        literal = end
     edge = 0
     control: list[tuple[int, int, int]] = []
     diff, extra = bytearray(), bytearray()
@@ -307,10 +370,89 @@ def diff_udf():
 # Delta parts: a small byte code over the payload of a part.
 
 
+# The codes of the operations.
+OPERATIONS = {"open_splice_close": "S", "open": "o", "write": "w", "set_source": "r", "unset_source": "R", "close": "c", "patch": "B"}
+PART = "(a(uuu)aa(ayay)ayay)"
+
+
+def write_operations(operations: list[tuple], meta: tuple[bool, ...] = ()) -> bytes:
+    """Operations as byte code: a code each, with varints. ``meta`` says of each object made whether it is metadata, which has no mode and xattrs."""
+    out, made = bytearray(), 0
+    for op, *args in operations:
+        out += OPERATIONS[op].encode()
+        if op in ("open", "open_splice_close"):
+            # (offset, size) of a splice and (size) of an open may be followed by the places of mode and xattrs.
+            own, places = (args[:2], args[2:]) if op == "open_splice_close" else (args[:1], args[1:])
+            if not (made < len(meta) and meta[made]):
+                out += b"".join(write_varint(n) for n in (*places, 0, 0)[:2])
+            out += b"".join(write_varint(n) for n in reversed(own))
+            made += 1
+        elif op in ("write", "patch"):
+            offset, size = args
+            out += write_varint(size) + write_varint(offset) if op == "write" else write_varint(offset) + write_varint(size)
+        elif op == "set_source":
+            out += write_varint(args[0])
+    return bytes(out)
+
+
+def read_operations(code: bytes, meta: tuple[bool, ...] = ()) -> list[tuple]:
+    """The operations of byte code; raises ValueError at an unknown code or a cut-off number."""
+    names = {c: n for n, c in OPERATIONS.items()}
+    out: list[tuple] = []
+    at = made = 0
+
+    def number() -> int:
+        nonlocal at
+        value, used = read_varint(code, at)
+        at += used
+        return value
+
+    while at < len(code):
+        op = names.get(chr(code[at]))
+        if op is None:
+            raise ValueError(f"unknown operation {code[at]}")
+        at += 1
+        if op in ("open", "open_splice_close"):
+            places = () if made < len(meta) and meta[made] else (number(), number())
+            size = number()
+            out.append((op, number(), size, *places) if op == "open_splice_close" else (op, size, *places))
+            made += 1
+        elif op == "write":
+            size = number()
+            out.append((op, number(), size))
+        elif op == "patch":
+            out.append((op, number(), number()))
+        elif op == "set_source":
+            out.append((op, number()))
+        else:
+            out.append((op,))
+    return out
+
+
+def run_part(code: bytes, payload: bytes, objects: dict[str, bytes], meta: tuple[bool, ...] = ()) -> list[bytes]:
+    """Runs a part's byte code; the number of a source is the place of its checksum in the payload."""
+    operations = [(op, payload[args[0] : args[0] + 32].hex()) if op == "set_source" else (op, *args) for op, *args in read_operations(code, meta)]
+    return apply_operations(operations, payload, objects)
+
+
+def part_bytes(modes: list[tuple[int, int, int]], payload: bytes, code: bytes, how: str = "lzma") -> bytes:
+    """A delta part: the modes and xattrs that its objects name, the payload and the byte code, behind the type byte."""
+    from arborlake.functions import variant
+
+    return encode_part(variant.write(PART, (modes, [[]], payload, code)), how)
+
+
+def read_part(part: bytes, limit: int | None = None) -> tuple[list, list, bytes, bytes]:
+    """(modes, xattrs, payload, byte code) of a part."""
+    from arborlake.functions import variant
+
+    return variant.read(PART, decode_part(part, limit))
+
+
 def apply_operations(operations: list[tuple], payload: bytes, objects: dict[str, bytes]) -> list[bytes]:
     """Runs a part's operations; the objects in the order in which they are closed.
 
-    ("open_splice_close", offset, size), ("open", size), ("write", offset, size) from the payload or, after
+    ("open_splice_close", offset, size, ...), ("open", size, ...), ("write", offset, size) from the payload or, after
     ("set_source", name), from that object; ("unset_source",), ("patch", offset, size), ("close",).
     """
     made: list[bytes] = []
@@ -318,7 +460,9 @@ def apply_operations(operations: list[tuple], payload: bytes, objects: dict[str,
     expected, source = 0, None
     for op, *args in operations:
         if op == "open_splice_close":
-            offset, size = args
+            offset, size = args[:2]
+            if offset + size > len(payload):
+                raise ValueError("a splice lies beyond the payload")
             made.append(payload[offset : offset + size])
         elif op == "open":
             current, expected = bytearray(), args[0]

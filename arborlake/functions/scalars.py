@@ -19,9 +19,18 @@ def suffix(objtype: Column) -> Column:
     return out
 
 
-def content_checksum(uid: Column, gid: Column, mode: Column, symlink: Column, payload: Column) -> Column:
-    """The hash of a canonical header and the payload; the engine's own canonical form."""
-    return F.sha2(F.concat(F.concat_ws(":", uid, gid, mode, F.coalesce(symlink, F.lit(""))), F.lit("\n"), F.coalesce(payload, F.lit(""))), 256)
+def content_header(uid: Column, gid: Column, mode: Column, target: Column) -> Column:
+    """The header of a content object without xattrs, as bytes: its length, four zeros, owner, mode and device, the link's target (empty for a file), and where that ends."""
+    end = F.octet_length(target) + 17
+    size = F.when(end + 1 < 256, 1).otherwise(2)
+    place = F.when(size == 1, F.format_string("%02x", end)).otherwise(F.format_string("%02x%02x", end % 256, F.floor(end / 256).cast("int")))
+    number = lambda n: F.format_string("%08x", n)
+    return F.unhex(F.concat(number(end + size), F.lit("00000000"), number(uid), number(gid), number(mode), F.lit("00000000"), F.hex(target.cast("binary")), F.lit("00"), place))
+
+
+def content_checksum(uid: Column, gid: Column, mode: Column, target: Column, content: Column) -> Column:
+    """The name of a content object without xattrs: the SHA-256 of header and content."""
+    return F.sha2(F.concat(content_header(uid, gid, mode, target), F.coalesce(content.cast("binary"), F.lit(b""))), 256)
 
 
 def commit_content_checksum(tree: Column, meta: Column) -> Column:

@@ -2,36 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+import tempfile
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a frontier that are broadcast to the edges, by count; a larger one is joined by exchange.
+BROADCAST_ROWS = 200_000
+
+
+def materialised(edges: DataFrame) -> DataFrame:
+    """``edges`` (parent, child) computed once, for walks that read them every round."""
+    if getattr(edges, "_held", False):
+        return edges
+    ensure_checkpoint_dir(edges)
+    held = edges.select("parent", "child").checkpoint()
+    held._held = True
+    return held
+
+
 def closure(seeds: DataFrame, edges: DataFrame, checkpoint_every: int = 4) -> DataFrame:
     """(checksum) of everything reachable from ``seeds`` (checksum) over ``edges`` (parent, child).
 
     A frontier loop with a visited set: shared subtrees are expanded once, cycles
-    end. Each round joins the frontier only; lineage is cut by checkpoints in the shared folder.
+    end. The edges are computed once; a round reads them and joins the frontier,
+    which is broadcast where its count is small. Lineage is cut by checkpoints in the shared folder.
     """
-    ensure_checkpoint_dir(seeds)
+    edges = materialised(edges)
     visited = seeds.select("checksum").distinct().checkpoint()
     frontier, rounds = visited, 0
-    while True:
-        step = frontier.join(edges, frontier["checksum"] == edges["parent"]).select(F.col("child").alias("checksum")).distinct()
+    while n := frontier.count():
+        near = F.broadcast(frontier) if n <= BROADCAST_ROWS else frontier
+        step = edges.join(near, edges["parent"] == frontier["checksum"]).select(F.col("child").alias("checksum")).distinct()
         frontier = step.join(visited, "checksum", "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return visited
         visited = visited.union(frontier)
         rounds += 1
         if rounds % checkpoint_every == 0:
             visited = visited.checkpoint()
+    return visited
 
 
 def ensure_checkpoint_dir(df: DataFrame) -> None:
+    """Sets the session's ``spark.checkpoint.dir`` where the context has none yet. Without one, a session on one machine
+    gets a temporary folder; on a cluster there is none that all executors share, so one must be named."""
     context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arborlake-"))
+    if context.getCheckpointDir():
+        return
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", context.master):
+        raise ValueError(f"spark.checkpoint.dir names no folder, and executors of {context.master} share no local one")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="arborlake-"))
 
 
 def expand(roots: DataFrame, dir_edges: DataFrame) -> DataFrame:
@@ -49,37 +71,39 @@ def expand(roots: DataFrame, dir_edges: DataFrame) -> DataFrame:
         out = out.unionByName(level)
 
 
-def along(commits: DataFrame, tips: DataFrame) -> DataFrame:
+def along(commits: DataFrame, tips: DataFrame, young: Column | None = None) -> DataFrame:
     """(tip, checksum, distance): the ancestors of each tip, itself at 0; a missing parent ends the walk.
 
+    ``tips`` (checksum) may have a ``depth``, beyond which its walk doesn't go (-1 or
+    null: none). With ``young``, a condition over ``commits``, a walk ends before the
+    first parent for which it doesn't hold.
+
     Pointer doubling: after k rounds all ancestors within 2^k are known, so a
-    history of a million commits takes twenty rounds rather than a million.
+    history of a million commits takes twenty rounds rather than a million, and a
+    walk of limited depth only as many as that depth has bits.
     """
     ensure_checkpoint_dir(commits)
     parents = commits.select(F.col("checksum").alias("c"), F.col("parent").alias("p"))
-    have = commits.select(F.col("checksum").alias("p")).distinct()
-    jump = parents.join(have, "p", "left_semi").select("c", "p").checkpoint()
-    span = 1
-    reached = tips.select(F.col("checksum").alias("tip"), "checksum").distinct().join(have.withColumnRenamed("p", "checksum"), "checksum", "left_semi").select("tip", "checksum", F.lit(0).alias("distance")).checkpoint()
-    while not jump.isEmpty():
-        further = reached.join(jump, reached["checksum"] == jump["c"]).select("tip", F.col("p").alias("checksum"), (F.col("distance") + span).alias("distance"))
-        reached = reached.unionByName(further).checkpoint()
+    have = commits.select(F.col("checksum").alias("p"), *([young.alias("__young")] if young is not None else [])).distinct()
+    jump = parents.join(have if young is None else have.filter("__young"), "p", "left_semi").select("c", "p").checkpoint()
+    depth = F.coalesce(F.col("depth"), F.lit(-1)) if "depth" in tips.columns else F.lit(-1)
+    start = tips.select(F.col("checksum").alias("tip"), "checksum", depth.alias("depth")).distinct()
+    reached = start.join(have.select(F.col("p").alias("checksum")), "checksum", "left_semi").select("tip", "checksum", F.lit(0).alias("distance"), "depth").checkpoint()
+    span, fits = 1, (F.col("depth") < 0) | (F.col("distance") <= F.col("depth"))
+    while True:
+        further = reached.join(jump, reached["checksum"] == jump["c"]).select("tip", F.col("p").alias("checksum"), (F.col("distance") + span).alias("distance"), "depth").filter(fits).checkpoint()
+        if further.isEmpty():
+            return reached.drop("depth")
+        reached = reached.unionByName(further)
         other = jump.select(F.col("c").alias("p"), F.col("p").alias("pp"))
         jump = jump.join(other, "p").select("c", F.col("pp").alias("p")).checkpoint()
         span *= 2
-    return reached
-
 
-def within_depth(history: DataFrame, depth: Column) -> DataFrame:
-    """Rows of ``along`` up to ``depth`` parents from the tip; -1 is all."""
-    return history.filter((depth < 0) | (F.col("distance") <= depth))
 
-
-def keep_younger(history: DataFrame, cutoff: Column) -> DataFrame:
-    """The tip, and parents as long as each is at or after ``cutoff``; the first older commit ends it. ``history`` needs ``ts``."""
-    w = Window.partitionBy("tip").orderBy("distance").rowsBetween(Window.unboundedPreceding, 0)
-    young = F.min(F.when((F.col("distance") == 0) | (F.col("ts") >= cutoff), 1).otherwise(0)).over(w)
-    return history.withColumn("__young", young).filter("__young = 1").drop("__young")
+def holders(objects: DataFrame, edges: DataFrame, commits: DataFrame) -> DataFrame:
+    """(checksum) of the ``commits`` whose closure holds any of ``objects`` (checksum): a walk up from the objects, no pairs."""
+    upward = edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    return commits.select("checksum").distinct().join(closure(objects, upward), "checksum", "left_semi")
 
 
 def prune_totals(objects: DataFrame, reachable: DataFrame) -> DataFrame:
@@ -99,8 +123,11 @@ def sweep(objects: DataFrame, reachable: DataFrame) -> DataFrame:
 
 
 def owners(commits: DataFrame, edges: DataFrame, checkpoint_every: int = 4) -> DataFrame:
-    """(commit, checksum): which commits hold each object, as pairs; the closure of each commit by itself."""
-    ensure_checkpoint_dir(commits)
+    """(commit, checksum): which commits hold each object, as pairs; the closure of each commit by itself.
+
+    As many rows as the closures have together; to ask for some objects only, see ``holders``.
+    """
+    edges = materialised(edges)
     visited = commits.select(F.col("checksum").alias("commit"), "checksum").distinct().checkpoint()
     frontier = visited
     while True:

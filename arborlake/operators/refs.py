@@ -38,15 +38,40 @@ def binding_faults(refs: DataFrame, commits: DataFrame) -> DataFrame:
     return j.select("ref_name", fault.alias("fault")).filter("fault IS NOT NULL")
 
 
-def summary(refs: DataFrame, commits: DataFrame) -> DataFrame:
-    """A row per collection: the sorted map of its refs to (size, checksum, timestamp, version)."""
-    j = refs.join(commits.select("checksum", "size", "ts", "version"), "checksum")
-    entry = F.struct("ref_name", F.struct("size", "checksum", "ts", "version").alias("v"))
-    return j.groupBy("collection_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("refs"))
-
-
-def summary_rows(summaries: DataFrame) -> DataFrame:
-    return summaries.select("collection_id", F.explode("refs").alias("ref_name", "v")).select("collection_id", "ref_name", "v.size", "v.checksum", "v.ts", "v.version")
+def summary_rows(refs: DataFrame, commits: DataFrame) -> DataFrame:
+    """The entries of a summary, one row a ref: (collection_id, ref_name, size, checksum, ts, version)."""
+    return refs.join(commits.select("checksum", "size", "ts", "version"), "checksum").select("collection_id", "ref_name", "size", "checksum", "ts", "version")
+
+
+def follow(successors: DataFrame) -> DataFrame:
+    """(ref, target): where each ref's chain of ``successors`` (ref, next; null: none) ends, by doubling; a chain that never ends leaves its refs where they are."""
+    from arborlake.operators.history import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(successors)
+    have = successors.select(F.col("ref").alias("next"))
+    now = successors.join(have, "next", "left_semi").select("ref", "next").checkpoint()
+    steps = now
+    rounds, limit = 0, max(now.count(), 1)
+    while (1 << rounds) <= 2 * limit:
+        other = now.select(F.col("ref").alias("next"), F.col("next").alias("further"))
+        step = now.join(other, "next", "left").select("ref", F.coalesce("further", "next").alias("next"), F.col("further").isNotNull().alias("on")).checkpoint()
+        rounds += 1
+        open_ends = not step.filter("on").isEmpty()
+        now = step.select("ref", "next")
+        if not open_ends:
+            break
+    # What still has a successor at its end lies on or before a cycle.
+    ended = now.join(steps.select(F.col("ref").alias("next")), "next", "left_anti")
+    return successors.select("ref").join(ended, "ref", "left").select("ref", F.coalesce("next", "ref").alias("target"))
+
+
+def match_collections(wanted: DataFrame, remotes: DataFrame) -> DataFrame:
+    """(collection_id, ref_name, remote): for each wanted collection ref the remote of that collection that has a keyring; the first by name of several, null of none.
+
+    ``remotes`` is (remote, collection_id, keyring: whether there is one).
+    """
+    usable = remotes.filter("keyring AND collection_id IS NOT NULL").groupBy("collection_id").agg(F.min("remote").alias("remote"))
+    return wanted.join(usable, "collection_id", "left").select("collection_id", "ref_name", "remote")
 
 
 def latest_per_ref(candidates: DataFrame) -> DataFrame:

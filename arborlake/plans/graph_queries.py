@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlake.operators import history as H
@@ -83,37 +83,16 @@ def object_owners(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("checksum").agg(F.count("*").alias("n_commits"), F.min("commit").alias("first_commit"))
 
 
-@query("G6_fsck_all", "SELECT doc_id, doc_id % 50 <> 0 AS ok FROM documents")
-def fsck_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every object is rehashed and compared with its name; every fiftieth is corrupt here."""
-    from arborlake.operators.verify import rehash
-
-    docs = P.load(spark, sf, "documents")
-    stored = docs.select("doc_id", F.sha2("text", 256).alias("checksum"), F.concat("text", F.when(F.col("doc_id") % 50 == 0, "~").otherwise("")).alias("content"))
-    return rehash(stored).select("doc_id", "ok")
-
-
 @query("G6_fsck_partial", "WITH RECURSIVE o AS (SELECT checksum AS commit, checksum FROM order_refs UNION SELECT o.commit, child FROM o JOIN edges ON parent = o.checksum) SELECT DISTINCT commit FROM o WHERE checksum IN (SELECT 'f' || p_partkey FROM part WHERE p_partkey % 50 = 0 OR p_partkey % 53 = 0)", "order_refs", "edges")
 def fsck_partial(spark: SparkSession, sf: str) -> DataFrame:
     """Commits to mark partial, as their closure holds a corrupt file (every fiftieth part here) or a missing one (every 53rd)."""
-    from arborlake.operators.verify import mark_partial, rehash
+    from arborlake.operators.verify import rehash
 
     key = F.col("p_partkey")
     content = F.when(key % 53 == 0, F.lit(None)).when(key % 50 == 0, F.concat("p_name", F.lit("~"))).otherwise(F.col("p_name"))
     stored = P.load(spark, sf, "part").select(F.concat(F.lit("f"), key).alias("name"), F.sha2("p_name", 256).alias("checksum"), content.alias("content"))
     bad = rehash(stored).filter("NOT ok").select(F.col("name").alias("checksum"))
-    return mark_partial(H.owners(P.order_refs(spark, sf), P.edges(spark, sf)), bad)
-
-
-@query("G6_fsck", "SELECT doc_id, sha256(text) = sha256(CASE WHEN doc_id % 50 = 0 THEN text || '~' ELSE text END) AS ok FROM documents WHERE doc_id % 50 = 0 OR doc_id % 3 = 0")
-def fsck(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of ``G6_fsck_all`` that this query's SQL asks for."""
-    return fsck_all(spark, sf).filter("doc_id % 50 = 0 OR doc_id % 3 = 0")
-
-
-@query("A6_fsck_totals", "SELECT count(*) AS n_commits, count(*) FILTER (partial) AS n_partial, count(*) FILTER (NOT partial) AS n_verified, bool_or(subject IS NULL) AS corrupt FROM commits", "commits")
-def fsck_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return P.commits(spark, sf).agg(F.count("*").alias("n_commits"), F.count_if("partial").alias("n_partial"), F.count_if(~F.col("partial")).alias("n_verified"), F.bool_or(F.col("subject").isNull()).alias("corrupt"))
+    return H.holders(bad, P.edges(spark, sf), P.order_refs(spark, sf)).select(F.col("checksum").alias("commit"))
 
 
 @query("G8_incremental_pull", """
@@ -122,7 +101,7 @@ mine AS (SELECT checksum FROM order_refs WHERE CAST(substr(checksum, 2) AS BIGIN
 SELECT checksum FROM remote WHERE checksum NOT IN (SELECT checksum FROM mine)""", "order_refs", "edges")
 def incremental_pull(spark: SparkSession, sf: str) -> DataFrame:
     """What a store that holds the even orders lacks of the remote's closure; the walk stops at what it holds."""
-    edges, roots = P.edges(spark, sf), P.order_refs(spark, sf).select("checksum")
+    edges, roots = H.materialised(P.edges(spark, sf)), P.order_refs(spark, sf).select("checksum")
     mine = H.closure(roots.filter("CAST(substr(checksum, 2) AS BIGINT) % 2 = 0"), edges)
     new_roots = roots.join(mine, "checksum", "left_anti")
     missing_edges = edges.join(mine.withColumnRenamed("checksum", "child"), "child", "left_anti")
@@ -143,34 +122,34 @@ def deployment_roots(spark: SparkSession, sf: str) -> DataFrame:
 _LOG = "SELECT c.ref AS tip_ref, a.checksum, c.turn - a.turn AS distance FROM commits c JOIN commits a ON a.conv_id = c.conv_id AND a.turn <= c.turn WHERE c.turn = (SELECT max(turn) FROM commits x WHERE x.conv_id = c.conv_id)"
 
 
-def _log(spark: SparkSession, sf: str) -> DataFrame:
-    commits = P.commits(spark, sf)
+def _log(spark: SparkSession, sf: str, depth: Column | None = None, young: Column | None = None) -> DataFrame:
+    """The history of each ref (tip_ref, checksum, distance), up to ``depth`` of a ref and while ``young`` holds of a commit."""
     tips = P.refs(spark, sf).select(F.col("checksum").alias("tip"), F.col("ref_name").alias("tip_ref"))
-    walked = H.along(commits, tips.select(F.col("tip").alias("checksum")))
-    return walked.join(tips, "tip").join(commits.select("checksum", "ts", "turn", "conv_id", "version"), "checksum")
+    asked = tips.select(F.col("tip").alias("checksum"), (F.lit(-1) if depth is None else depth).alias("depth"))
+    return H.along(P.commits(spark, sf), asked, young).join(tips, "tip").select("tip_ref", "checksum", "distance")
 
 
 @query("W1_history_log", f"SELECT tip_ref, checksum, CAST(distance AS INTEGER) AS distance FROM ({_LOG})", "commits")
 def history_log(spark: SparkSession, sf: str) -> DataFrame:
-    return _log(spark, sf).select("tip_ref", "checksum", "distance")
+    return _log(spark, sf)
 
 
 @query("W2_depth_limited", f"SELECT tip_ref, checksum, CAST(distance AS INTEGER) AS distance FROM ({_LOG}) WHERE distance <= 2", "commits")
 def depth_limited(spark: SparkSession, sf: str) -> DataFrame:
     """A union of walks limited by themselves: no walk is cut because another came by first."""
-    return H.within_depth(_log(spark, sf), F.lit(2)).select("tip_ref", "checksum", "distance")
+    return _log(spark, sf, depth=F.lit(2))
 
 
 @query("W3_keep_younger", f"SELECT tip_ref, checksum FROM (SELECT *, min(CASE WHEN distance = 0 OR ts >= 1700000000 + conv_id * 100 + 15 THEN 1 ELSE 0 END) OVER (PARTITION BY tip_ref ORDER BY distance) AS young FROM (SELECT l.*, c.ts, c.conv_id FROM ({_LOG}) l JOIN commits c USING (checksum))) WHERE young = 1", "commits")
 def keep_younger(spark: SparkSession, sf: str) -> DataFrame:
     cutoff = F.lit(1700000000) + F.col("conv_id") * 100 + 15
-    return H.keep_younger(_log(spark, sf), cutoff).select("tip_ref", "checksum")
+    return _log(spark, sf, young=F.col("ts") >= cutoff).select("tip_ref", "checksum")
 
 
 @query("W4_per_branch_depth", f"SELECT tip_ref, checksum FROM ({_LOG}) WHERE CASE WHEN tip_ref LIKE 'chat/1/%' THEN 0 WHEN tip_ref LIKE 'chat/2/%' THEN -1 ELSE 1 END = -1 OR distance <= CASE WHEN tip_ref LIKE 'chat/1/%' THEN 0 WHEN tip_ref LIKE 'chat/2/%' THEN -1 ELSE 1 END", "commits")
 def per_branch_depth(spark: SparkSession, sf: str) -> DataFrame:
     depth = F.when(F.col("tip_ref").like("chat/1/%"), 0).when(F.col("tip_ref").like("chat/2/%"), -1).otherwise(1)
-    return H.within_depth(_log(spark, sf), depth).select("tip_ref", "checksum")
+    return _log(spark, sf, depth=depth).select("tip_ref", "checksum")
 
 
 @query("J10_missing_parent", "SELECT checksum, parent FROM commits WHERE turn % 4 <> 1 AND parent IS NOT NULL AND parent NOT IN (SELECT checksum FROM commits WHERE turn % 4 <> 1)", "commits")
@@ -204,12 +183,6 @@ def existence(spark: SparkSession, sf: str) -> DataFrame:
     return wanted.join(P.objects(spark, sf).select("checksum", F.lit(True).alias("there")), "checksum", "left").select("checksum", F.coalesce("there", F.lit(False)).alias("present"))
 
 
-@query("SC4_metadata_load", "SELECT c.checksum, o.storage_size FROM (SELECT DISTINCT child AS checksum FROM edges WHERE child[1] IN ('s', 'n', 'r')) c LEFT JOIN objects o USING (checksum)", "edges", "objects")
-def metadata_load(spark: SparkSession, sf: str) -> DataFrame:
-    asked = P.edges(spark, sf).filter("child RLIKE '^[snr]'").select(F.col("child").alias("checksum")).distinct()
-    return asked.join(P.objects(spark, sf).select("checksum", "storage_size"), "checksum", "left")
-
-
 @query("SC5_commit_state", "SELECT checksum, CASE WHEN partial THEN 'partial' ELSE 'normal' END AS state FROM commits", "commits")
 def commit_state(spark: SparkSession, sf: str) -> DataFrame:
     commits = P.commits(spark, sf)
@@ -217,41 +190,13 @@ def commit_state(spark: SparkSession, sf: str) -> DataFrame:
     return commits.select("checksum").join(states, "checksum", "left").select("checksum", F.coalesce("state", F.lit("normal")).alias("state"))
 
 
-@query("SC6_content_load_all", "SELECT doc_id, text, n_chars AS size FROM documents")
-def content_load_all(spark: SparkSession, sf: str) -> DataFrame:
-    return P.load(spark, sf, "documents").select("doc_id", "text", F.col("n_chars").alias("size"))
-
-
-@query("SC6_content_load", "SELECT doc_id, text, n_chars AS size FROM documents WHERE doc_id % 97 = 0")
-def content_load(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of ``SC6_content_load_all`` that this query's SQL asks for."""
-    return content_load_all(spark, sf).filter("doc_id % 97 = 0")
-
-
-@query("SC7_storage_size_all", "SELECT e.child AS checksum, min(o.storage_size) AS storage_size FROM edges e JOIN objects o ON o.checksum = e.child GROUP BY 1", "edges", "objects")
-def storage_size_all(spark: SparkSession, sf: str) -> DataFrame:
+@query("SC7_storage_size", "SELECT e.child AS checksum, min(o.storage_size) AS storage_size FROM edges e JOIN objects o ON o.checksum = e.child GROUP BY 1", "edges", "objects")
+def storage_size(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes of all objects that edges name."""
     asked = P.edges(spark, sf).select(F.col("child").alias("checksum")).distinct()
     return P.objects(spark, sf).join(asked, "checksum", "left_semi").select("checksum", "storage_size")
 
 
-@query("SC7_storage_size", "SELECT e.child AS checksum, min(o.storage_size) AS storage_size FROM edges e JOIN objects o ON o.checksum = e.child WHERE e.parent = 'c1' GROUP BY 1", "edges", "objects")
-def storage_size(spark: SparkSession, sf: str) -> DataFrame:
-    """The one commit that this query's SQL asks for."""
-    asked = P.edges(spark, sf).filter("parent = 'c1'").select(F.col("child").alias("checksum")).distinct()
-    return P.objects(spark, sf).join(asked, "checksum", "left_semi").select("checksum", "storage_size")
-
-
-@query("SC8_commit_root", "SELECT r.ref_name, c.root_tree, c.root_meta FROM refs r JOIN commits c USING (checksum)", "refs", "commits")
-def commit_root(spark: SparkSession, sf: str) -> DataFrame:
-    return P.refs(spark, sf).join(P.commits(spark, sf), "checksum").select("ref_name", "root_tree", "root_meta")
-
-
-@query("SC16_size_index", "SELECT commit, count(*) AS n, CAST(sum(archived) AS BIGINT) AS archived, CAST(sum(unpacked) AS BIGINT) AS unpacked FROM sizes GROUP BY 1", "sizes")
-def size_index(spark: SparkSession, sf: str) -> DataFrame:
-    return P.sizes(spark, sf).groupBy("commit").agg(F.count("*").alias("n"), F.sum("archived").alias("archived"), F.sum("unpacked").alias("unpacked"))
-
-
 @query("J11_sizes_needed", "SELECT count(*) AS n, CAST(sum(archived) AS BIGINT) AS archived, CAST(sum(unpacked) AS BIGINT) AS unpacked, count(*) FILTER (need) AS n_needed, CAST(sum(archived) FILTER (need) AS BIGINT) AS archived_needed, CAST(sum(unpacked) FILTER (need) AS BIGINT) AS unpacked_needed FROM (SELECT *, checksum NOT IN (SELECT checksum FROM reachable) AS need FROM sizes)", "sizes", "reachable")
 def sizes_needed(spark: SparkSession, sf: str) -> DataFrame:
     held = _reachable(spark, sf).withColumn("held", F.lit(True))
@@ -274,18 +219,12 @@ def transaction_stats(spark: SparkSession, sf: str) -> DataFrame:
     return written.agg(F.sum("n").alias("n_total"), F.count("*").alias("n_written"), F.sum("size").alias("bytes_written"))
 
 
-@query("SK2_metadata_insert", "SELECT DISTINCT sha256('dirmeta:' || (c_nationkey % 4) || ':0:16877') AS checksum, octet_length(encode('dirmeta:' || (c_nationkey % 4) || ':0:16877')) <= 134217728 AS fits FROM customer")
+@query("SK2_metadata_insert", "SELECT DISTINCT sha256(unhex(printf('%08x', c_nationkey % 4) || '00000000000041ed')) AS checksum, true AS fits FROM customer")
 def metadata_insert(spark: SparkSession, sf: str) -> DataFrame:
-    meta = P.load(spark, sf, "customer").select(F.concat(F.lit("dirmeta:"), F.col("c_nationkey") % 4, F.lit(":0:16877")).alias("content")).distinct()
+    meta = P.load(spark, sf, "customer").select(P.dirmeta(F.col("c_nationkey") % 4, F.lit(0), F.lit(P.DIR_MODE)).alias("content")).distinct()
     return meta.select(F.sha2("content", 256).alias("checksum"), (F.octet_length("content") <= 128 << 20).alias("fits"))
 
 
-@query("SK4_commit_write", "SELECT sha256(concat_ws('|', coalesce(parent, ''), subject, ts, root_tree, root_meta)) AS id, ref FROM commits", "commits")
-def commit_write(spark: SparkSession, sf: str) -> DataFrame:
-    """The id of a commit is the hash of its canonical fields."""
-    return P.commits(spark, sf).select(F.sha2(F.concat_ws("|", F.coalesce("parent", F.lit("")), "subject", "ts", "root_tree", "root_meta"), 256).alias("id"), "ref")
-
-
 @query("SK16_payload_dedup", "SELECT min(doc_id) AS canonical, count(*) AS n, CAST(sum(n_chars) - max(n_chars) AS BIGINT) AS saved FROM documents WHERE n_chars >= 100 GROUP BY sha256(text) HAVING count(*) > 1")
 def payload_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Files of equal payload share storage from a threshold of size on."""

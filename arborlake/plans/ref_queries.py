@@ -11,31 +11,6 @@ from arborlake.plans.registry import query
 from arborlake.sources import project as P
 
 
-def _sized(spark: SparkSession, sf: str) -> DataFrame:
-    return P.commits(spark, sf).withColumn("size", F.length("subject").cast("bigint"))
-
-
-@query("A7_summary_build", "SELECT collection_id, ref_name, length(subject) AS size, checksum, ts, version FROM refs JOIN commits USING (checksum) WHERE remote IS NULL", "refs", "commits")
-def summary_build(spark: SparkSession, sf: str) -> DataFrame:
-    """The summary's nested map of local refs, one row an entry."""
-    return R.summary_rows(R.summary(P.refs(spark, sf).filter("remote IS NULL"), _sized(spark, sf)))
-
-
-@query("SK11_summary_write", "SELECT coalesce(collection_id, '') AS collection_id, count(*) AS n, sha256(string_agg(ref_name || '=' || checksum, chr(10) ORDER BY ref_name)) AS digest FROM refs WHERE remote IS NULL GROUP BY 1", "refs")
-def summary_write(spark: SparkSession, sf: str) -> DataFrame:
-    made = R.summary(P.refs(spark, sf).filter("remote IS NULL"), _sized(spark, sf))
-    entries = F.transform(F.map_entries("refs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["checksum"]))
-    return made.select(F.coalesce("collection_id", F.lit("")).alias("collection_id"), F.size("refs").cast("bigint").alias("n"), F.sha2(F.array_join(entries, "\n"), 256).alias("digest"))
-
-
-@query("SC14_summary_source", "SELECT remote, ref_name, checksum FROM refs WHERE remote IS NOT NULL", "refs")
-def summary_source(spark: SparkSession, sf: str) -> DataFrame:
-    """A remote's summary read back as refs: the map is exploded."""
-    remote = P.refs(spark, sf).filter("remote IS NOT NULL")
-    maps = remote.groupBy("remote").agg(F.map_from_entries(F.collect_list(F.struct("ref_name", "checksum"))).alias("refs"))
-    return maps.select("remote", F.explode("refs").alias("ref_name", "checksum"))
-
-
 @query("J8_ref_targets", "SELECT ref_name FROM refs WHERE checksum NOT IN (SELECT checksum FROM commits WHERE turn % 3 <> 2)", "refs", "commits")
 def ref_targets(spark: SparkSession, sf: str) -> DataFrame:
     """Refs whose commit is gone (every third turn is, here)."""
@@ -80,12 +55,6 @@ def finder_results(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("remote").agg(F.count("*").alias("n"), F.min("priority").alias("priority"), F.countDistinct("ref_name").alias("n_refs"))
 
 
-@query("O4_collection_ref_order", "SELECT coalesce(collection_id, '') AS collection_id, string_agg(ref_name, ',' ORDER BY ref_name) AS refs FROM refs GROUP BY 1", "refs")
-def collection_ref_order(spark: SparkSession, sf: str) -> DataFrame:
-    grouped = P.refs(spark, sf).groupBy("collection_id").agg(F.array_join(F.array_sort(F.collect_list("ref_name")), ",").alias("refs"))
-    return grouped.orderBy(F.col("collection_id").asc_nulls_first()).select(F.coalesce("collection_id", F.lit("")).alias("collection_id"), "refs")
-
-
 @query("O5_sorted_keys", "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events")
 def sorted_keys(spark: SparkSession, sf: str) -> DataFrame:
     keys = F.map_keys(F.from_json("props", "map<string,string>"))
@@ -178,20 +147,6 @@ def cache_preference(spark: SparkSession, sf: str) -> DataFrame:
     return R.prefer(files.select("checksum"), [("origin", files.filter("n % 3 = 0")), ("cache1", files.filter("n % 2 = 0")), ("cache2", files.filter("n % 5 = 0"))])
 
 
-@query("J18_keyring_match", "SELECT c.ref_name, min(c.remote) AS remote FROM candidates c GROUP BY 1", "candidates")
-def keyring_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Of several remotes with the same collection, the first by name is taken."""
-    return P.candidates(spark, sf).groupBy("ref_name").agg(F.min("remote").alias("remote"))
-
-
-@query("G9_end_of_life", "SELECT ref, CASE WHEN conv_id % 6 = 0 THEN 'chat/' || ((conv_id + 1) % 10) || '/' || (conv_id + 1) ELSE ref END AS target FROM (SELECT DISTINCT ref, conv_id FROM commits)", "commits")
-def end_of_life(spark: SparkSession, sf: str) -> DataFrame:
-    """A ref whose commit names a successor is followed to it."""
-    rows = P.commits(spark, sf).select("ref", "conv_id").distinct()
-    moved = F.when(F.col("conv_id") % 6 == 0, F.concat(F.lit("chat/"), (F.col("conv_id") + 1) % 10, F.lit("/"), F.col("conv_id") + 1))
-    return rows.select("ref", F.coalesce(moved, "ref").alias("target"))
-
-
 @query("A10_delta_index", "SELECT \"to\", count(*) AS n, string_agg(coalesce(\"from\", '') || ':' || digest, ',' ORDER BY coalesce(\"from\", ''), digest) AS entries FROM deltas GROUP BY 1", "deltas")
 def delta_index(spark: SparkSession, sf: str) -> DataFrame:
     entry = F.struct(F.coalesce("from", F.lit("")).alias("f"), "digest")
@@ -271,17 +226,6 @@ def endianness_guess(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("W11_part_packing")
 def part_packing(spark: SparkSession, sf: str) -> DataFrame:
-    """The objects of each order packed in sequence; compared with a plain loop in the tests."""
-    rows = P.sizes(spark, sf).select(F.concat(F.lit("d"), F.abs(F.hash("commit")) % 50).alias("delta"), F.xxhash64("commit", "checksum").alias("seq"), "checksum", F.col("unpacked").alias("size"), F.when(F.col("unpacked") % 3 == 0, "patch").otherwise("plain").alias("kind"))
+    """The objects of each run of 200 orders packed in sequence; compared with a plain loop in the tests."""
+    rows = P.sizes(spark, sf).select(F.concat(F.lit("d"), F.floor(F.substring("commit", 2, 20).cast("bigint") / 200)).alias("delta"), F.xxhash64("commit", "checksum").alias("seq"), "checksum", F.col("unpacked").alias("size"), F.when(F.col("unpacked") % 3 == 0, "patch").otherwise("plain").alias("kind"))
     return D.pack_parts(rows, max_chunk=200_000)
-
-
-@query("V1_signature_any_of", "SELECT checksum AS commit, bool_or(conv_id % 3 <> 0 AND k < 2) AS valid FROM (SELECT checksum, conv_id, unnest([turn % 3, (turn + 1) % 3]) AS k FROM commits) GROUP BY 1", "commits")
-def signature_any_of(spark: SparkSession, sf: str) -> DataFrame:
-    """A commit is trusted if any signature stands by a key that isn't revoked; key k2 is."""
-    from arborlake.operators.verify import any_valid
-
-    key = lambda k: F.concat(F.lit("k"), k)
-    signatures = P.commits(spark, sf).select(F.col("checksum").alias("commit"), F.explode(F.array(key(F.col("turn") % 3), key((F.col("turn") + 1) % 3))).alias("key_id"), (F.col("conv_id") % 3 != 0).alias("ok"))
-    keys = spark.createDataFrame([("k0", False), ("k1", False), ("k2", True)], "key_id string, revoked boolean")
-    return any_valid(signatures, keys)

@@ -13,15 +13,20 @@ from arborlake.sources import project as P
 _B64 = "replace(rtrim(to_base64(unhex({})), '='), '/', '_')"
 
 
-@query("F1_content_checksum", "SELECT path, sha256(uid || ':' || gid || ':' || mode || ':' || CASE WHEN type = 'l' THEN path ELSE '' END || chr(10) || checksum) AS id FROM tree_a", "tree_a")
+_HEADER = "printf('%08x', 17 + t + k) || '00000000' || printf('%08x%08x%08x', uid, gid, mode) || '00000000' || hex(encode(target)) || '00' || CASE k WHEN 1 THEN printf('%02x', 17 + t) ELSE printf('%02x%02x', (17 + t) % 256, (17 + t) // 256) END"
+
+
+@query("F1_content_checksum", f"SELECT path, sha256(unhex({_HEADER}) || encode(CASE WHEN type = 'l' THEN '' ELSE text END)) AS id FROM (SELECT *, CASE WHEN 18 + t < 256 THEN 1 ELSE 2 END AS k FROM (SELECT *, octet_length(encode(target)) AS t FROM (SELECT *, CASE WHEN type = 'l' THEN path ELSE '' END AS target FROM files)))", "files")
 def content_checksum(spark: SparkSession, sf: str) -> DataFrame:
-    t = P.tree_a(spark, sf)
-    return t.select("path", S.content_checksum(F.col("uid"), F.col("gid"), F.col("mode"), F.when(F.col("type") == "l", F.col("path")), F.col("checksum")).alias("id"))
+    """The name of each file and link: the hash of its header and content, as the store has it."""
+    f = P.files(P.load(spark, sf, "documents"))
+    link = F.col("type") == "l"
+    return f.select("path", S.content_checksum(F.col("uid"), F.col("gid"), F.col("mode"), F.when(link, F.col("path")).otherwise(""), F.when(link, "").otherwise(F.col("text"))).alias("id"))
 
 
-@query("F2_metadata_verify", "SELECT path, sha256('dirmeta:' || uid || ':' || gid || ':' || mode) = checksum AS ok FROM tree_b WHERE type = 'd'", "tree_b")
+@query("F2_metadata_verify", "SELECT path, sha256(unhex(printf('%08x%08x%08x', uid, gid, mode))) = checksum AS ok FROM tree_b WHERE type = 'd'", "tree_b")
 def metadata_verify(spark: SparkSession, sf: str) -> DataFrame:
-    dirs = P.tree_b(spark, sf).filter("type = 'd'").withColumn("content", F.concat_ws(":", F.lit("dirmeta"), "uid", "gid", "mode"))
+    dirs = P.tree_b(spark, sf).filter("type = 'd'").withColumn("content", P.dirmeta(F.col("uid"), F.col("gid"), F.col("mode")))
     return V.rehash(dirs).select("path", "ok")
 
 
@@ -172,12 +177,13 @@ def min_free_space(spark: SparkSession, sf: str) -> DataFrame:
     return P.load(spark, sf, "part").select("p_partkey", S.min_free_space(F.concat("p_size", unit)).alias("bytes"))
 
 
-@query("W13_deployment_order", "SELECT osname, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY csum DESC, idx) AS ordered FROM deployments GROUP BY 1", "deployments")
+@query("W13_deployment_order", "SELECT osname, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY version DESC, idx) AS ordered FROM (SELECT *, 100 - idx * 7 % 11 AS version FROM deployments) GROUP BY 1", "deployments")
 def deployment_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Boot entries by version, the highest first."""
-    rows = P.deployments(spark, sf).groupBy("osname").agg(F.collect_list(F.struct("csum", "idx")).alias("l"))
-    first = F.array_sort("l", lambda a, b: F.when(a["csum"] > b["csum"], -1).when(a["csum"] < b["csum"], 1).otherwise(F.when(a["idx"] < b["idx"], -1).otherwise(1)))
-    return rows.select("osname", F.array_join(F.transform(first, lambda x: x["idx"].cast("string")), ",").alias("ordered"))
+    """Boot entries by version, the highest first, and then as they were; the version comes from each entry's text."""
+    entry = F.concat(F.lit("title x\nversion "), (F.lit(100) - F.col("idx") * 7 % 11).cast("string"), F.lit("\nlinux /k"))
+    rows = P.deployments(spark, sf).withColumn("version", F.regexp_extract(entry, r"(?m)^version\s+([0-9]+)", 1).cast("int"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("version")).alias("v"), "idx")))
+    return rows.groupBy("osname").agg(order.alias("l")).select("osname", F.array_join(F.transform("l", lambda x: x["idx"].cast("string")), ",").alias("ordered"))
 
 
 @query("SC15_config", "SELECT s_name AS remote, 'https://' || s_name AS url, CASE WHEN s_suppkey % 3 = 0 THEN 'false' ELSE 'true' END AS verify FROM supplier")

@@ -20,6 +20,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dirmeta(uid: Column, gid: Column, mode: Column) -> Column:
+    """The record of a directory's metadata without xattrs: three big-endian numbers."""
+    return F.unhex(F.format_string("%08x%08x%08x", uid, gid, mode))
+
+
 def parent_of(path: Column) -> Column:
     """The directory that holds a path; the root is the empty path."""
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
@@ -37,11 +42,11 @@ def with_directories(files: DataFrame, private: Column) -> DataFrame:
     dirs = files.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
     mode = F.when(private, F.lit(PRIVATE_DIR_MODE)).otherwise(F.lit(DIR_MODE)).cast("int")
     dirs = dirs.select("path", F.lit("d").alias("type"), mode.alias("mode"), F.lit(0).alias("uid"), F.lit(0).alias("gid"), F.lit(0).cast("bigint").alias("size"))
-    dirs = dirs.withColumn("checksum", F.sha2(F.concat_ws(":", F.lit("dirmeta"), "uid", "gid", "mode"), 256))
+    dirs = dirs.withColumn("checksum", F.sha2(dirmeta(F.col("uid"), F.col("gid"), F.col("mode")), 256))
     return files.select("path", "type", "mode", "uid", "gid", "size", "checksum").unionByName(dirs)
 
 
-def _files(docs: DataFrame) -> DataFrame:
+def files(docs: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
     mode = F.when(doc % 17 == 0, 0o120777).when(doc % 4 == 0, 0o100755).otherwise(0o100644).cast("int")
     return docs.select(
@@ -58,17 +63,17 @@ def _files(docs: DataFrame) -> DataFrame:
 
 def tree_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first snapshot: a file for each document at lang/source/doc_id."""
-    return with_directories(_files(load(spark, sf_dir, "documents")).withColumn("checksum", F.sha2("text", 256)), F.lit(False))
+    return with_directories(files(load(spark, sf_dir, "documents")).withColumn("checksum", F.sha2("text", 256)), F.lit(False))
 
 
 def tree_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next snapshot: some files removed, changed, moved below new/, or turned into directories."""
     doc = F.col("doc_id")
-    files = _files(load(spark, sf_dir, "documents")).filter(doc % 7 != 0)
+    rows = files(load(spark, sf_dir, "documents")).filter(doc % 7 != 0)
     path = F.concat(F.when(doc % 11 == 0, "new/").otherwise(""), F.col("path"), F.when(doc % 13 == 0, "/inner").otherwise(""))
     text = F.concat("text", F.when(doc % 5 == 0, "!").otherwise(""))
-    files = files.withColumn("path", path).withColumn("checksum", F.sha2(text, 256)).withColumn("size", F.length(text).cast("bigint"))
-    return with_directories(files, F.col("path").startswith("de"))
+    rows = rows.withColumn("path", path).withColumn("checksum", F.sha2(text, 256)).withColumn("size", F.length(text).cast("bigint"))
+    return with_directories(rows, F.col("path").startswith("de"))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +87,9 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("bigint").alias("conv_id"),
         F.col("turn").cast("bigint").alias("turn"),
         (F.lit(1700000000) + F.col("conv_id") * 100 + F.col("turn") * 10 - F.when(F.col("turn") % 3 == 2, 25).otherwise(0)).cast("bigint").alias("ts"),
-        F.substring("text", 1, 20).alias("subject"),
+        F.col("text").alias("subject"),
         F.sha2(F.concat_ws("|", F.lit("tree"), F.col("conv_id") % 40, F.greatest("turn", F.lit(1))), 256).alias("root_tree"),
-        F.sha2(F.lit("dirmeta:0:0:16877"), 256).alias("root_meta"),
+        F.sha2(dirmeta(F.lit(0), F.lit(0), F.lit(DIR_MODE)), 256).alias("root_meta"),
         F.concat(F.lit("1."), F.col("turn")).alias("version"),
         ((F.col("conv_id") % 9 == 0) & (F.col("turn") == 0)).alias("partial"),
     )
@@ -178,12 +183,12 @@ def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(idx, osname, csum, bootcsum, pinned, booted): the first eight events of a user are its deployments."""
+    """(idx, osname, csum, bootcsum, pinned, booted): the events of a user are its deployments."""
     e = load(spark, sf_dir, "events")
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select("user_id", "event_id", "event_type", n.alias("idx")).filter("idx < 8").select(
+    return e.select("user_id", "event_id", "event_type", n.alias("idx")).select(
         "idx", F.concat(F.lit("os"), "user_id").alias("osname"), F.sha2(F.concat_ws("|", F.col("user_id"), F.col("event_id") % 3), 256).alias("csum"), F.sha2("event_type", 256).alias("bootcsum"),
         (F.col("event_id") % 6 == 0).alias("pinned"), (F.col("idx") == F.col("user_id") % 8).alias("booted"),
     )
@@ -191,7 +196,7 @@ def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAME = "sha256(conv_id || '|' || {})"
 _ANC = "unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/')))"
-_DIRS = "SELECT path, 'd' AS type, m AS mode, 0 AS uid, 0 AS gid, 0 AS size, sha256('dirmeta:0:0:' || m) AS checksum FROM (SELECT DISTINCT path, {} AS m FROM (SELECT " + _ANC + " AS path FROM {}))"
+_DIRS = "SELECT path, 'd' AS type, m AS mode, 0 AS uid, 0 AS gid, 0 AS size, sha256(unhex('0000000000000000' || printf('%08x', m))) AS checksum FROM (SELECT DISTINCT path, {} AS m FROM (SELECT " + _ANC + " AS path FROM {}))"
 
 #: The projections as SQL, by the name of the Spark function; the second value lists what a statement builds on.
 SQL: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -200,7 +205,7 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
     "files_b": ("SELECT CASE WHEN doc_id % 11 = 0 THEN 'new/' ELSE '' END || path || CASE WHEN doc_id % 13 = 0 THEN '/inner' ELSE '' END AS path, type, mode, uid, gid, length(text || CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END) AS size, sha256(text || CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END) AS checksum FROM files WHERE doc_id % 7 <> 0", ("files",)),
     "tree_b": ("SELECT path, type, mode, uid, gid, size, checksum FROM files_b UNION ALL " + _DIRS.format("CASE WHEN path LIKE 'de%' THEN 16832 ELSE 16877 END", "files_b"), ("files_b",)),
     "commits": (
-        f"SELECT {_NAME.format('turn')} AS checksum, CASE WHEN turn > 0 THEN {_NAME.format('(turn - 1)')} END AS parent, 'chat/' || (conv_id % 10) || '/' || conv_id AS ref, conv_id, turn, 1700000000 + conv_id * 100 + turn * 10 - CASE WHEN turn % 3 = 2 THEN 25 ELSE 0 END AS ts, substr(text, 1, 20) AS subject, sha256('tree|' || (conv_id % 40) || '|' || greatest(turn, 1)) AS root_tree, sha256('dirmeta:0:0:16877') AS root_meta, '1.' || turn AS version, conv_id % 9 = 0 AND turn = 0 AS partial FROM conversations",
+        f"SELECT {_NAME.format('turn')} AS checksum, CASE WHEN turn > 0 THEN {_NAME.format('(turn - 1)')} END AS parent, 'chat/' || (conv_id % 10) || '/' || conv_id AS ref, conv_id, turn, 1700000000 + conv_id * 100 + turn * 10 - CASE WHEN turn % 3 = 2 THEN 25 ELSE 0 END AS ts, text AS subject, sha256('tree|' || (conv_id % 40) || '|' || greatest(turn, 1)) AS root_tree, sha256(unhex('0000000000000000000041ed')) AS root_meta, '1.' || turn AS version, conv_id % 9 = 0 AND turn = 0 AS partial FROM conversations",
         (),
     ),
     "refs": ("SELECT CASE conv_id % 3 WHEN 1 THEN 'origin' WHEN 2 THEN 'mirror' END AS remote, CASE WHEN conv_id % 4 = 0 THEN 'org.example.Chat' END AS collection_id, ref AS ref_name, arg_max(checksum, turn) AS checksum, CASE WHEN conv_id % 10 = 0 AND conv_id > 0 THEN 'chat/' || ((conv_id - 1) % 10) || '/' || (conv_id - 1) END AS alias_of FROM commits GROUP BY conv_id, ref", ("commits",)),
@@ -215,7 +220,7 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "candidates": ("SELECT s_name AS remote, s_nationkey % 3 AS priority, s_suppkey % 5 * 100 AS last_modified, r_name AS ref_name, CASE WHEN v > 0 THEN r_name || '-' || v END AS checksum, CASE WHEN v > 0 THEN v * 10 END AS ts FROM (SELECT *, CAST(floor(abs(s_acctbal) % 7) AS BIGINT) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)", ()),
     "deltas": ("SELECT parent AS \"from\", checksum AS \"to\", sha256(CASE WHEN parent IS NULL THEN '' ELSE parent || '-' END || checksum) AS digest FROM commits WHERE turn % 2 = 1 OR turn = 0", ("commits",)),
-    "deployments": ("SELECT CAST(n AS INTEGER) AS idx, 'os' || user_id AS osname, sha256(user_id || '|' || (event_id % 3)) AS csum, sha256(event_type) AS bootcsum, event_id % 6 = 0 AS pinned, n = user_id % 8 AS booted FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events) WHERE n < 8", ()),
+    "deployments": ("SELECT CAST(n AS INTEGER) AS idx, 'os' || user_id AS osname, sha256(user_id || '|' || (event_id % 3)) AS csum, sha256(event_type) AS bootcsum, event_id % 6 = 0 AS pinned, n = user_id % 8 AS booted FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)", ()),
 }
 
 

@@ -6,18 +6,20 @@ import hashlib
 import io
 import random
 import tarfile
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from arborlake.functions import binary as B
+from arborlake.functions import ed25519, records, variant
 from arborlake.functions import scalars as S
 from arborlake.operators.transaction import StoreWriter
 from arborlake.sources import archive, stores
 
 
-@pytest.mark.parametrize("n", [0, 1, 0x6F, 0xA0, 0xFF, 0xF0F0, 0xCAFE, 0xCAFEBABE, 2**64 - 1, 2**64 - 2, (2**64 - 1) // 2])
+@pytest.mark.parametrize("n", sorted({max(2 ** (7 * k) + d, 0) for k in range(10) for d in (-1, 0, 1)} | {2**64 - 1}))
 def test_varint_round_trip(n):
     data = B.write_varint(n)
     assert len(data) <= 10 and B.read_varint(b"x" + data + b"y", 1) == (n, len(data))
@@ -41,7 +43,7 @@ def test_siphash_reference_vector():
 
 def test_bloom(spark):
     b = B.Bloom()
-    words = ["hello", "there", "these", "are", "test", "strings"]
+    words = [f"ref/{k}/{k * k}" for k in range(12)]
     assert not any(w in b for w in words)
     for w in words:
         b.add(w)
@@ -50,25 +52,35 @@ def test_bloom(spark):
     assert B.bloom_build(rows, "key", "item").first()["bloom"] == bytearray(bytes(b))
 
 
+def slow_next(data, start):
+    """The length up to the next boundary, one byte at a time; 0 where there is none."""
+    window, s1, s2 = [0] * B.WINDOW, B.WINDOW * B.CHAR_OFFSET, B.WINDOW * (B.WINDOW - 1) * B.CHAR_OFFSET
+    for i in range(len(data) - start):
+        drop, add = window[i % B.WINDOW], data[start + i]
+        window[i % B.WINDOW] = add
+        s1 += add - drop
+        s2 += s1 - B.WINDOW * (drop + B.CHAR_OFFSET)
+        if s2 & 8191 == 8191:
+            return i + 1
+    return 0
+
+
 def slow_chunk_ends(data):
-    ends, start = [], 0
+    ends, start, over = [], 0, False
     while start < len(data):
-        window, s1, s2 = [0] * B.WINDOW, B.WINDOW * B.CHAR_OFFSET, B.WINDOW * (B.WINDOW - 1) * B.CHAR_OFFSET
-        for i in range(min(len(data) - start, B.CHUNK_CAP)):
-            drop, add = window[i % B.WINDOW], data[start + i]
-            window[i % B.WINDOW] = add
-            s1 += add - drop
-            s2 += s1 - B.WINDOW * (drop + B.CHAR_OFFSET)
-            if s2 & 8191 == 8191:
-                break
-        start += i + 1
+        step = 0 if over else slow_next(data, start)
+        over = over or not step
+        start += min(step or B.CHUNK_CAP, B.CHUNK_CAP, len(data) - start)
         ends.append(start)
     return ends
 
 
 def test_chunks_equal_a_byte_loop():
-    data = random.Random(1).randbytes(100_000) + bytes(40_000)
-    assert B.chunk_ends(data) == slow_chunk_ends(data) and B.chunk_ends(b"") == []
+    rng = random.Random(1)
+    data = [rng.randbytes(100_000) + bytes(40_000), b"", b"x", bytes(100_000), rng.randbytes(70) + bytes(33_000)]
+    data += [bytes(rng.randrange(256) for _ in range(rng.randint(1, 300))) * (100_000 // 300) for _ in range(25)]
+    for d in data:
+        assert B.chunk_ends(d) == slow_chunk_ends(d)
 
 
 def test_chunk_match_after_an_edit(spark):
@@ -89,6 +101,108 @@ def test_binary_diff_round_trip():
     assert len(B.binary_diff(old, old[:9000] + b"!" + old[9000:])) < 400
 
 
+def test_parts_are_whole_or_a_fault():
+    data = bytes(5000)
+    for how in ("none", "lzma"):
+        part = B.encode_part(data, how)
+        assert B.decode_part(part) == B.decode_part(part, 5000) == data
+        with pytest.raises(ValueError):
+            B.decode_part(part, 1000)
+    with pytest.raises(ValueError):
+        B.decode_part(B.encode_part(random.Random(1).randbytes(5000), "lzma")[:-40])
+
+
+def test_operations_as_bytes():
+    ops = [("open", 300, 1, 2), ("write", 7, 200), ("set_source", 40), ("write", 130, 90), ("patch", 5, 10), ("unset_source",), ("close",), ("open_splice_close", 1000, 4, 3, 0), ("open_splice_close", 9, 5)]
+    code = B.write_operations(ops, (False, False, True))
+    assert B.read_operations(code, (False, False, True)) == ops
+    for bad in (b"?", b"w\x80", code[:2]):
+        with pytest.raises(ValueError):
+            B.read_operations(bad)
+    source, name = b"old content", hashlib.sha256(b"old content").digest()
+    program = [("open", 7), ("set_source", 0), ("write", 0, 3), ("unset_source",), ("write", 32, 4), ("close",)]
+    modes, _, payload, back = B.read_part(B.part_bytes([(0, 0, 33188)], name + b"new!", B.write_operations(program)))
+    assert modes == [(0, 0, 33188)] and B.run_part(back, payload, {name.hex(): source}) == [b"oldnew!"]
+    with pytest.raises(ValueError):
+        B.run_part(B.write_operations([("open_splice_close", 10, 10)]), b"short", {})
+
+
+def test_a_broken_stream_is_null(spark):
+    packed = zlib.compressobj(6, zlib.DEFLATED, -15)
+    good = packed.compress(b"text") + packed.flush()
+    got = spark.createDataFrame([(1, good), (2, good[:-2]), (3, b"\xff\xff"), (4, None)], "i int, d binary").select("i", B.inflate("d").alias("x")).collect()
+    assert {r["i"]: r["x"] and bytes(r["x"]) for r in got} == {1: b"text", 2: None, 3: None, 4: None}
+
+
+def test_binary_diff_of_long_files_is_quick():
+    rng = random.Random(6)
+    old = rng.randbytes(2_000_000)
+    new = old[:700_000] + rng.randbytes(500_000) + old[900_000:]
+    began = time.time()
+    patch = B.binary_diff(old, new)
+    assert B.binary_patch(old, patch) == new and len(patch) < 520_000 and time.time() - began < 20
+
+
+def test_variants_round_trip():
+    cases = [
+        ("(uuua(ayay))", (1, 2, 3, [(b"a", b""), (b"bb", b"c" * 300)])), ("a{sv}", [("k", ("s", "v")), ("n", ("(tu)", (1, 2))), ("z", ("as", ["", "x" * 500]))]), ("(yty)", (1, 2**63, 3)), ("a(yt)", [(1, 2), (3, 4)]), ("as", []), ("(sas)", ("", [])),
+        ("v", ("v", ("b", 1))), ("(a(say)a(sayay))", ([("f" * k, bytes(32)) for k in range(400)], [])), ("ai", [-1, 2, 2**31 - 1]), ("(si)", ("abc", -7)),
+    ]
+    for text, value in cases:
+        assert variant.read(text, variant.write(text, value)) == value
+    # The documented example of the format: a pair of a string and a number.
+    assert variant.write("(si)", ("foo", -1)) == b"foo\0\xff\xff\xff\xff\x04" and variant.write("as", ["i", "can"]) == b"i\0can\0\x02\x06"
+
+
+def test_forged_records_are_faults(spark):
+    rng = random.Random(2)
+    commit = records.commit_bytes("ab" * 32, "subject", "", 5, "cd" * 32, "ef" * 32, {"version": ("s", "1")})
+    rows = [commit] + [bytes(b ^ (rng.random() < 0.2) * rng.randrange(256) for b in commit[: rng.randint(0, len(commit))]) for _ in range(300)]
+    for read in (records.read_commit, records.read_dirtree, records.read_dirmeta, records.read_archive, records.read_summary):
+        for r in rows:
+            try:
+                read(r)
+            except ValueError:
+                pass
+    got = spark.createDataFrame([(r,) for r in rows] + [(None,)], "r binary").select(records.commit_of("r").alias("c")).collect()
+    assert got[0]["c"]["subject"] == "subject" and got[0]["c"]["fault"] is None and sum(r["c"]["fault"] is not None for r in got) > 250
+    with pytest.raises(ValueError):
+        records.read_dirtree(variant.write(records.DIRTREE, ([("../f", bytes(32))], [])))
+
+
+# The names that the store's format gives to these objects.
+GOLDEN = [
+    ((0, 0, 0o100644, "", [], b"hi"), "2301b5923720c3edc1f0467addb5c287fd5559e3e0cd1396e7f1edb6b01be9f0"),
+    ((0, 0, 0o120777, "bash", [(b"security.selinux\0", b"system_u:object_r:bin_t:s0\0")], b""), "23a2e97d21d960ac7a4e39a8721b1baff7b213e00e5e5641334f50506012fcff"),
+]
+
+
+def test_content_has_the_names_of_the_format(spark):
+    for args, name in GOLDEN:
+        assert records.content_checksum(*args) == name
+        assert records.read_archive(records.archive_bytes(*args))["checksum"] == name
+    rows = [(1, 2, 0o100644, "", "é" * 9), (0, 0, 0o120777, "t" * 300, ""), (7, 7, 0o120777, "u" * 238, ""), (7, 7, 0o120777, "u" * 237, "")]
+    got = spark.createDataFrame(rows, "u int, g int, m int, t string, c string").select("t", S.content_checksum(F.col("u"), F.col("g"), F.col("m"), F.col("t"), F.col("c")).alias("x")).collect()
+    assert [r["x"] for r in got] == [records.content_checksum(u, g, m, t, [], c.encode()) for u, g, m, t, c in rows]
+
+
+def test_summaries_and_trees_round_trip(spark):
+    refs = [("b", 3, "ab" * 32, 7, None), ("a", 2**40, "cd" * 32, 9, "1.0")]
+    assert records.read_summary(records.summary_bytes(refs)) == [refs[1], refs[0]]
+    tree = spark.createDataFrame([([("z", "11" * 32), ("é", "22" * 32)], [("d", "33" * 32, "44" * 32)])], "f array<struct<name:string,checksum:string>>, d array<struct<name:string,tree:string,meta:string>>")
+    got = tree.select(records.dirtree_of(records.dirtree_record("f", "d")).alias("t")).first()["t"]
+    assert [f["name"] for f in got["files"]] == ["z", "é"] and got["dirs"][0]["meta"] == "44" * 32 and got["fault"] is None
+
+
+def test_ed25519_vector():
+    # Test 2 of RFC 8032.
+    seed = bytes.fromhex("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb")
+    key, signature = ed25519.public_key(seed), ed25519.sign(seed, b"\x72")
+    assert key.hex() == "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c"
+    assert signature.hex() == "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"
+    assert ed25519.verify(key, b"\x72", signature) and not ed25519.verify(key, b"\x73", signature) and not ed25519.verify(key, b"\x72", signature[:-1] + b"\x10") and not ed25519.verify(key[:-1], b"", b"")
+
+
 def test_part_codecs_and_operations():
     for how in ("none", "lzma"):
         assert B.decode_part(B.encode_part(b"data" * 100, how)) == b"data" * 100

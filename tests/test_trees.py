@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from arborlake.operators import delta, history, trees
+from arborlake.operators import delta, history, refs, trees
 
 TREE = "path string, type string, checksum string"
 
@@ -147,6 +148,43 @@ def test_part_packing(spark):
 
 def test_prune_depths(spark):
     commits = spark.createDataFrame([(f"c{i}", f"c{i - 1}" if i else None, 100 - i if i == 2 else i) for i in range(5)], "checksum string, parent string, ts bigint")
-    walked = history.along(commits, spark.createDataFrame([("c4",)], "checksum string")).join(commits.select("checksum", "ts"), "checksum")
-    assert [history.within_depth(walked, F.lit(d)).count() for d in (2, 1, 0, -1)] == [3, 2, 1, 5]
-    assert sorted(r["checksum"] for r in history.keep_younger(walked, F.lit(3)).collect()) == ["c2", "c3", "c4"]
+    tip = spark.createDataFrame([("c4",)], "checksum string")
+    assert [history.along(commits, tip.withColumn("depth", F.lit(d))).count() for d in (2, 1, 0, -1)] == [3, 2, 1, 5]
+    assert sorted(r["checksum"] for r in history.along(commits, tip, young=F.col("ts") >= 3).collect()) == ["c2", "c3", "c4"]
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3, 7, -1])
+def test_history_walks_equal_plain_loops(spark, depth):
+    rng = random.Random(depth)
+    parent = {i: (rng.randrange(i) if i and rng.random() < 0.95 else None) for i in range(200)}
+    ts = {i: rng.randint(0, 9) for i in parent}
+    commits = spark.createDataFrame([(f"c{i}", f"c{p}" if p is not None else None, ts[i]) for i, p in parent.items()] + [("x", "gone", 5)], "checksum string, parent string, ts bigint")
+    tips = spark.createDataFrame([(f"c{i}", depth if i % 2 else -1) for i in range(180, 200)] + [("x", depth)], "checksum string, depth int")
+    for least in (None, 2):
+        want = {("x", "x", 0)}
+        for i in range(180, 200):
+            limit, at, n = (depth if i % 2 else -1), i, 0
+            while at is not None and (n == 0 or least is None or ts[at] >= least) and (limit < 0 or n <= limit):
+                want.add((f"c{i}", f"c{at}", n))
+                at, n = parent[at], n + 1
+        got = history.along(commits, tips, None if least is None else F.col("ts") >= least).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_holders_are_found_from_below(spark):
+    edges = spark.createDataFrame([("c1", "t1"), ("t1", "f1"), ("t1", "f2"), ("c2", "t2"), ("t2", "f2"), ("c3", "t3"), ("t3", "f3"), ("f3", "t3")], "parent string, child string")
+    commits, bad = (spark.createDataFrame([(x,) for x in own], "checksum string") for own in (["c1", "c2", "c3"], ["f2", "nowhere"]))
+    assert sorted(r["checksum"] for r in history.holders(bad, edges, commits).collect()) == ["c1", "c2"]
+    assert sorted(r["checksum"] for r in history.closure(commits, edges).collect()) == ["c1", "c2", "c3", "f1", "f2", "f3", "t1", "t2", "t3"]
+
+
+def test_successors_are_followed_to_the_end(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", None), ("x", "y"), ("y", "x"), ("z", "x"), ("n", "gone"), *[(f"l{i}", f"l{i + 1}" if i < 40 else None) for i in range(41)]]
+    got = {r["ref"]: r["target"] for r in refs.follow(spark.createDataFrame(pairs, "ref string, next string")).collect()}
+    assert got == {"a": "c", "b": "c", "c": "c", "x": "x", "y": "y", "z": "z", "n": "n"} | {f"l{i}": "l40" for i in range(41)}
+
+
+def test_remotes_match_by_collection_and_keyring(spark):
+    wanted = spark.createDataFrame([("org.a", "main"), ("org.b", "main"), ("org.c", "main"), (None, "main")], "collection_id string, ref_name string")
+    remotes = spark.createDataFrame([("r2", "org.a", True), ("r1", "org.a", False), ("r3", "org.a", True), ("r4", "org.b", False), ("r5", None, True)], "remote string, collection_id string, keyring boolean")
+    assert {(r["collection_id"], r["remote"]) for r in refs.match_collections(wanted, remotes).collect()} == {("org.a", "r2"), ("org.b", None), ("org.c", None), (None, None)}
