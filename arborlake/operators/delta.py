@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,10 @@ from arborlake.functions.scalars import is_compressed_name
 SIMILARITY, MIN_FALLBACK, MAX_BSDIFF, MAX_CHUNK = 30, 4_000_000, 128_000_000, 32_000_000
 
 
+#: The logarithm of a range's width: its upper bound over its lower.
+STEP = math.log((100 + SIMILARITY) / (100 - SIMILARITY))
+
+
 def new_objects(a: DataFrame, b: DataFrame) -> DataFrame:
     """(checksum, class) of the objects of ``b`` that ``a`` lacks: metadata, regular or symlink."""
     kind = F.when(F.col("type") == "d", "metadata").when(F.col("type") == "l", "symlink").otherwise("regular")
@@ -41,15 +47,17 @@ def _ranged(old: DataFrame, new: DataFrame, key: Column) -> DataFrame:
 
     Both sides are merged and sorted by size within a key, and the next old row
     at or after each bound is read by a window: no pairs are made, however common
-    a key is.
+    a key is. A key is parted by size into steps as wide as a range; a range meets
+    three of them at most and is asked for in each, so a common name isn't one partition.
     """
+    step = lambda size: F.when(size >= 1, F.floor(F.log(size.cast("double")) / STEP)).otherwise(-1).cast("int")
     lower = (F.col("size") * (100 - SIMILARITY) / 100).cast("bigint")
     upper = (F.col("size") * (100 + SIMILARITY) / 100).cast("bigint")
     nothing = F.lit(None).cast("string")
-    asks = new.select(key.alias("k"), lower.alias("at"), F.lit(0).alias("side"), F.col("checksum").alias("to"), nothing.alias("from"), upper.alias("upper"))
-    gives = old.select(key.alias("k"), F.col("size").alias("at"), F.lit(1).alias("side"), nothing.alias("to"), F.col("checksum").alias("from"), F.lit(None).cast("bigint").alias("upper"))
+    asks = new.select(key.alias("k"), F.explode(F.sequence(step(lower), step(upper))).alias("part"), lower.alias("at"), F.lit(0).alias("side"), F.col("checksum").alias("to"), nothing.alias("from"), upper.alias("upper"))
+    gives = old.select(key.alias("k"), step(F.col("size")).alias("part"), F.col("size").alias("at"), F.lit(1).alias("side"), nothing.alias("to"), F.col("checksum").alias("from"), F.lit(None).cast("bigint").alias("upper"))
     # An ask sorts before the rows at its bound; the first row that follows it in the same key is its base.
-    w = Window.partitionBy("k").orderBy("at", "side", "from").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy("k", "part").orderBy("at", "side", "from").rowsBetween(1, Window.unboundedFollowing)
     nearest = F.first(F.when(F.col("side") == 1, F.struct("at", "from")), ignorenulls=True).over(w)
     found = asks.unionByName(gives).withColumn("near", nearest).filter((F.col("side") == 0) & (F.col("near.at") <= F.col("upper")))
     return found.groupBy("to").agg(F.min(F.struct(F.col("near.at").alias("size"), F.col("near.from").alias("from"))).alias("m")).select("to", "m.from", "m.size")

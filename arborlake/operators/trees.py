@@ -154,11 +154,13 @@ def dirtree_hashes(tree: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(tree)
     depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
     files = tree.filter("type <> 'd'").select(parent_of(F.col("path")).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.lit("f").alias("kind"), "checksum")
+    # The entries are read once; a level takes its own from what is kept.
+    files = files.withColumn("level", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))).checkpoint()
     dirs = tree.filter("type = 'd'").select("path", F.col("checksum").alias("meta"), depth.alias("depth"))
     deepest = dirs.agg(F.max("depth")).first()[0] or 0
     below, out = None, None
     for level in range(deepest, -1, -1):
-        own = files.filter((F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))) == level)
+        own = files.filter(F.col("level") == level).drop("level")
         entries = own if below is None else own.unionByName(below)
         hashed = entries.groupBy("dir").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "kind", "checksum"))), lambda e: F.concat_ws(":", e["name"], e["kind"], e["checksum"])), "\n"), 256).alias("checksum"))
         step = hashed.select(F.col("dir").alias("path"), "checksum").checkpoint()

@@ -13,7 +13,11 @@ from arborlake.sources import project as P
 from arborlake.sources import stores as ST
 
 
-@query("F12_varint", "SELECT doc_id, CASE WHEN n_chars < 128 THEN printf('%02X', n_chars) WHEN n_chars < 16384 THEN printf('%02X%02X', n_chars % 128 + 128, n_chars // 128) ELSE printf('%02X%02X%02X', n_chars % 128 + 128, n_chars // 128 % 128 + 128, n_chars // 16384) END AS encoded FROM documents")
+@query("F12_varint", """
+SELECT doc_id, CASE WHEN n_chars < 128 THEN printf('%02X', n_chars) WHEN n_chars < 16384 THEN printf('%02X%02X', n_chars % 128 + 128,
+        n_chars // 128) ELSE printf('%02X%02X%02X', n_chars % 128 + 128, n_chars // 128 % 128 + 128, n_chars // 16384) END AS encoded
+    FROM documents
+""")
 def varint(spark: SparkSession, sf: str) -> DataFrame:
     return P.load(spark, sf, "documents").select("doc_id", F.hex(B.varint("n_chars")).alias("encoded"))
 
@@ -109,7 +113,10 @@ def path_translation(spark: SparkSession, sf: str) -> DataFrame:
     return C.translate_paths(P.tree_a(spark, sf), lambda p: None if p.startswith("fr/") else p.replace("src", "lib")).select("path")
 
 
-@query("X6_pluggable_finders", "SELECT 'config' AS finder, remote, ref_name FROM candidates WHERE priority = 0 UNION ALL SELECT 'override', remote, ref_name FROM candidates WHERE priority = 1", "candidates")
+@query("X6_pluggable_finders", """
+SELECT 'config' AS finder, remote, ref_name FROM candidates WHERE priority = 0 UNION ALL SELECT 'override', remote, ref_name FROM candidates
+    WHERE priority = 1
+""", "candidates")
 def pluggable_finders(spark: SparkSession, sf: str) -> DataFrame:
     finders = C.Finders()
     finders.register("config", lambda c: c.filter("priority = 0"))
@@ -117,7 +124,11 @@ def pluggable_finders(spark: SparkSession, sf: str) -> DataFrame:
     return finders.find(P.candidates(spark, sf)).select("finder", "remote", "ref_name")
 
 
-@query("SC12_fetch_status", "SELECT event_id, CASE WHEN s IN (403, 404, 410) THEN 'not_found' WHEN s = 408 THEN 'timed_out' WHEN s >= 400 THEN 'failed' END AS error, s IN (408, 500, 502, 503, 504) AS retry FROM (SELECT event_id, CAST([200, 404, 408, 500, 403, 503, 304][event_id % 7 + 1] AS INTEGER) AS s FROM events)")
+@query("SC12_fetch_status", """
+SELECT event_id, CASE WHEN s IN (403, 404, 410) THEN 'not_found' WHEN s = 408 THEN 'timed_out' WHEN s >= 400 THEN 'failed' END AS error, s IN (408, 500, 502, 503,
+        504) AS retry
+    FROM (SELECT event_id, CAST([200, 404, 408, 500, 403, 503, 304][event_id % 7 + 1] AS INTEGER) AS s FROM events)
+""")
 def fetch_status(spark: SparkSession, sf: str) -> DataFrame:
     status = F.element_at(F.array(*[F.lit(s) for s in (200, 404, 408, 500, 403, 503, 304)]), (F.col("event_id") % 7 + 1).cast("int"))
     return P.load(spark, sf, "events").select("event_id", ST.http_error(status).alias("error"), ST.should_retry(status, F.lit("none")).alias("retry"))
@@ -140,12 +151,17 @@ def length_check(spark: SparkSession, sf: str) -> DataFrame:
     return P.load(spark, sf, "documents").select("doc_id", (F.octet_length("text") == F.col("n_chars")).alias("ok"))
 
 
-@query("A14_progress", "SELECT commit, CAST(sum(archived) AS BIGINT) AS requested, CAST(sum(CASE WHEN archived % 2 = 0 THEN archived ELSE 0 END) AS BIGINT) AS fetched FROM sizes GROUP BY 1", "sizes")
+@query("A14_progress", """
+SELECT commit, CAST(sum(archived) AS BIGINT) AS requested, CAST(sum(CASE WHEN archived % 2 = 0 THEN archived ELSE 0 END) AS BIGINT) AS fetched
+    FROM sizes GROUP BY 1
+""", "sizes")
 def progress(spark: SparkSession, sf: str) -> DataFrame:
     return P.sizes(spark, sf).groupBy("commit").agg(F.sum("archived").alias("requested"), F.sum(F.when(F.col("archived") % 2 == 0, F.col("archived")).otherwise(0)).alias("fetched"))
 
 
-@query("V3_signature_results", "SELECT conv_id, count(*) AS n, count(*) FILTER (turn % 2 = 0) AS n_valid, count(*) FILTER (checksum LIKE '%ab') AS n_key FROM commits GROUP BY 1", "commits")
+@query("V3_signature_results", """
+SELECT conv_id, count(*) AS n, count(*) FILTER (turn % 2 = 0) AS n_valid, count(*) FILTER (checksum LIKE '%ab') AS n_key FROM commits GROUP BY 1
+""", "commits")
 def signature_results(spark: SparkSession, sf: str) -> DataFrame:
     """Signatures of each branch: all, valid ones, and those by a key id's suffix."""
     return P.commits(spark, sf).groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("turn") % 2 == 0).alias("n_valid"), F.count_if(F.col("checksum").endswith("ab")).alias("n_key"))
@@ -220,7 +236,11 @@ def siphash(spark: SparkSession, sf: str) -> DataFrame:
     return P.refs(spark, sf).select("ref_name", run("ref_name").alias("hash"))
 
 
-@query("SK13_delta_write", "WITH old AS (SELECT DISTINCT checksum FROM tree_a WHERE type = 'f'), new AS (SELECT checksum, max(size) AS size FROM tree_b WHERE type = 'f' AND checksum NOT IN (SELECT checksum FROM old) GROUP BY 1) SELECT size > 3000 AS fallback, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM new GROUP BY 1", "tree_a", "tree_b")
+@query("SK13_delta_write", """
+WITH old AS (SELECT DISTINCT checksum FROM tree_a WHERE type = 'f'), new AS (SELECT checksum, max(size) AS size FROM tree_b
+    WHERE type = 'f' AND checksum NOT IN (SELECT checksum FROM old)
+    GROUP BY 1) SELECT size > 3000 AS fallback, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM new GROUP BY 1
+""", "tree_a", "tree_b")
 def delta_write(spark: SparkSession, sf: str) -> DataFrame:
     """What a delta without bases writes: small objects into its parts, large ones as fallbacks."""
     from arborlake.operators import delta as D

@@ -52,7 +52,10 @@ def commit_root(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("ref_name", "c.root_tree", "c.root_meta", "c.version")
 
 
-@query("SC4_metadata_load", "SELECT path, CAST(uid AS BIGINT) AS uid, CAST(gid AS BIGINT) AS gid, CAST(mode AS BIGINT) AS mode, CAST(12 AS BIGINT) AS size FROM tree_b WHERE type = 'd'", "tree_b")
+@query("SC4_metadata_load", """
+SELECT path, CAST(uid AS BIGINT) AS uid, CAST(gid AS BIGINT) AS gid, CAST(mode AS BIGINT) AS mode, CAST(12 AS BIGINT) AS size FROM tree_b
+    WHERE type = 'd'
+""", "tree_b")
 def metadata_load(spark: SparkSession, sf: str) -> DataFrame:
     """Directory metadata, found by its hash and read from its record; a record is stored once."""
     dirs = P.tree_b(spark, sf).filter("type = 'd'").select("path", "checksum", "uid", "gid", "mode")
@@ -61,7 +64,10 @@ def metadata_load(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("path", "m.uid", "m.gid", "m.mode", "size")
 
 
-@query("SC16_size_index", "SELECT commit, count(*) AS n, CAST(sum(archived) AS BIGINT) AS archived, CAST(sum(unpacked) AS BIGINT) AS unpacked, min(sha256(checksum)) AS first FROM sizes GROUP BY 1", "sizes")
+@query("SC16_size_index", """
+SELECT commit, count(*) AS n, CAST(sum(archived) AS BIGINT) AS archived, CAST(sum(unpacked) AS BIGINT) AS unpacked, min(sha256(checksum)) AS first
+    FROM sizes GROUP BY 1
+""", "sizes")
 def size_index(spark: SparkSession, sf: str) -> DataFrame:
     """A commit's size index, written as entries and read from them."""
     entry = F.concat(F.unhex(F.sha2("checksum", 256)), B.varint("archived"), B.varint("unpacked"), F.unhex(F.format_string("%02x", F.col("objtype"))))
@@ -114,7 +120,10 @@ def fsck(spark: SparkSession, sf: str) -> DataFrame:
     return _fsck(spark, sf)
 
 
-@query("A6_fsck_totals", "SELECT count(*) AS n_objects, count(*) FILTER (doc_id % 50 = 0) AS n_corrupt, (SELECT count(*) FROM commits) AS n_commits, (SELECT count(*) FROM commits WHERE partial) AS n_partial FROM documents", "commits")
+@query("A6_fsck_totals", """
+SELECT count(*) AS n_objects, count(*) FILTER (doc_id % 50 = 0) AS n_corrupt, (SELECT count(*) FROM commits) AS n_commits, (SELECT count(*)
+    FROM commits WHERE partial) AS n_partial FROM documents
+""", "commits")
 def fsck_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Totals of a check of all objects, with the commits that are whole and partial."""
     objects = _fsck(spark, sf).agg(F.count("*").alias("n_objects"), F.count_if(~F.col("ok")).alias("n_corrupt"))
@@ -151,7 +160,10 @@ def summary_source(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("remote", F.explode("s.refs").alias("r")).select("remote", "r.ref_name", "r.checksum", "r.ts", "r.version")
 
 
-@query("SK11_summary_write", "SELECT coalesce(collection_id, '') AS collection_id, count(*) AS n, sha256(string_agg(ref_name || '=' || checksum, chr(10) ORDER BY ref_name)) AS digest FROM refs GROUP BY 1", "refs")
+@query("SK11_summary_write", """
+SELECT coalesce(collection_id, '') AS collection_id, count(*) AS n, sha256(string_agg(ref_name || '=' || checksum, chr(10) ORDER BY ref_name)) AS digest
+    FROM refs GROUP BY 1
+""", "refs")
 def summary_write(spark: SparkSession, sf: str) -> DataFrame:
     """A summary file for each collection; what is read from it is digested in the order in which it stands there."""
     read = _summaries(spark, sf, "collection_id").select("collection_id", R.summary_of("record").alias("s"))
@@ -166,7 +178,11 @@ def collection_ref_order(spark: SparkSession, sf: str) -> DataFrame:
     return ordered.select(F.coalesce("collection_id", F.lit("")).alias("collection_id"), "ref_name")
 
 
-@query("J18_keyring_match", "SELECT 'org.example.C' || w.c AS collection_id, w.ref_name, min(r.s_name) AS remote FROM (SELECT DISTINCT ref_name, conv_id % 9 AS c FROM (SELECT ref_name, CAST(split_part(ref_name, '/', 3) AS BIGINT) AS conv_id FROM refs)) w LEFT JOIN supplier r ON r.s_suppkey % 7 = w.c AND r.s_suppkey % 3 <> 0 GROUP BY 1, 2", "refs")
+@query("J18_keyring_match", """
+SELECT 'org.example.C' || w.c AS collection_id, w.ref_name, min(r.s_name) AS remote FROM (SELECT DISTINCT ref_name, conv_id % 9 AS c
+    FROM (SELECT ref_name, CAST(split_part(ref_name, '/', 3) AS BIGINT) AS conv_id FROM refs)) w LEFT
+    JOIN supplier r ON r.s_suppkey % 7 = w.c AND r.s_suppkey % 3 <> 0 GROUP BY 1, 2
+""", "refs")
 def keyring_match(spark: SparkSession, sf: str) -> DataFrame:
     """The remote that is trusted for each collection ref: of the same collection, with a keyring, the first by name."""
     conv = F.element_at(F.split("ref_name", "/"), 3).cast("bigint")
@@ -195,7 +211,10 @@ def _seed(key: str) -> bytes:
     return hashlib.sha256(key.encode()).digest()
 
 
-@query("V1_signature_any_of", "SELECT checksum AS commit, bool_or(conv_id % 3 <> 0 AND k < 2) AS valid FROM (SELECT checksum, conv_id, unnest([turn % 3, (turn + 1) % 3]) AS k FROM commits) GROUP BY 1", "commits")
+@query("V1_signature_any_of", """
+SELECT checksum AS commit, bool_or(conv_id % 3 <> 0 AND k < 2) AS valid FROM (SELECT checksum, conv_id, unnest([turn % 3, (turn + 1) % 3]) AS k
+    FROM commits) GROUP BY 1
+""", "commits")
 def signature_any_of(spark: SparkSession, sf: str) -> DataFrame:
     """A commit is trusted if any signature over its record verifies by a key that isn't revoked; key k2 is, and a third of the branches is signed for another record."""
     keys = spark.createDataFrame([(k, ed25519.public_key(_seed(k)), k == "k2") for k in ("k0", "k1", "k2")], "key_id string, key binary, revoked boolean")
@@ -276,7 +295,11 @@ def delta_interpreter(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", F.get("made", F.lit(0)).alias("first"), F.get("made", F.lit(1)).alias("second"))
 
 
-@query("A5_delta_dump", "SELECT doc_id % 7 AS part, CAST(sum(CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 2 END) AS BIGINT) AS n_write, CAST(sum(CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_patch, count(*) AS n_splice, count(*) AS n_open FROM documents GROUP BY 1")
+@query("A5_delta_dump", """
+SELECT doc_id % 7 AS part, CAST(sum(CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 2 END) AS BIGINT) AS n_write,
+        CAST(sum(CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_patch, count(*) AS n_splice, count(*) AS n_open
+    FROM documents GROUP BY 1
+""")
 def delta_dump(spark: SparkSession, sf: str) -> DataFrame:
     """The operations of deltas by kind, counted from their byte code."""
 

@@ -17,7 +17,12 @@ def ref_targets(spark: SparkSession, sf: str) -> DataFrame:
     return R.missing_targets(P.refs(spark, sf), P.commits(spark, sf).filter("turn % 3 <> 2")).select("ref_name")
 
 
-@query("J9_binding_check", "SELECT r.ref_name, CASE WHEN c.turn % 4 = 0 THEN 'no bindings' WHEN c.turn % 4 = 1 THEN 'ref not bound' ELSE 'collection differs' END AS fault FROM refs r JOIN commits c USING (checksum) WHERE (c.turn % 4 = 0 AND r.collection_id IS NOT NULL) OR c.turn % 4 = 1 OR (c.turn % 4 IN (2, 3) AND r.collection_id IS DISTINCT FROM CASE WHEN c.turn % 4 = 3 THEN 'org.example.Chat' END)", "refs", "commits")
+@query("J9_binding_check", """
+SELECT r.ref_name, CASE WHEN c.turn % 4 = 0 THEN 'no bindings' WHEN c.turn % 4 = 1 THEN 'ref not bound' ELSE 'collection differs' END AS fault
+    FROM refs r JOIN commits c USING (checksum)
+    WHERE (c.turn % 4 = 0 AND r.collection_id IS NOT NULL) OR c.turn % 4 = 1 OR (c.turn % 4 IN (2, 3) AND r.collection_id IS DISTINCT
+    FROM CASE WHEN c.turn % 4 = 3 THEN 'org.example.Chat' END)
+""", "refs", "commits")
 def binding_check(spark: SparkSession, sf: str) -> DataFrame:
     turn = F.col("turn") % 4
     bound = F.when(turn == 1, F.array(F.lit("other"))).when(turn > 1, F.array(F.lit("other"), "ref"))
@@ -25,7 +30,10 @@ def binding_check(spark: SparkSession, sf: str) -> DataFrame:
     return R.binding_faults(P.refs(spark, sf), commits)
 
 
-@query("W5_latest_per_ref", "SELECT ref_name, min(checksum) AS checksum, ts FROM candidates c WHERE ts = (SELECT max(ts) FROM candidates x WHERE x.ref_name = c.ref_name) GROUP BY ref_name, ts", "candidates")
+@query("W5_latest_per_ref", """
+SELECT ref_name, min(checksum) AS checksum, ts FROM candidates c WHERE ts = (SELECT max(ts) FROM candidates x WHERE x.ref_name = c.ref_name)
+    GROUP BY ref_name, ts
+""", "candidates")
 def latest_per_ref(spark: SparkSession, sf: str) -> DataFrame:
     return R.latest_per_ref(P.candidates(spark, sf))
 
@@ -47,7 +55,10 @@ def source_order(spark: SparkSession, sf: str) -> DataFrame:
     return sources.select("remote", F.row_number().over(Window.orderBy(*R.source_order())).alias("pos"))
 
 
-@query("A11_finder_results", "SELECT remote, CAST(count(*) AS BIGINT) AS n, min(priority) AS priority, count(DISTINCT ref_name) AS n_refs FROM (SELECT * FROM candidates WHERE priority < 2 UNION ALL SELECT * FROM candidates WHERE priority > 0) GROUP BY remote", "candidates")
+@query("A11_finder_results", """
+SELECT remote, CAST(count(*) AS BIGINT) AS n, min(priority) AS priority, count(DISTINCT ref_name) AS n_refs FROM (SELECT * FROM candidates
+    WHERE priority < 2 UNION ALL SELECT * FROM candidates WHERE priority > 0) GROUP BY remote
+""", "candidates")
 def finder_results(spark: SparkSession, sf: str) -> DataFrame:
     """What two finders found, grouped by source."""
     c = P.candidates(spark, sf)
@@ -61,13 +72,23 @@ def sorted_keys(spark: SparkSession, sf: str) -> DataFrame:
     return P.load(spark, sf, "events").select("event_id", F.array_join(F.array_sort(keys), ",").alias("keys"))
 
 
-@query("O7_unique_prefix", "WITH p AS (SELECT substr(checksum, 1, 2) AS prefix, count(DISTINCT checksum) AS n, min(checksum) AS c FROM commits GROUP BY 1), w AS (SELECT DISTINCT substr(sha256(CAST(conv_id AS VARCHAR)), 1, 2) AS prefix FROM conversations) SELECT prefix, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN c END AS checksum FROM w LEFT JOIN p USING (prefix)", "commits")
+@query("O7_unique_prefix", """
+WITH p AS (SELECT substr(checksum, 1, 2) AS prefix, count(DISTINCT checksum) AS n, min(checksum) AS c FROM commits
+    GROUP BY 1), w AS (SELECT DISTINCT substr(sha256(CAST(conv_id AS VARCHAR)), 1, 2) AS prefix
+    FROM conversations) SELECT prefix, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN c END AS checksum FROM w LEFT JOIN p USING (prefix)
+""", "commits")
 def unique_prefix(spark: SparkSession, sf: str) -> DataFrame:
     asked = P.load(spark, sf, "conversations").select(F.substring(F.sha2(F.col("conv_id").cast("string"), 256), 1, 2).alias("prefix")).distinct()
     return R.resolve_prefixes(asked, P.commits(spark, sf), 2)
 
 
-@query("W6_best_delta", "SELECT d.\"to\", CASE WHEN (SELECT turn % 5 = 1 FROM commits c WHERE c.checksum = d.\"to\") THEN 'unchanged' WHEN b.turn % 5 = 1 THEN 'match' WHEN d.\"from\" IS NULL THEN 'scratch' ELSE 'no match' END AS decision, CASE WHEN (SELECT turn % 5 = 1 FROM commits c WHERE c.checksum = d.\"to\") THEN NULL WHEN b.turn % 5 = 1 THEN d.\"from\" END AS \"from\" FROM deltas d LEFT JOIN commits b ON b.checksum = d.\"from\"", "deltas", "commits")
+@query("W6_best_delta", """
+SELECT d.\"to\", CASE WHEN (SELECT turn % 5 = 1 FROM commits c
+    WHERE c.checksum = d.\"to\") THEN 'unchanged' WHEN b.turn % 5 = 1 THEN 'match' WHEN d.\"from\" IS NULL THEN 'scratch' ELSE 'no match' END AS decision,
+        CASE WHEN (SELECT turn % 5 = 1
+    FROM commits c WHERE c.checksum = d.\"to\") THEN NULL WHEN b.turn % 5 = 1 THEN d.\"from\" END AS \"from\" FROM deltas d LEFT
+    JOIN commits b ON b.checksum = d.\"from\"
+""", "deltas", "commits")
 def best_delta(spark: SparkSession, sf: str) -> DataFrame:
     deltas = P.deltas(spark, sf)
     have = P.commits(spark, sf).filter("turn % 5 = 1").select("checksum", "ts", F.lit(False).alias("partial"))
@@ -79,12 +100,20 @@ def downgrade_check(spark: SparkSession, sf: str) -> DataFrame:
     return R.downgrades(P.commits(spark, sf).withColumn("seq", F.col("turn"))).select("checksum", "downgrade")
 
 
-@query("G10_alias_resolution", "SELECT r.ref_name, coalesce(t.checksum, r.checksum) AS checksum, CASE WHEN t.checksum IS NOT NULL THEN r.alias_of END AS via FROM refs r LEFT JOIN refs t ON t.ref_name = r.alias_of", "refs")
+@query("G10_alias_resolution", """
+SELECT r.ref_name, coalesce(t.checksum, r.checksum) AS checksum, CASE WHEN t.checksum IS NOT NULL THEN r.alias_of END AS via FROM refs r LEFT
+    JOIN refs t ON t.ref_name = r.alias_of
+""", "refs")
 def alias_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return R.resolve_aliases(P.refs(spark, sf))
 
 
-@query("F20_rev_resolution", "SELECT w.rev, coalesce(c.checksum, l.checksum, o.checksum, m.checksum) AS checksum FROM (SELECT ref_name AS rev FROM refs UNION ALL SELECT checksum FROM commits WHERE turn = 0 UNION ALL SELECT 'no/such') w LEFT JOIN (SELECT checksum FROM commits) c ON c.checksum = w.rev LEFT JOIN (SELECT * FROM refs WHERE remote IS NULL) l ON l.ref_name = w.rev LEFT JOIN (SELECT * FROM refs WHERE remote = 'origin') o ON o.ref_name = w.rev LEFT JOIN (SELECT * FROM refs WHERE remote = 'mirror') m ON m.ref_name = w.rev", "refs", "commits")
+@query("F20_rev_resolution", """
+SELECT w.rev, coalesce(c.checksum, l.checksum, o.checksum, m.checksum) AS checksum FROM (SELECT ref_name AS rev FROM refs UNION ALL SELECT checksum
+    FROM commits WHERE turn = 0 UNION ALL SELECT 'no/such') w LEFT JOIN (SELECT checksum FROM commits) c ON c.checksum = w.rev LEFT JOIN (SELECT *
+    FROM refs WHERE remote IS NULL) l ON l.ref_name = w.rev LEFT JOIN (SELECT * FROM refs WHERE remote = 'origin') o ON o.ref_name = w.rev LEFT
+    JOIN (SELECT * FROM refs WHERE remote = 'mirror') m ON m.ref_name = w.rev
+""", "refs", "commits")
 def rev_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """A full checksum, then a local ref, then one of any remote in order."""
     refs, commits = P.refs(spark, sf), P.commits(spark, sf)
@@ -100,7 +129,10 @@ def ref_listing(spark: SparkSession, sf: str) -> DataFrame:
     return R.with_prefix(P.refs(spark, sf).filter("remote IS NULL"), "chat/3", strip=True).select("ref_name", "checksum")
 
 
-@query("F22_collection_refs", "SELECT a.ref_name, count(*) AS n FROM refs a JOIN refs b ON a.collection_id IS NOT DISTINCT FROM b.collection_id AND a.ref_name = b.ref_name GROUP BY 1", "refs")
+@query("F22_collection_refs", """
+SELECT a.ref_name, count(*) AS n FROM refs a JOIN refs b ON a.collection_id IS NOT DISTINCT FROM b.collection_id AND a.ref_name = b.ref_name
+    GROUP BY 1
+""", "refs")
 def collection_refs(spark: SparkSession, sf: str) -> DataFrame:
     """Collection refs are equal if names are and collections are, null with null."""
     a = P.refs(spark, sf).select("collection_id", "ref_name")
@@ -123,7 +155,10 @@ def show_keys(spark: SparkSession, sf: str) -> DataFrame:
     return P.load(spark, sf, "events").select("event_id", F.try_element_at(F.array_sort(keys), F.lit(1)).alias("first_key"), F.size(keys).cast("bigint").alias("n"))
 
 
-@query("SK14_replicate_refs", "WITH RECURSIVE g AS (SELECT checksum FROM order_refs WHERE CAST(substr(checksum, 2) AS BIGINT) % 5 = 0 UNION SELECT child FROM g JOIN edges ON parent = g.checksum) SELECT objtype, count(*) AS n FROM objects WHERE checksum IN (SELECT checksum FROM g) GROUP BY 1", "order_refs", "edges", "objects")
+@query("SK14_replicate_refs", """
+WITH RECURSIVE g AS (SELECT checksum FROM order_refs WHERE CAST(substr(checksum, 2) AS BIGINT) % 5 = 0 UNION SELECT child FROM g
+    JOIN edges ON parent = g.checksum) SELECT objtype, count(*) AS n FROM objects WHERE checksum IN (SELECT checksum FROM g) GROUP BY 1
+""", "order_refs", "edges", "objects")
 def replicate_refs(spark: SparkSession, sf: str) -> DataFrame:
     """What copying some refs to another store takes: their closure."""
     from arborlake.operators.history import closure
@@ -141,20 +176,30 @@ def ref_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return apply_ref_writes(refs, writes)
 
 
-@query("J17_cache_preference", "SELECT checksum, CASE WHEN n % 3 = 0 THEN 'origin' WHEN n % 2 = 0 THEN 'cache1' WHEN n % 5 = 0 THEN 'cache2' ELSE 'http' END AS source FROM (SELECT checksum, CAST(substr(checksum, 2) AS BIGINT) AS n FROM objects WHERE objtype = 1)", "objects")
+@query("J17_cache_preference", """
+SELECT checksum, CASE WHEN n % 3 = 0 THEN 'origin' WHEN n % 2 = 0 THEN 'cache1' WHEN n % 5 = 0 THEN 'cache2' ELSE 'http' END AS source
+    FROM (SELECT checksum, CAST(substr(checksum, 2) AS BIGINT) AS n FROM objects WHERE objtype = 1)
+""", "objects")
 def cache_preference(spark: SparkSession, sf: str) -> DataFrame:
     files = P.objects(spark, sf).filter("objtype = 1").select("checksum", F.substring("checksum", 2, 20).cast("bigint").alias("n"))
     return R.prefer(files.select("checksum"), [("origin", files.filter("n % 3 = 0")), ("cache1", files.filter("n % 2 = 0")), ("cache2", files.filter("n % 5 = 0"))])
 
 
-@query("A10_delta_index", "SELECT \"to\", count(*) AS n, string_agg(coalesce(\"from\", '') || ':' || digest, ',' ORDER BY coalesce(\"from\", ''), digest) AS entries FROM deltas GROUP BY 1", "deltas")
+@query("A10_delta_index", """
+SELECT \"to\", count(*) AS n, string_agg(coalesce(\"from\", '') || ':' || digest, ',' ORDER BY coalesce(\"from\", ''), digest) AS entries FROM deltas
+    GROUP BY 1
+""", "deltas")
 def delta_index(spark: SparkSession, sf: str) -> DataFrame:
     entry = F.struct(F.coalesce("from", F.lit("")).alias("f"), "digest")
     grouped = P.deltas(spark, sf).groupBy("to").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(entry)).alias("e"))
     return grouped.select("to", "n", F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["f"], x["digest"])), ",").alias("entries"))
 
 
-@query("D6_delta_catalog", "SELECT CASE WHEN \"from\" IS NULL THEN \"to\" ELSE \"from\" || '-' || \"to\" END AS name, digest = sha256(CASE WHEN \"from\" IS NULL THEN '' ELSE \"from\" || '-' END || \"to\") AS valid FROM deltas", "deltas")
+@query("D6_delta_catalog", """
+SELECT CASE WHEN \"from\" IS NULL THEN \"to\" ELSE \"from\" || '-' || \"to\" END AS name,
+        digest = sha256(CASE WHEN \"from\" IS NULL THEN '' ELSE \"from\" || '-' END || \"to\") AS valid
+    FROM deltas
+""", "deltas")
 def delta_catalog(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat_ws("-", "from", "to")
     return P.deltas(spark, sf).select(name.alias("name"), (F.sha2(name, 256) == F.col("digest")).alias("valid"))
@@ -205,7 +250,10 @@ def fallback_headers(spark: SparkSession, sf: str) -> DataFrame:
     return P.sizes(spark, sf).filter("unpacked > 40000").groupBy("checksum", "objtype").agg(F.max("archived").alias("archived"), F.max("unpacked").alias("unpacked"))
 
 
-@query("A4_part_totals", "SELECT commit, CAST(sum(archived) AS BIGINT) AS archived, CAST(sum(unpacked) AS BIGINT) AS unpacked, string_agg(checksum, ',' ORDER BY checksum) AS objects FROM sizes GROUP BY 1", "sizes")
+@query("A4_part_totals", """
+SELECT commit, CAST(sum(archived) AS BIGINT) AS archived, CAST(sum(unpacked) AS BIGINT) AS unpacked, string_agg(checksum, ',' ORDER BY checksum) AS objects
+    FROM sizes GROUP BY 1
+""", "sizes")
 def part_totals(spark: SparkSession, sf: str) -> DataFrame:
     return P.sizes(spark, sf).groupBy("commit").agg(F.sum("archived").alias("archived"), F.sum("unpacked").alias("unpacked"), F.array_join(F.array_sort(F.collect_list("checksum")), ",").alias("objects"))
 
@@ -218,7 +266,10 @@ def parts_to_apply(spark: SparkSession, sf: str) -> DataFrame:
     return D.missing_parts(P.sizes(spark, sf).withColumnRenamed("commit", "part"), held)
 
 
-@query("D8_endianness_guess", "SELECT commit AS delta, bool_or(archived > 1.2 * unpacked) OR sum(unpacked) / count(*) > 4294967296 AS swapped FROM (SELECT commit, archived * CASE WHEN substr(commit, 2) LIKE '%7' THEN 5 ELSE 1 END AS archived, unpacked FROM sizes) GROUP BY 1", "sizes")
+@query("D8_endianness_guess", """
+SELECT commit AS delta, bool_or(archived > 1.2 * unpacked) OR sum(unpacked) / count(*) > 4294967296 AS swapped
+    FROM (SELECT commit, archived * CASE WHEN substr(commit, 2) LIKE '%7' THEN 5 ELSE 1 END AS archived, unpacked FROM sizes) GROUP BY 1
+""", "sizes")
 def endianness_guess(spark: SparkSession, sf: str) -> DataFrame:
     swapped = F.when(F.col("commit").endswith("7"), 5).otherwise(1)
     return D.guess_swapped(P.sizes(spark, sf).select(F.col("commit").alias("delta"), (F.col("archived") * swapped).alias("size"), F.col("unpacked").alias("usize"), F.lit(1).alias("n_objects")))

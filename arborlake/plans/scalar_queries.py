@@ -16,7 +16,11 @@ _B64 = "replace(rtrim(to_base64(unhex({})), '='), '/', '_')"
 _HEADER = "printf('%08x', 17 + t + k) || '00000000' || printf('%08x%08x%08x', uid, gid, mode) || '00000000' || hex(encode(target)) || '00' || CASE k WHEN 1 THEN printf('%02x', 17 + t) ELSE printf('%02x%02x', (17 + t) % 256, (17 + t) // 256) END"
 
 
-@query("F1_content_checksum", f"SELECT path, sha256(unhex({_HEADER}) || encode(CASE WHEN type = 'l' THEN '' ELSE text END)) AS id FROM (SELECT *, CASE WHEN 18 + t < 256 THEN 1 ELSE 2 END AS k FROM (SELECT *, octet_length(encode(target)) AS t FROM (SELECT *, CASE WHEN type = 'l' THEN path ELSE '' END AS target FROM files)))", "files")
+@query("F1_content_checksum", f"""
+SELECT path, sha256(unhex({_HEADER}) || encode(CASE WHEN type = 'l' THEN '' ELSE text END)) AS id
+    FROM (SELECT *, CASE WHEN 18 + t < 256 THEN 1 ELSE 2 END AS k FROM (SELECT *, octet_length(encode(target)) AS t
+    FROM (SELECT *, CASE WHEN type = 'l' THEN path ELSE '' END AS target FROM files)))
+""", "files")
 def content_checksum(spark: SparkSession, sf: str) -> DataFrame:
     """The name of each file and link: the hash of its header and content, as the store has it."""
     f = P.files(P.load(spark, sf, "documents"))
@@ -45,13 +49,19 @@ def modified_base64(spark: SparkSession, sf: str) -> DataFrame:
     return P.commits(spark, sf).select("checksum", S.modified_base64(F.col("checksum")).alias("b64"))
 
 
-@query("F6_loose_path", "SELECT checksum, substr(checksum, 1, 2) || '/' || substr(checksum, 3) || CASE WHEN type = 'd' THEN '.dirmeta' ELSE '.filez' END AS path FROM (SELECT DISTINCT checksum, type = 'd' AS d, CASE WHEN type = 'd' THEN 'd' ELSE 'f' END AS type FROM tree_a)", "tree_a")
+@query("F6_loose_path", """
+SELECT checksum, substr(checksum, 1, 2) || '/' || substr(checksum, 3) || CASE WHEN type = 'd' THEN '.dirmeta' ELSE '.filez' END AS path
+    FROM (SELECT DISTINCT checksum, type = 'd' AS d, CASE WHEN type = 'd' THEN 'd' ELSE 'f' END AS type FROM tree_a)
+""", "tree_a")
 def loose_path(spark: SparkSession, sf: str) -> DataFrame:
     rows = P.tree_a(spark, sf).select("checksum", F.when(F.col("type") == "d", P.DIRMETA).otherwise(P.FILE).alias("t")).distinct()
     return rows.select("checksum", S.loose_path(F.col("checksum"), F.col("t"), compressed=True).alias("path"))
 
 
-@query("F7_delta_path", f"SELECT \"to\", 'deltas/' || substr(n, 1, 2) || '/' || substr(n, 3) AS path FROM (SELECT \"to\", CASE WHEN \"from\" IS NULL THEN '' ELSE {_B64.format('\"from\"')} || '-' END || {_B64.format('\"to\"')} AS n FROM deltas)", "deltas")
+@query("F7_delta_path", f"""
+SELECT \"to\", 'deltas/' || substr(n, 1, 2) || '/' || substr(n, 3) AS path
+    FROM (SELECT \"to\", CASE WHEN \"from\" IS NULL THEN '' ELSE {_B64.format('\"from\"')} || '-' END || {_B64.format('\"to\"')} AS n FROM deltas)
+""", "deltas")
 def delta_path(spark: SparkSession, sf: str) -> DataFrame:
     return P.deltas(spark, sf).select("to", S.delta_path(F.col("from"), F.col("to")).alias("path"))
 
@@ -62,7 +72,10 @@ def refspec_parse(spark: SparkSession, sf: str) -> DataFrame:
     return spec.withColumn("p", S.parse_refspec(F.col("spec"))).select("spec", "p.remote", "p.ref")
 
 
-@query("F9_object_name", "SELECT checksum || CASE objtype WHEN 1 THEN '.file' WHEN 2 THEN '.dirtree' WHEN 3 THEN '.dirmeta' ELSE '.commit' END AS name, checksum, objtype FROM objects", "objects")
+@query("F9_object_name", """
+SELECT checksum || CASE objtype WHEN 1 THEN '.file' WHEN 2 THEN '.dirtree' WHEN 3 THEN '.dirmeta' ELSE '.commit' END AS name, checksum, objtype
+    FROM objects
+""", "objects")
 def object_name(spark: SparkSession, sf: str) -> DataFrame:
     named = P.objects(spark, sf).select(S.object_name(F.col("checksum"), F.col("objtype")).alias("name"))
     return named.withColumn("p", S.parse_object_name(F.col("name"))).select("name", "p.checksum", "p.objtype")
@@ -94,13 +107,20 @@ def xattr_order(spark: SparkSession, sf: str) -> DataFrame:
     return P.load(spark, sf, "documents").select("doc_id", F.array_join(F.transform(sorted_by_name, lambda x: x["name"]), ",").alias("names"))
 
 
-@query("F23_kernel_args", "SELECT event_id, 'root=/dev/sda1 quiet ' || event_type || '=u' || user_id || ' opt=\"a b\" nosmt' AS line, 'u' || user_id AS last, 'root=/dev/sda1 quiet ' || event_type || '=new opt=\"a b\" nosmt' AS replaced, CASE WHEN event_type = 'click' THEN 'root=/dev/sda1 quiet opt=\"a b\" nosmt' END AS deleted FROM events")
+@query("F23_kernel_args", """
+SELECT event_id, 'root=/dev/sda1 quiet ' || event_type || '=u' || user_id || ' opt=\"a b\" nosmt' AS line, 'u' || user_id AS last,
+        'root=/dev/sda1 quiet ' || event_type || '=new opt=\"a b\" nosmt' AS replaced,
+        CASE WHEN event_type = 'click' THEN 'root=/dev/sda1 quiet opt=\"a b\" nosmt' END AS deleted
+    FROM events
+""")
 def kernel_args(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat(F.lit("root=/dev/sda1 quiet "), "event_type", F.lit("=u"), "user_id", F.lit(' opt="a b" nosmt'))
-    args = S.parse_kargs(line)
+    # Parsed in a step of its own, so that every output reads the same array.
+    rows, args = P.load(spark, sf, "events").select("event_id", "event_type", S.parse_kargs(line).alias("args")), F.col("args")
     at = F.filter(args, lambda a: a["key"] == F.col("event_type"))
     swapped = F.transform(args, lambda a: F.when(a["key"] == F.col("event_type"), F.struct(a["key"].alias("key"), F.lit("new").alias("value"))).otherwise(a))
-    return P.load(spark, sf, "events").select("event_id", S.format_kargs(args).alias("line"), F.element_at(at, -1)["value"].alias("last"), S.format_kargs(swapped).alias("replaced"), S.format_kargs(S.delete_karg(args, "click")).alias("deleted"))
+    out = S.format_kargs(args).alias("line"), F.element_at(at, -1)["value"].alias("last"), S.format_kargs(swapped).alias("replaced"), S.format_kargs(S.delete_karg(args, "click")).alias("deleted")
+    return rows.select("event_id", *out)
 
 
 @query("F24_boot_entries", "SELECT idx, osname, 'title ' || osname AS title, idx AS left_count, 1 AS done FROM deployments", "deployments")
@@ -117,13 +137,19 @@ def tar_paths(spark: SparkSession, sf: str) -> DataFrame:
     return P.tree_a(spark, sf).select("path", S.tar_path(raw).alias("clean"))
 
 
-@query("F26_path_split", "SELECT url, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/'), lambda x: x <> '' AND x <> '.') AS parts FROM pages")
+@query("F26_path_split", """
+SELECT url, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/'), lambda x: x <> '' AND x <> '.') AS parts
+    FROM pages
+""")
 def path_split(spark: SparkSession, sf: str) -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
     return P.load(spark, sf, "pages").select("url", S.split_path(plain).alias("parts"))
 
 
-@query("F27_human_sizes", "SELECT l_orderkey, l_partkey, CASE WHEN p = 1 THEN '1 byte' WHEN p < 1000 THEN p || ' bytes' WHEN p < 1000000 THEN ((p * 10 + 500) // 1000 // 10) || '.' || ((p * 10 + 500) // 1000 % 10) || ' kB' ELSE ((p * 10 + 500000) // 1000000 // 10) || '.' || ((p * 10 + 500000) // 1000000 % 10) || ' MB' END AS shown FROM (SELECT DISTINCT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) * l_partkey AS p FROM lineitem)")
+@query("F27_human_sizes", """
+SELECT l_orderkey, l_partkey, CASE WHEN p = 1 THEN '1 byte' WHEN p < 1000 THEN p || ' bytes' WHEN p < 1000000 THEN ((p * 10 + 500) // 1000 // 10) || '.' || ((p * 10 + 500) // 1000 % 10) || ' kB' ELSE ((p * 10 + 500000) // 1000000 // 10) || '.' || ((p * 10 + 500000) // 1000000 % 10) || ' MB' END AS shown
+    FROM (SELECT DISTINCT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) * l_partkey AS p FROM lineitem)
+""")
 def human_sizes(spark: SparkSession, sf: str) -> DataFrame:
     rows = P.load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_quantity").cast("bigint") * F.col("l_partkey")).alias("p")).distinct()
     return rows.select("l_orderkey", "l_partkey", S.human_size(F.col("p")).alias("shown"))
@@ -134,7 +160,10 @@ def version_check(spark: SparkSession, sf: str) -> DataFrame:
     return P.load(spark, sf, "orders").select("o_orderkey", S.version_at_least(F.year("o_orderdate"), F.month("o_orderdate"), 1997, 6).alias("ok"))
 
 
-@query("F29_status_json", "SELECT osname, '[' || string_agg('{\"booted\":' || booted || ',\"idx\":' || idx || ',\"pinned\":' || pinned || '}', ',' ORDER BY idx) || ']' AS status FROM deployments GROUP BY 1", "deployments")
+@query("F29_status_json", """
+SELECT osname, '[' || string_agg('{\"booted\":' || booted || ',\"idx\":' || idx || ',\"pinned\":' || pinned || '}', ',' ORDER BY idx) || ']' AS status
+    FROM deployments GROUP BY 1
+""", "deployments")
 def status_json(spark: SparkSession, sf: str) -> DataFrame:
     row = F.struct("idx", F.struct("booted", "idx", "pinned").alias("d"))
     grouped = P.deployments(spark, sf).groupBy("osname").agg(F.array_sort(F.collect_list(row), lambda a, b: F.when(a["idx"] < b["idx"], -1).when(a["idx"] > b["idx"], 1).otherwise(0)).alias("l"))
@@ -155,7 +184,9 @@ def delta_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return P.load(spark, sf, "documents").select("doc_id", ((F.col("n_chars") > 0) & ~S.is_compressed_name(names)).alias("candidate"))
 
 
-@query("P14_name_validation", "SELECT ref_name, true AS ref_ok, false AS climbing_ok, collection_id IS NOT NULL AS collection_ok, length(checksum) = 64 AS checksum_ok FROM refs", "refs")
+@query("P14_name_validation", """
+SELECT ref_name, true AS ref_ok, false AS climbing_ok, collection_id IS NOT NULL AS collection_ok, length(checksum) = 64 AS checksum_ok FROM refs
+""", "refs")
 def name_validation(spark: SparkSession, sf: str) -> DataFrame:
     return P.refs(spark, sf).select("ref_name", V.valid_ref(F.col("ref_name")).alias("ref_ok"), V.valid_filename(F.concat(F.lit("../"), "ref_name")).alias("climbing_ok"), F.coalesce(V.valid_collection_id(F.col("collection_id")), F.lit(False)).alias("collection_ok"), V.valid_checksum(F.col("checksum")).alias("checksum_ok"))
 
@@ -171,13 +202,19 @@ def space_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return P.deployments(spark, sf).groupBy("osname").agg(F.countDistinct("bootcsum").alias("n_boot")).withColumn("bytes", F.col("n_boot") * 40)
 
 
-@query("A13_min_free_space", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS BIGINT) * 1048576 WHEN 1 THEN CAST(p_size AS BIGINT) * 1073741824 WHEN 2 THEN CAST(p_size AS BIGINT) * 1099511627776 END AS bytes FROM part")
+@query("A13_min_free_space", """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS BIGINT) * 1048576 WHEN 1 THEN CAST(p_size AS BIGINT) * 1073741824 WHEN 2 THEN CAST(p_size AS BIGINT) * 1099511627776 END AS bytes
+    FROM part
+""")
 def min_free_space(spark: SparkSession, sf: str) -> DataFrame:
     unit = F.element_at(F.array(F.lit("MB"), F.lit("GB"), F.lit("TB"), F.lit("kB")), (F.col("p_partkey") % 4 + 1).cast("int"))
     return P.load(spark, sf, "part").select("p_partkey", S.min_free_space(F.concat("p_size", unit)).alias("bytes"))
 
 
-@query("W13_deployment_order", "SELECT osname, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY version DESC, idx) AS ordered FROM (SELECT *, 100 - idx * 7 % 11 AS version FROM deployments) GROUP BY 1", "deployments")
+@query("W13_deployment_order", """
+SELECT osname, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY version DESC, idx) AS ordered FROM (SELECT *, 100 - idx * 7 % 11 AS version
+    FROM deployments) GROUP BY 1
+""", "deployments")
 def deployment_order(spark: SparkSession, sf: str) -> DataFrame:
     """Boot entries by version, the highest first, and then as they were; the version comes from each entry's text."""
     entry = F.concat(F.lit("title x\nversion "), (F.lit(100) - F.col("idx") * 7 % 11).cast("string"), F.lit("\nlinux /k"))

@@ -33,19 +33,30 @@ def diff_order(spark: SparkSession, sf: str) -> DataFrame:
     return changes.select(F.when(F.col("kind") == "M", 0).when(F.col("kind") == "D", 1).otherwise(2).alias("part"), "path", "kind")
 
 
-@query("J2_diff_ignoring_xattrs", "SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'A' WHEN b.path IS NULL THEN 'D' ELSE 'M' END AS kind FROM (SELECT * FROM tree_a WHERE type = 'f') a FULL OUTER JOIN (SELECT * FROM tree_b WHERE type = 'f') b ON a.path = b.path WHERE a.checksum IS DISTINCT FROM b.checksum", "tree_a", "tree_b")
+@query("J2_diff_ignoring_xattrs", """
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'A' WHEN b.path IS NULL THEN 'D' ELSE 'M' END AS kind FROM (SELECT *
+    FROM tree_a WHERE type = 'f') a FULL OUTER JOIN (SELECT * FROM tree_b WHERE type = 'f') b ON a.path = b.path WHERE a.checksum IS DISTINCT
+    FROM b.checksum
+""", "tree_a", "tree_b")
 def diff_ignoring_xattrs(spark: SparkSession, sf: str) -> DataFrame:
     """Regular files whose hash without extended attributes differs: here the attributes are the owner, left out of the hash."""
     a, b = (t(spark, sf).filter("type = 'f'").select("path", F.col("checksum").alias(n)) for t, n in ((P.tree_a, "ca"), (P.tree_b, "cb")))
     return a.join(b, "path", "full_outer").filter(~F.col("ca").eqNullSafe(F.col("cb"))).select("path", F.when(F.col("ca").isNull(), "A").when(F.col("cb").isNull(), "D").otherwise("M").alias("kind"))
 
 
-@query("A2_diff_stats", "WITH a AS (SELECT DISTINCT checksum, max(size) OVER (PARTITION BY checksum) AS size FROM tree_a), b AS (SELECT DISTINCT checksum FROM tree_b) SELECT CAST((SELECT count(*) FROM a) AS BIGINT) AS n_from, CAST((SELECT count(*) FROM b) AS BIGINT) AS n_to, count(*) AS n_common, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes_common FROM a JOIN b USING (checksum)", "tree_a", "tree_b")
+@query("A2_diff_stats", """
+WITH a AS (SELECT DISTINCT checksum, max(size) OVER (PARTITION BY checksum) AS size FROM tree_a), b AS (SELECT DISTINCT checksum
+    FROM tree_b) SELECT CAST((SELECT count(*) FROM a) AS BIGINT) AS n_from, CAST((SELECT count(*)
+    FROM b) AS BIGINT) AS n_to, count(*) AS n_common, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes_common FROM a JOIN b USING (checksum)
+""", "tree_a", "tree_b")
 def diff_stats(spark: SparkSession, sf: str) -> DataFrame:
     return trees.diff_stats(P.tree_a(spark, sf), P.tree_b(spark, sf))
 
 
-@query("P1_list_directory", "SELECT CASE type WHEN 'd' THEN 'd' WHEN 'l' THEN 'l' ELSE '-' END || lpad(printf('%o', mode & 4095), 5, '0') AS mode, uid, gid, size, checksum, '/' || path AS path FROM tree_a WHERE regexp_matches(path, '^en/[^/]*$')", "tree_a")
+@query("P1_list_directory", """
+SELECT CASE type WHEN 'd' THEN 'd' WHEN 'l' THEN 'l' ELSE '-' END || lpad(printf('%o', mode & 4095), 5, '0') AS mode, uid, gid, size, checksum, '/' || path AS path
+    FROM tree_a WHERE regexp_matches(path, '^en/[^/]*$')
+""", "tree_a")
 def list_directory(spark: SparkSession, sf: str) -> DataFrame:
     return trees.listing(trees.children(P.tree_a(spark, sf), "en"))
 
@@ -119,14 +130,20 @@ def dirtree_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return trees.dirtree_hashes(P.tree_a(spark, sf))
 
 
-@query("P10_skip_if_unchanged", "SELECT t.path, a.checksum IS NOT DISTINCT FROM b.checksum AS unchanged FROM (SELECT path FROM tree_a WHERE type = 'd' UNION SELECT path FROM tree_b WHERE type = 'd') t LEFT JOIN tree_a a ON a.path = t.path LEFT JOIN tree_b b ON b.path = t.path", "tree_a", "tree_b")
+@query("P10_skip_if_unchanged", """
+SELECT t.path, a.checksum IS NOT DISTINCT FROM b.checksum AS unchanged FROM (SELECT path FROM tree_a WHERE type = 'd' UNION SELECT path FROM tree_b
+    WHERE type = 'd') t LEFT JOIN tree_a a ON a.path = t.path LEFT JOIN tree_b b ON b.path = t.path
+""", "tree_a", "tree_b")
 def skip_if_unchanged(spark: SparkSession, sf: str) -> DataFrame:
     """Directories whose metadata is the same in both snapshots need no new object."""
     a, b = (t(spark, sf).filter("type = 'd'").select("path", F.col("checksum").alias(n)) for t, n in ((P.tree_a, "ca"), (P.tree_b, "cb")))
     return a.join(b, "path", "full_outer").select("path", F.col("ca").eqNullSafe(F.col("cb")).alias("unchanged"))
 
 
-@query("P13_structural_validation", "SELECT path, CASE WHEN type = 'd' AND (mode & 61440) <> 16384 THEN 'not a directory mode' WHEN type = 'f' AND (mode & 61440) <> 32768 THEN 'not a file mode' WHEN path LIKE '%inner' THEN 'reserved name' END AS violation FROM tree_b WHERE type = 'd' AND (mode & 61440) <> 16384 OR type = 'f' AND (mode & 61440) <> 32768 OR path LIKE '%inner'", "tree_b")
+@query("P13_structural_validation", """
+SELECT path, CASE WHEN type = 'd' AND (mode & 61440) <> 16384 THEN 'not a directory mode' WHEN type = 'f' AND (mode & 61440) <> 32768 THEN 'not a file mode' WHEN path LIKE '%inner' THEN 'reserved name' END AS violation
+    FROM tree_b WHERE type = 'd' AND (mode & 61440) <> 16384 OR type = 'f' AND (mode & 61440) <> 32768 OR path LIKE '%inner'
+""", "tree_b")
 def structural_validation(spark: SparkSession, sf: str) -> DataFrame:
     fmt = F.col("mode").bitwiseAND(0o170000)
     fault = F.when((F.col("type") == "d") & (fmt != 0o040000), "not a directory mode").when((F.col("type") == "f") & (fmt != 0o100000), "not a file mode").when(F.col("path").endswith("inner"), "reserved name")
@@ -170,7 +187,10 @@ def checkout_union_identical(spark: SparkSession, sf: str) -> DataFrame:
     return trees.checkout(*_two(spark, sf), "union_identical")
 
 
-@query("J15_checkout_collisions", f"SELECT CASE WHEN s.type = t.type AND s.checksum = t.checksum THEN 'keep' ELSE 'conflict' END AS action, count(*) AS n FROM {_OVER} WHERE s.path = t.path GROUP BY 1", "layers")
+@query("J15_checkout_collisions", f"""
+SELECT CASE WHEN s.type = t.type AND s.checksum = t.checksum THEN 'keep' ELSE 'conflict' END AS action, count(*) AS n FROM {_OVER}
+    WHERE s.path = t.path GROUP BY 1
+""", "layers")
 def checkout_collisions(spark: SparkSession, sf: str) -> DataFrame:
     source, target = _two(spark, sf)
     met = trees.checkout(source, target, "union_identical").join(source.select("path"), "path", "left_semi").join(target.select("path"), "path", "left_semi")
@@ -196,7 +216,10 @@ def remove_and_walk(spark: SparkSession, sf: str) -> DataFrame:
     return kept.filter(F.col("path").startswith("en")).select("path", "type")
 
 
-@query("U11_parent_fallthrough", "SELECT path, arg_min(checksum, p) AS checksum, min(p) AS level FROM (SELECT path, checksum, 0 AS p FROM tree_b WHERE type <> 'd' UNION ALL SELECT path, checksum, 1 FROM tree_a WHERE type <> 'd') GROUP BY path", "tree_a", "tree_b")
+@query("U11_parent_fallthrough", """
+SELECT path, arg_min(checksum, p) AS checksum, min(p) AS level FROM (SELECT path, checksum, 0 AS p FROM tree_b WHERE type <> 'd'
+    UNION ALL SELECT path, checksum, 1 FROM tree_a WHERE type <> 'd') GROUP BY path
+""", "tree_a", "tree_b")
 def parent_fallthrough(spark: SparkSession, sf: str) -> DataFrame:
     """A layered read: the child store first, then its parent."""
     both = P.tree_b(spark, sf).filter("type <> 'd'").select("path", "checksum", F.lit(0).alias("level")).unionByName(P.tree_a(spark, sf).filter("type <> 'd'").select("path", "checksum", F.lit(1).alias("level")))
@@ -228,28 +251,42 @@ def difference(spark: SparkSession, sf: str) -> DataFrame:
     return P.tree_b(spark, sf).select("checksum").distinct().join(P.tree_a(spark, sf).select("checksum"), "checksum", "left_anti")
 
 
-@query("J3_new_objects", "SELECT CASE WHEN type = 'd' THEN 'metadata' WHEN type = 'l' THEN 'symlink' ELSE 'regular' END AS class, count(DISTINCT checksum) AS n FROM tree_b WHERE checksum NOT IN (SELECT checksum FROM tree_a) GROUP BY 1", "tree_a", "tree_b")
+@query("J3_new_objects", """
+SELECT CASE WHEN type = 'd' THEN 'metadata' WHEN type = 'l' THEN 'symlink' ELSE 'regular' END AS class, count(DISTINCT checksum) AS n FROM tree_b
+    WHERE checksum NOT IN (SELECT checksum FROM tree_a) GROUP BY 1
+""", "tree_a", "tree_b")
 def new_objects(spark: SparkSession, sf: str) -> DataFrame:
     from arborlake.operators.delta import new_objects as split
 
     return split(P.tree_a(spark, sf), P.tree_b(spark, sf)).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query("O1_entry_order", "SELECT dir, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '[^/]*$') AS name FROM tree_b) GROUP BY dir", "tree_b")
+@query("O1_entry_order", """
+SELECT dir, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '[^/]*$') AS name FROM tree_b) GROUP BY dir
+""", "tree_b")
 def entry_order(spark: SparkSession, sf: str) -> DataFrame:
     """Entries of a directory in byte order."""
     rows = P.tree_b(spark, sf).select(P.parent_of(F.col("path")).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
     return rows.groupBy("dir").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
 
 
-@query("SK9_tar_listing", "SELECT 'root/' || path AS path, CASE WHEN type = 'd' THEN 'dir' WHEN type = 'l' THEN 'symlink' WHEN row_number() OVER (PARTITION BY type, checksum ORDER BY path) = 1 THEN 'file' ELSE 'hardlink' END AS entry, CASE WHEN type = 'f' AND row_number() OVER (PARTITION BY type, checksum ORDER BY path) > 1 THEN 'root/' || first_value(path) OVER (PARTITION BY type, checksum ORDER BY path) END AS target FROM tree_a", "tree_a")
+@query("SK9_tar_listing", """
+SELECT 'root/' || path AS path, CASE WHEN type = 'd' THEN 'dir' WHEN type = 'l' THEN 'symlink' WHEN row_number() OVER (PARTITION BY type,
+        checksum ORDER BY path) = 1 THEN 'file' ELSE 'hardlink' END AS entry, CASE WHEN type = 'f' AND row_number() OVER (PARTITION BY type,
+        checksum ORDER BY path) > 1 THEN 'root/' || first_value(path) OVER (PARTITION BY type, checksum ORDER BY path) END AS target
+    FROM tree_a
+""", "tree_a")
 def tar_listing(spark: SparkSession, sf: str) -> DataFrame:
     from arborlake.sources.archive import tar_entries
 
     return tar_entries(P.tree_a(spark, sf), "root/")
 
 
-@query("SK10_image_listing", "SELECT path, CASE WHEN type = 'f' AND size > 64 THEN substr(checksum, 1, 2) || '/' || substr(checksum, 3) || '.file' END AS backing, type = 'f' AND size <= 64 AS inline FROM tree_a", "tree_a")
+@query("SK10_image_listing", """
+SELECT path, CASE WHEN type = 'f' AND size > 64 THEN substr(checksum, 1, 2) || '/' || substr(checksum, 3) || '.file' END AS backing, type = 'f' AND size <= 64 AS inline
+    FROM tree_a
+""", "tree_a")
 def image_listing(spark: SparkSession, sf: str) -> DataFrame:
     """A metadata-only image: small files inline, others by their backing path."""
     big = (F.col("type") == "f") & (F.col("size") > 64)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def tar_entries(tree: DataFrame, prefix: str = "") -> DataFrame:
-    """(path, entry, target): the first path of each content is a file, further ones are hard links to it."""
-    first = Window.partitionBy("type", "checksum").orderBy("path")
-    n = F.row_number().over(first)
-    rows = tree.withColumn("__n", n).withColumn("__first", F.first("path").over(first))
-    linked = (F.col("type") == "f") & (F.col("__n") > 1)
-    entry = F.when(F.col("type") == "d", "dir").when(F.col("type") == "l", "symlink").when(linked, "hardlink").otherwise("file")
-    return rows.select(F.concat(F.lit(prefix), "path").alias("path"), entry.alias("entry"), F.when(linked, F.concat(F.lit(prefix), "__first")).alias("target"))
+    """(path, entry, target): the first path of each content is a file, further ones are hard links to it.
+
+    The first paths are a grouped minimum, joined back, so that a content that stands everywhere fills no task.
+    """
+    first = tree.filter("type = 'f'").groupBy("checksum").agg(F.min("path").alias("__first"))
+    files = tree.filter("type = 'f'").select("checksum", "path").join(first, "checksum")
+    linked = F.col("path") != F.col("__first")
+    entries = files.select(F.concat(F.lit(prefix), "path").alias("path"), F.when(linked, "hardlink").otherwise("file").alias("entry"), F.when(linked, F.concat(F.lit(prefix), "__first")).alias("target"))
+    others = tree.filter("type <> 'f'")
+    kind = F.when(F.col("type") == "d", "dir").otherwise("symlink")
+    return entries.unionByName(others.select(F.concat(F.lit(prefix), "path").alias("path"), kind.alias("entry"), F.lit(None).cast("string").alias("target")))
 
 
 def read_tar(spark, path: str, usr_etc: bool = False) -> DataFrame:
@@ -25,7 +29,8 @@ def tar_members(files: DataFrame, usr_etc: bool = False) -> DataFrame:
     """(archive, path, type, mode, uid, gid, size, content) of every member of tar files (path, content).
 
     A hard link has the content of the member it names in its archive, which may
-    stand anywhere in it: links are resolved by a join after reading.
+    stand anywhere in it: links are resolved by a join after reading. A broken archive gives the members before the
+    fault and a row of type ``fault``, and fails no other.
     """
     import io
     import tarfile
@@ -42,12 +47,15 @@ def tar_members(files: DataFrame, usr_etc: bool = False) -> DataFrame:
         for batch in batches:
             for archive, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = []
-                with tarfile.open(fileobj=io.BytesIO(data)) as tar:
-                    for m in tar:
-                        kind = "d" if m.isdir() else "l" if m.issym() else "h" if m.islnk() else "f" if m.isfile() else None
-                        if kind:
-                            body = tar.extractfile(m).read() if kind == "f" else None
-                            rows.append((archive, m.name, kind, m.mode, m.uid, m.gid, m.size, body, m.linkname or None))
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(data)) as tar:
+                        for m in tar:
+                            kind = "d" if m.isdir() else "l" if m.issym() else "h" if m.islnk() else "f" if m.isfile() else None
+                            if kind:
+                                body = tar.extractfile(m).read() if kind == "f" else None
+                                rows.append((archive, m.name, kind, m.mode, m.uid, m.gid, m.size, body, m.linkname or None))
+                except (tarfile.TarError, EOFError, OSError):
+                    rows.append((archive, "", "fault", None, None, None, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     rows = files.mapInArrow(members, "archive string, path string, type string, mode int, uid bigint, gid bigint, size bigint, content binary, target string")

@@ -58,29 +58,34 @@ def metalink(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metalink_urls(texts: DataFrame) -> DataFrame:
-    """(file, name, size, sha256, sha512, url, preference) of metalink files (path, content), one row a URL."""
+    """(file, name, size, sha256, sha512, url, preference, fault) of metalink files (path, content), one row a URL; one row with the fault of a file that is no XML."""
     import xml.etree.ElementTree as ET
     from collections.abc import Iterable, Iterator
 
     import pyarrow as pa
 
-    names = ["file", "name", "size", "sha256", "sha512", "url", "preference"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()]
+    names = ["file", "name", "size", "sha256", "sha512", "url", "preference", "fault"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for where, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for f in ET.fromstring(text).iter("{http://www.metalinker.org/}file"):
-                    ns = "{http://www.metalinker.org/}"
+                ns = "{http://www.metalinker.org/}"
+                try:
+                    files = list(ET.fromstring(text).iter(f"{ns}file"))
+                except ET.ParseError as e:
+                    rows.append((where, None, None, None, None, None, None, str(e)))
+                    continue
+                for f in files:
                     sums = {h.get("type"): (h.text or "").strip().lower() for h in f.iter(f"{ns}hash")}
-                    size = f.findtext(f"{ns}size")
+                    size = (f.findtext(f"{ns}size") or "").strip()
                     for u in f.iter(f"{ns}url"):
                         if u.get("protocol") in ("http", "https", "file"):
-                            rows.append((where, f.get("name"), int(size) if size else None, sums.get("sha256"), sums.get("sha512"), (u.text or "").strip(), int(u.get("preference") or 0)))
+                            rows.append((where, f.get("name"), int(size) if size.isdecimal() else None, sums.get("sha256"), sums.get("sha512"), (u.text or "").strip(), int(p) if (p := u.get("preference") or "0").isdecimal() else 0, None))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return texts.mapInArrow(parse, "file string, name string, size bigint, sha256 string, sha512 string, url string, preference int")
+    return texts.mapInArrow(parse, "file string, name string, size bigint, sha256 string, sha512 string, url string, preference int, fault string")
 
 
 def accept_download(links: DataFrame, got: DataFrame) -> DataFrame:

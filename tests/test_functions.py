@@ -250,6 +250,17 @@ def test_store_writer(spark, tmp_path):
     assert writer.commit(objects("b", "c"), refs(("main", 1, "b"), ("main", 2, "c"), ("old", 1, "b"), ("old", 2, None))) == 1
     assert sorted(r[0] for r in writer.objects().select("checksum").collect()) == ["a", "b", "c"]
     assert [tuple(r) for r in writer.refs().collect()] == [("main", "c")]
+    # A transaction repeated under its name changes nothing.
+    for _ in range(2):
+        assert writer.commit(objects("d", "a"), refs(("main", 1, "d")), "t1") == 1
+    assert writer.objects().count() == 4 and [tuple(r) for r in writer.refs().collect()] == [("main", "d")]
+    # A writer that crashed before its version was whole is not seen.
+    (tmp_path / "store/refs/00000099-crashed").mkdir()
+    assert [tuple(r) for r in writer.refs().collect()] == [("main", "d")]
+    (tmp_path / "store/claims/00000004").touch()
+    with pytest.raises(RuntimeError):
+        writer.commit(objects("e"), refs(("main", 1, "e")))
+    assert [tuple(r) for r in writer.refs().collect()] == [("main", "d")]
 
 
 def test_loose_objects_and_folder(spark, tmp_path):
@@ -276,6 +287,19 @@ def test_tar_import_resolves_hard_links(spark, tmp_path):
     assert got == {"usr/etc/link": ("f", b"hi"), "usr/etc/x": ("f", b"hi"), "d": ("d", None), "s": ("l", None)}
 
 
+def test_broken_files_fail_no_other(spark):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
+        info = tarfile.TarInfo("a")
+        info.size = 2
+        tar.addfile(info, io.BytesIO(b"hi"))
+    files = spark.createDataFrame([("good", out.getvalue()), ("bad", b"no archive" * 100), ("cut", out.getvalue()[:513])], "path string, content binary")
+    got = {(r["archive"], r["type"]) for r in archive.tar_members(files).collect()}
+    assert ("good", "f") in got and ("bad", "fault") in got
+    links = stores.metalink_urls(spark.createDataFrame([("x", b"<no"), ("y", b'<metalink xmlns="http://www.metalinker.org/"><file name="f"><size> z</size><url protocol="http" preference="q">u</url></file></metalink>')], "path string, content binary")).collect()
+    assert {(r["file"], r["url"], r["fault"] is None) for r in links} == {("x", None, False), ("y", "u", True)}
+
+
 def test_tar_export(spark, tmp_path):
     rows = [("root/a", "file", None, b"1", 0o100644), ("root/b", "hardlink", "root/a", None, 0o100644), ("root", "dir", None, None, 0o40755)]
     archive.write_tar(spark.createDataFrame(rows, "path string, entry string, target string, content binary, mode int"), str(tmp_path / "o.tar"))
