@@ -227,6 +227,8 @@ def signature_any_of(spark: SparkSession, sf: str) -> DataFrame:
     commits = _commit_records(spark, sf).withColumn("said", F.when(F.col("conv_id") % 3 == 0, F.concat("record", F.unhex(F.lit("00")))).otherwise(F.col("record")))
     each = commits.select(F.col("checksum").alias("commit"), "record", "said", F.explode(F.array(name(F.col("turn") % 3), name((F.col("turn") + 1) % 3))).alias("key_id"))
     ok = C.Signers().verifier("ed25519")("key", "record", "signature")
+    # Milliseconds a signature and few bytes: dealt by number, as sizes say nothing of the work.
+    each = each.repartition(2 * spark.sparkContext.defaultParallelism)
     signatures = each.withColumn("signature", signed("key_id", "said")).join(F.broadcast(keys.select("key_id", "key")), "key_id").select("commit", "key_id", ok.alias("ok"))
     return V.any_valid(signatures, keys.select("key_id", "revoked"))
 
