@@ -203,9 +203,9 @@ def brute_language(docs):
     return names, train, grams, kernel
 
 
-def test_op2_equals_plain_kernel_ridge(spark, awkward):
-    docs = spark.read.parquet(f"{awkward}/documents.parquet").select("doc_id", "text", "lang")
-    plain = [tuple(r) for r in docs.collect()]
+def brute_predictions(docs):
+    """((doc_id, text), lang, score) of every row of ``docs`` (doc_id, text, lang), by a kernel ridge that is fitted on its texts."""
+    plain = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
     names, train, grams, kernel = brute_language(plain)
     assert max(Counter(x[0] for x in train).values()) <= langid.PER_LANG  # the sample is all of it
     draw = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 52) - 1)).alias("h")).collect()}
@@ -227,16 +227,22 @@ def test_op2_equals_plain_kernel_ridge(spark, awkward):
     ridge = langid.RIDGE * len(train) * np.diag([1.0] * (x.shape[1] - 1) + [1e-6])
     y = np.where(number[:, None] == np.arange(len(names)), 1.0, -1.0)
     beta = np.linalg.solve(x.T @ (weight[:, None] * x) + ridge, x.T @ (weight[:, None] * y))
-    want = defaultdict(list)
+    out = []
     for d, t, _ in plain:
         if not t or not any(c.isalpha() for c in t):
-            want[d].append(("und", 0.0))
+            out.append(((d, t), "und", 0.0))
             continue
         g = brute_grams(t.encode())
         m = np.append(np.array([kernel(g, c) for c in z]) @ project, 1.0) @ beta * 6
         p = np.exp(m - m.max()) / np.exp(m - m.max()).sum()
-        want[d].append((names[int(m.argmax())], float(p.max())))
-    got = defaultdict(list)
+        out.append(((d, t), names[int(m.argmax())], float(p.max())))
+    return out
+
+
+def test_op2_equals_plain_kernel_ridge(spark, awkward):
+    want, got = defaultdict(list), defaultdict(list)
+    for (d, _), lang, score in brute_predictions(spark.read.parquet(f"{awkward}/documents.parquet")):
+        want[d].append((lang, score))
     for r in queries.op2_language_id(spark, awkward).collect():
         got[r["doc_id"]].append((r["lang_pred"], r["score"]))
     assert set(got) == set(want)
@@ -779,8 +785,8 @@ def poisson_inverse(u, mean):
     return k
 
 
-def test_op9(spark, awkward):
-    docs = [tuple(r) for r in spark.read.parquet(f"{awkward}/documents.parquet").select("doc_id", "text", "source").collect()]
+def brute_copies(docs):
+    """Counts of (doc_id, source, replica) for rows (doc_id, text, source), by inverting the distribution row by row."""
     n = Counter(s for _, _, s in docs)
     weight = {s: np.sqrt(c) for s, c in n.items()}
     want = Counter()
@@ -790,8 +796,14 @@ def test_op9(spark, awkward):
         u = (int(hashlib.md5(f"{mixing.SEED}:{who}:1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         for k in range(poisson_inverse(u, mean)):
             want[(d, s, k + 1)] += 1
+    return want
+
+
+def test_op9(spark, awkward):
+    docs = [tuple(r) for r in spark.read.parquet(f"{awkward}/documents.parquet").select("doc_id", "text", "source").collect()]
+    want = brute_copies(docs)
     got = queries.op9_source_mixing(spark, awkward)
-    assert rows(got, "doc_id", "source", "replica") == want and None in n
+    assert rows(got, "doc_id", "source", "replica") == want and None in {s for _, _, s in docs}
     keys = [r["shuffle_key"] for r in got.select("shuffle_key").collect()]
     assert keys == sorted(keys)
 
