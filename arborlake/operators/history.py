@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,16 +44,27 @@ def closure(seeds: DataFrame, edges: DataFrame, checkpoint_every: int = 4) -> Da
     return visited
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where a session on one machine names none (unit tests) it gets a temporary
+    folder of that machine; on a cluster executors share none, so one must be named.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError(f"spark.checkpoint.dir names no folder, and executors of {context.master} share no local one")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="arborlake-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
 def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Sets the session's ``spark.checkpoint.dir`` where the context has none yet. Without one, a session on one machine
-    gets a temporary folder; on a cluster there is none that all executors share, so one must be named."""
+    """Sets the context's checkpoint folder where it has none yet."""
     context = df.sparkSession.sparkContext
-    if context.getCheckpointDir():
-        return
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.match(r"local(\[|$)", context.master):
-        raise ValueError(f"spark.checkpoint.dir names no folder, and executors of {context.master} share no local one")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="arborlake-"))
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
 
 
 def expand(roots: DataFrame, dir_edges: DataFrame) -> DataFrame:

@@ -35,18 +35,35 @@ def bloom_build(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J14_bloom_semi_join", "SELECT remote, ref_name FROM refs WHERE remote IS NOT NULL", "refs")
 def bloom_semi_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests are pre-filtered by each remote's bloom filter (of 64 KiB), then joined exactly."""
-    remote = P.refs(spark, sf).filter("remote IS NOT NULL").select("remote", "ref_name")
-    blooms = B.bloom_build(remote, "remote", "ref_name", size=1 << 16)
-    asked = remote.withColumn("key", F.col("remote")).join(blooms, "key")
-    passed = asked.filter(B.bloom_contains()("bloom", "ref_name")).select("remote", "ref_name")
-    return passed.join(remote, ["remote", "ref_name"], "left_semi")
+    """Both remotes are asked for every ref; a remote's bloom filter (of 64 KiB) rejects nearly all that it lacks, and what passes is joined exactly."""
+    refs = P.refs(spark, sf).select("remote", "ref_name")
+    held = refs.filter("remote IS NOT NULL")
+    blooms = B.bloom_build(held, "remote", "ref_name", size=1 << 16)
+    asked = refs.select("ref_name", F.explode(F.array(F.lit("origin"), F.lit("mirror"))).alias("key")).distinct().join(blooms, "key")
+    passed = asked.filter(B.bloom_contains()("bloom", "ref_name")).select(F.col("key").alias("remote"), "ref_name")
+    return passed.join(held, ["remote", "ref_name"], "left_semi")
 
 
-@query("F16_codecs", "SELECT doc_id, true AS same FROM documents")
+@query("F16_codecs", "SELECT doc_id, true AS deflated, true AS packed, true AS refused FROM documents")
 def codecs(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw deflate and back."""
-    return P.load(spark, sf, "documents").select("doc_id", (B.inflate(B.deflate(F.col("text").cast("binary"))) == F.col("text").cast("binary")).alias("same"))
+    """Raw deflate and back, an LZMA part and back, and whether a part that is longer than allowed is refused."""
+
+    @F.pandas_udf("packed boolean, refused boolean")
+    def lzma(raw: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in raw:
+            part = B.encode_part(bytes(x), "lzma")
+            try:
+                B.decode_part(part, len(x) - 1)
+                refused = False
+            except ValueError:
+                refused = True
+            out.append((B.decode_part(part) == bytes(x), refused or not x))
+        return pd.DataFrame(out, columns=["packed", "refused"])
+
+    raw = F.col("text").cast("binary")
+    rows = P.load(spark, sf, "documents").select("doc_id", (B.inflate(B.deflate(raw)) == raw).alias("deflated"), lzma(raw).alias("l"))
+    return rows.select("doc_id", "deflated", "l.packed", "l.refused")
 
 
 @query("F17_binary_diff", "SELECT doc_id, true AS same FROM documents")
@@ -159,14 +176,6 @@ def progress(spark: SparkSession, sf: str) -> DataFrame:
     return P.sizes(spark, sf).groupBy("commit").agg(F.sum("archived").alias("requested"), F.sum(F.when(F.col("archived") % 2 == 0, F.col("archived")).otherwise(0)).alias("fetched"))
 
 
-@query("V3_signature_results", """
-SELECT conv_id, count(*) AS n, count(*) FILTER (turn % 2 = 0) AS n_valid, count(*) FILTER (checksum LIKE '%ab') AS n_key FROM commits GROUP BY 1
-""", "commits")
-def signature_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Signatures of each branch: all, valid ones, and those by a key id's suffix."""
-    return P.commits(spark, sf).groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("turn") % 2 == 0).alias("n_valid"), F.count_if(F.col("checksum").endswith("ab")).alias("n_key"))
-
-
 @query("O8_signature_order", "SELECT checksum, turn % 2 = 0 AS valid, ts, 'k' || (conv_id % 3) AS fingerprint FROM commits", "commits")
 def signature_order(spark: SparkSession, sf: str) -> DataFrame:
     """The fields of a signature in their fixed order."""

@@ -127,7 +127,8 @@ SELECT count(*) AS n_objects, count(*) FILTER (doc_id % 50 = 0) AS n_corrupt, (S
 def fsck_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Totals of a check of all objects, with the commits that are whole and partial."""
     objects = _fsck(spark, sf).agg(F.count("*").alias("n_objects"), F.count_if(~F.col("ok")).alias("n_corrupt"))
-    return objects.crossJoin(F.broadcast(P.commits(spark, sf).agg(F.count("*").alias("n_commits"), F.count_if("partial").alias("n_partial"))))
+    commits = P.commits(spark, sf).agg(F.count("*"), F.count_if("partial")).first()
+    return objects.select("*", F.lit(commits[0]).cast("bigint").alias("n_commits"), F.lit(commits[1]).cast("bigint").alias("n_partial"))
 
 
 # Summaries and refs.
@@ -211,12 +212,8 @@ def _seed(key: str) -> bytes:
     return hashlib.sha256(key.encode()).digest()
 
 
-@query("V1_signature_any_of", """
-SELECT checksum AS commit, bool_or(conv_id % 3 <> 0 AND k < 2) AS valid FROM (SELECT checksum, conv_id, unnest([turn % 3, (turn + 1) % 3]) AS k
-    FROM commits) GROUP BY 1
-""", "commits")
-def signature_any_of(spark: SparkSession, sf: str) -> DataFrame:
-    """A commit is trusted if any signature over its record verifies by a key that isn't revoked; key k2 is, and a third of the branches is signed for another record."""
+def _signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """(commit, conv_id, key_id, ok, revoked): two signatures over each commit's record, verified; key k2 is revoked, and a third of the branches is signed for another record."""
     keys = spark.createDataFrame([(k, ed25519.public_key(_seed(k)), k == "k2") for k in ("k0", "k1", "k2")], "key_id string, key binary, revoked boolean")
 
     @F.pandas_udf("binary")
@@ -225,12 +222,28 @@ def signature_any_of(spark: SparkSession, sf: str) -> DataFrame:
 
     name = lambda k: F.concat(F.lit("k"), k)
     commits = _commit_records(spark, sf).withColumn("said", F.when(F.col("conv_id") % 3 == 0, F.concat("record", F.unhex(F.lit("00")))).otherwise(F.col("record")))
-    each = commits.select(F.col("checksum").alias("commit"), "record", "said", F.explode(F.array(name(F.col("turn") % 3), name((F.col("turn") + 1) % 3))).alias("key_id"))
-    ok = C.Signers().verifier("ed25519")("key", "record", "signature")
+    each = commits.select(F.col("checksum").alias("commit"), "conv_id", "record", "said", F.explode(F.array(name(F.col("turn") % 3), name((F.col("turn") + 1) % 3))).alias("key_id"))
     # Milliseconds a signature and few bytes: dealt by number, as sizes say nothing of the work.
     each = each.repartition(2 * spark.sparkContext.defaultParallelism)
-    signatures = each.withColumn("signature", signed("key_id", "said")).join(F.broadcast(keys.select("key_id", "key")), "key_id").select("commit", "key_id", ok.alias("ok"))
-    return V.any_valid(signatures, keys.select("key_id", "revoked"))
+    ok = C.Signers().verifier("ed25519")("key", "record", "signature")
+    return each.withColumn("signature", signed("key_id", "said")).join(F.broadcast(keys), "key_id").select("commit", "conv_id", "key_id", ok.alias("ok"), "revoked")
+
+
+@query("V1_signature_any_of", "SELECT checksum AS commit, bool_or(conv_id % 3 <> 0 AND k < 2) AS valid FROM (SELECT checksum, conv_id, unnest([turn % 3, (turn + 1) % 3]) AS k FROM commits) GROUP BY 1", "commits")
+def signature_any_of(spark: SparkSession, sf: str) -> DataFrame:
+    """A commit is trusted if any signature over its record verifies by a key that isn't revoked."""
+    return V.any_valid(_signatures(spark, sf))
+
+
+_SIGNED = "SELECT checksum, conv_id, conv_id % 3 <> 0 AS ok, unnest([turn % 3, (turn + 1) % 3]) AS k FROM commits"
+
+
+@query("V3_signature_results", f"SELECT conv_id, count(*) AS n, count(*) FILTER (ok) AS n_verified, count(*) FILTER (ok AND k = 2) AS n_revoked, count(*) FILTER (ok AND k < 2) AS n_valid, count(*) FILTER (k = 1) AS n_key FROM ({_SIGNED}) GROUP BY 1", "commits")
+def signature_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The signatures of each branch after they were verified: those that do, by a revoked key or a valid one, and those by the key whose id ends in 1."""
+    ok, revoked = F.col("ok"), F.col("revoked")
+    counts = F.count_if(ok).alias("n_verified"), F.count_if(ok & revoked).alias("n_revoked"), F.count_if(ok & ~revoked).alias("n_valid"), F.count_if(F.col("key_id").endswith("1")).alias("n_key")
+    return _signatures(spark, sf).groupBy("conv_id").agg(F.count("*").alias("n"), *counts)
 
 
 @query("X5_pluggable_signers", "SELECT c_custkey, c_custkey % 2 = 0 AS dummy, c_custkey % 3 = 0 AS own FROM customer")
