@@ -6,9 +6,13 @@ with that mean, by inverting it at a uniform number that a hash of seed and id
 gives, so a rerun (or a lost executor) draws the same. Copies are exploded and
 dealt globally by a hash of seed, id and copy.
 
-Everything is built of DataFrame functions. A null source is a source of its
-own. Rows that share an id (a null id: a text) draw the same number, each for
-itself. Sources with weight zero or none go. A mean beyond ``PIECE`` is drawn as a sum of equal
+Everything is built of DataFrame functions. The deal needs no sample of its keys:
+hashes are uniform, so partitions are equal ranges of them.
+
+A null source is a source of its own. Rows that share an id (a null id: a text)
+draw the same number, each for itself. Empty and very long texts are copied as they
+are; an empty table gives no row. Columns named ``replica`` or ``shuffle_key`` are
+replaced, others kept. Sources with weight zero or none go. A mean beyond ``PIECE`` is drawn as a sum of equal
 parts, so that the distribution can be inverted in doubles.
 """
 
@@ -82,7 +86,9 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "
     out = docs.join(rate, docs[source_col].eqNullSafe(rate["__mix_source"])).withColumn(COPIES, drawn).filter(F.col(COPIES) > 0)
     out = out.withColumn(REPLICA, F.explode(F.sequence(F.lit(1), F.col(COPIES))))
     out = out.withColumn(KEY, F.md5(F.concat_ws(":", F.lit(seed), F.lit("deal"), who, F.col(REPLICA).cast("string"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], REPLICA, KEY).orderBy(KEY)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.conv(F.substring(KEY, 1, 8), 16, 10).cast("bigint") * tasks / F.lit(1 << 32)).cast("int")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], REPLICA, KEY).repartitionById(tasks, place).sortWithinPartitions(KEY)
 
 
 ORACLE = f"""
