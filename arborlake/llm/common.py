@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborlake.operators.history import checkpoint_dir
+
 
 #: Bytes of input for each task that writes a merged table.
 TASK_BYTES = 4 << 20
@@ -19,20 +19,8 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    A session on one machine that names none (unit tests) gets a temporary folder
-    of that machine. On a cluster there is no such folder that all executors see,
-    so one must be named.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not re.match(r"local(\[|$)", master):
-        raise ValueError(f"spark.checkpoint.dir names no folder, and executors of {master} share no local one")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arborlake-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session (a cluster must name one)."""
+    return checkpoint_dir(spark)
 
 
 class Scratch:

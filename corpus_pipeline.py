@@ -4,7 +4,12 @@ Language ID (documents in no known language go), SimHash near-dedup (one
 document of each group stays), benchmark decontamination (contaminated documents
 go), mixing of sources to target weights (copies by Poisson replication), and
 token-ID output. Each stage takes all rows that its predecessor kept, and all
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``, further columns included.
+
+Null, empty and letterless texts are in no language and go in the first stage. A
+row is named by its id and text (128 bits), so rows without an id and rows that
+share one are told apart; repeated rows and other ties leave one row of a group in
+the second. Texts of any length are taken whole. Empty tables give no row.
 """
 
 from __future__ import annotations
